@@ -111,11 +111,12 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             again[order[1:][near]] = True
             run = np.arange(len(words)) - np.maximum.accumulate(np.where(again, -1, np.arange(len(words))))
             for k in REPEATS:
-                at = np.unique(owner[run >= k])
+                at = owner[run >= k]
                 add(at, np.full(len(at), k, np.uint64), 30)
-    if not owners:
+    if not sum(map(len, owners)):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = np.unique(np.concatenate(owners) * BUCKETS + np.concatenate(buckets))
+    key = np.sort(np.concatenate(owners) * BUCKETS + np.concatenate(buckets))
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
     return key // BUCKETS, key % BUCKETS
 
 
