@@ -98,7 +98,7 @@ def _list_field(text: Column, field: str) -> Column:
 def parse_extractions(raw: DataFrame) -> DataFrame:
     """`arxiv_id, concepts, methods, datasets` from `raw(arxiv_id, raw)`; unusable output gives empty lists."""
     text = json_text(F.col("raw"))
-    valid = F.try_parse_json(text).isNotNull() & text.startswith("{")
+    valid = F.try_parse_json(text).isNotNull() & text.startswith("{") & text.endswith("}")
     cut = raw.select("arxiv_id", F.when(valid, text).alias("_t"))
     return cut.select("arxiv_id", *[_list_field(F.col("_t"), f).alias(f) for f in ("concepts", "methods", "datasets")])
 

@@ -31,7 +31,7 @@ def fallback() -> Column:
 def validate(raw: DataFrame) -> DataFrame:
     """Columns of `raw(..., raw)` but raw, with `report` (struct) and `is_fallback`: a report of the wrong form gives the fixed one."""
     text = json_text(F.col("raw"))
-    parsed = raw.withColumn("_p", F.when(F.try_parse_json(text).isNotNull() & text.startswith("{"), F.from_json(text, schemas.REPORT)))
+    parsed = raw.withColumn("_p", F.when(F.try_parse_json(text).isNotNull() & text.startswith("{") & text.endswith("}"), F.from_json(text, schemas.REPORT)))
     p = lambda c: F.col(f"_p.{c}")
     checks = [F.size(p(c)) == n for c, n in SIZES.items()]
     checks += [p("time_horizon_months").isNotNull(), p("overall_confidence").isin(*CONFIDENCES)]

@@ -33,8 +33,8 @@ def nearest(emb: DataFrame, query_vecs: DataFrame, top_k: int = 5, min_score: fl
     """
     corpus, queries = (df.where(F.col("embedding").isNotNull()) for df in (emb, query_vecs))
     nc, nq = _tiles(corpus), _tiles(queries)
-    left = corpus.select("paper_id", "embedding", F.pmod(F.xxhash64("paper_id"), F.lit(nc)).alias("pc"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("pq"))
-    right = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("pq"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).cast("long").alias("pc"))
+    left = corpus.select("paper_id", "embedding", F.pmod(F.xxhash64("paper_id"), F.lit(nc)).cast("int").alias("pc"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("pq"))
+    right = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("pq"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("pc"))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         ids, scores, owners = [], [], []

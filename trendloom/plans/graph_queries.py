@@ -54,9 +54,9 @@ def graph_sanitize(spark, d):
     return v.papers(spark, d).select("arxiv_id", graph.sanitize(F.col("title")).alias("label"))
 
 
-@query(f"WITH {_GRAPH} SELECT * FROM vertices")
+@query(f"WITH {_GRAPH} SELECT label, key, name, coalesce(year, 0) AS year FROM vertices")
 def graph_vertices(spark, d):
-    return _vertices(spark, d)
+    return _vertices(spark, d).withColumn("year", F.coalesce("year", F.lit(0)))
 
 
 @query(f"WITH {_GRAPH} SELECT * FROM edges")
@@ -108,16 +108,16 @@ def _betweenness_sql(pivots: int, depth: int) -> str:
     """Levels of shortest paths one CTE after the other; the deepest must be empty on the data at hand."""
     parts = [_GRAPH, "nodes AS MATERIALIZED (SELECT DISTINCT src AS node FROM pairs)", "e AS MATERIALIZED (SELECT * FROM pairs)",
              f"pv AS MATERIALIZED (SELECT node FROM nodes ORDER BY md5(node || '42'), node LIMIT {pivots})",
-             "l0 AS MATERIALIZED (SELECT node AS pivot, node, 1.0::DOUBLE AS sigma FROM pv)"]
+             "l0 AS MATERIALIZED (SELECT node AS root, node, 1.0::DOUBLE AS sigma FROM pv)"]
     for k in range(1, depth):
-        seen = " UNION ALL ".join(f"SELECT pivot, node FROM l{j}" for j in range(k))
-        parts.append(f"l{k} AS MATERIALIZED (SELECT pivot, dst AS node, sum(sigma) AS sigma FROM l{k - 1} JOIN e ON node = src WHERE (pivot, dst) NOT IN ({seen}) GROUP BY pivot, dst)")
-    parts.append(f"d{depth - 1} AS (SELECT pivot, node, sigma, 0.0::DOUBLE AS dep FROM l{depth - 1})")
+        seen = " UNION ALL ".join(f"SELECT root, node FROM l{j}" for j in range(k))
+        parts.append(f"l{k} AS MATERIALIZED (SELECT root, dst AS node, sum(sigma) AS sigma FROM l{k - 1} JOIN e ON node = src WHERE (root, dst) NOT IN ({seen}) GROUP BY root, dst)")
+    parts.append(f"d{depth - 1} AS (SELECT root, node, sigma, 0.0::DOUBLE AS dep FROM l{depth - 1})")
     for k in range(depth - 2, -1, -1):
-        parts.append(f"""d{k} AS MATERIALIZED (SELECT l.pivot, l.node, l.sigma, coalesce(sum(l.sigma / w.sigma * (1 + w.dep)), 0) AS dep
-  FROM l{k} l LEFT JOIN (SELECT e.src, d.* FROM e JOIN d{k + 1} d ON e.dst = d.node) w ON w.pivot = l.pivot AND w.src = l.node GROUP BY l.pivot, l.node, l.sigma)""")
+        parts.append(f"""d{k} AS MATERIALIZED (SELECT l.root, l.node, l.sigma, coalesce(sum(l.sigma / w.sigma * (1 + w.dep)), 0) AS dep
+  FROM l{k} l LEFT JOIN (SELECT e.src, d.* FROM e JOIN d{k + 1} d ON e.dst = d.node) w ON w.root = l.root AND w.src = l.node GROUP BY l.root, l.node, l.sigma)""")
     total = " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(depth))
-    return f"""WITH {", ".join(parts)}, dep AS (SELECT node, sum(dep) AS dep FROM ({total}) WHERE node <> pivot GROUP BY node),
+    return f"""WITH {", ".join(parts)}, dep AS (SELECT node, sum(dep) AS dep FROM ({total}) WHERE node <> root GROUP BY node),
 c AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM pv) AS k)
 SELECT nodes.node AS concept_name, round(coalesce(dep, 0) / ((k - CASE WHEN pv.node IS NULL THEN 0 ELSE 1 END) * (n - 2)), 9) AS centrality_score,
        n AS graph_node_count, (SELECT count(*) FROM pairs) AS graph_edge_count
@@ -299,9 +299,9 @@ def stub_embedding(texts: list[str]) -> list[list[float] | None]:
 
 
 @query(f"""WITH {v.PAPERS}, p AS (SELECT id, title || ' ' || abstract AS t FROM papers WHERE id NOT IN (SELECT vec_id FROM embeddings))
-SELECT id AS paper_id, CASE WHEN NOT contains(t, 'x') THEN [CAST(length(t) AS DOUBLE), length(t) - length(replace(t, 'a', '')), length(t) - length(replace(t, ' ', ''))] END AS embedding FROM p""")
+SELECT id AS paper_id, CASE WHEN NOT contains(t, 'x') THEN [CAST(length(t) AS DOUBLE), length(t) - length(replace(t, 'a', '')), length(t) - length(replace(t, ' ', ''))] ELSE [] END AS embedding FROM p""")
 def similarity_embed_pending(spark, d):
-    return similarity.embed_pending(v.papers(spark, d), v.embeddings(spark, d), stub_embedding).select("paper_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return similarity.embed_pending(v.papers(spark, d), v.embeddings(spark, d), stub_embedding).select("paper_id", F.coalesce(F.col("embedding").cast("array<double>"), F.array().cast("array<double>")).alias("embedding"))
 
 
 @query(f"""WITH {_SIGNALS}, best AS (SELECT * FROM signals ORDER BY composite_score DESC, concept_name LIMIT 20)

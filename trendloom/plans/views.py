@@ -11,7 +11,7 @@ from trendloom.functions.text import DOCUMENT_STOPWORDS, STOPWORDS
 
 #: "Now" of the series derived from events, and of those derived from documents.
 EVENTS_AS_OF = dt.datetime(2024, 1, 31)
-PAPERS_AS_OF = dt.datetime(2025, 1, 1)
+PAPERS_AS_OF = dt.datetime(2024, 10, 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
