@@ -102,6 +102,12 @@ def without_runs(text: str, runs: list[dict]) -> tuple[str, int]:
         gone[r["first"]] += 1
         gone[r["last"] + 1] -= 1
     off = np.cumsum(gone)[:-1] > 0
+    solid = np.array([bool(line.strip()) for line in lines])
+    at = np.arange(len(lines))
+    before = np.maximum.accumulate(np.where(solid, at, -1))
+    after = np.minimum.accumulate(np.where(solid, at, len(lines))[::-1])[::-1]
+    inner = ~solid & (before >= 0) & (after < len(lines))  # blank lines between others go with both neighbours
+    off[inner] = off[before[inner]] & off[after[inner]]
     return "\n".join(line for line, x in zip(lines, off.tolist(), strict=True) if not x), int(off.sum())
 
 
@@ -110,7 +116,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
     Runs of lines with at least `least` words stay at their first occurrence (smallest doc_id, then
     text hash, then line) and go everywhere else, within a document too. Lines compare without
-    the white space around them; blank lines inside a run go with it. Shorter repeats stay. A null text
+    the white space around them; a blank line goes if the nearest lines with words on both sides go. Shorter repeats stay. A null text
     stays null with 0 lines; a text may become empty. Rows that repeat a doc_id and a text are one
     document and change alike; a null doc_id is a document that comes first.
     """
