@@ -27,9 +27,11 @@ from trendloom.llm.common import only_columns
 from trendloom.llm.pieces import MODEL, SPACE, Vocabulary, units, vocabulary
 from trendloom.llm.token_counts import slices
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Characters indexed by one suffix array at most (or one unit's).
+INDEXED = 400_000
 #: Encodings of so many units are remembered between batches of a task.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Longer runs of text without a cut are relaxed one by one, not in step with the others.
 IN_STEP = 64
 
@@ -51,10 +53,11 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
 class Matcher:
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        pieces = sorted(vocab.plain)
+        pieces = sorted(vocab.plain, key=lambda p: -len(p))
         self.ids = np.array([vocab.plain[p] for p in pieces], np.int32)
         self.sizes = np.array([len(p) for p in pieces], np.int64)
         self.longest = int(self.sizes.max())
+        self.longer = [int((self.sizes > k).sum()) for k in range(self.longest)]  # pieces with a character k
         self.codes = np.zeros((len(pieces), self.longest), np.int64)
         for row, p in zip(self.codes, pieces, strict=True):
             row[: len(p)] = [ord(c) + 1 for c in p]
@@ -76,11 +79,10 @@ class Matcher:
                 mid = (lo + hi) >> 1
                 at = order[np.minimum(mid, len(codes) - 1)]
                 less, tied = np.zeros(len(lo), bool), np.ones(len(lo), bool)
-                for k in range(self.longest):
-                    c, p = padded[at + k], self.codes[:, k]
-                    used = tied & (k < self.sizes)
-                    less |= used & (c < p)
-                    tied &= (c == p) | (k >= self.sizes)
+                for k, m in enumerate(self.longer):
+                    c, p = padded[at[:m] + k], self.codes[:m, k]
+                    less[:m] |= tied[:m] & (c < p)
+                    tied[:m] &= c == p
                 right = less | (tied & after)
                 lo = np.where(open_ & right, mid + 1, lo)
                 hi = np.where(open_ & ~right, mid, hi)
@@ -88,10 +90,9 @@ class Matcher:
 
         first, last = search(False), search(True)
         found = last - first
-        piece = np.repeat(np.arange(len(self.ids)), found)
-        at = np.arange(len(piece)) - np.repeat(np.cumsum(found) - found, found) + np.repeat(first, found)
-        start = order[at]
-        return start, start + self.sizes[piece], self.ids[piece]
+        piece = np.repeat(np.arange(len(self.ids), dtype=np.int32), found)
+        start = order[np.arange(len(piece)) + np.repeat(first - np.cumsum(found) + found, found)].astype(np.int32)
+        return start, start + self.sizes[piece].astype(np.int32), self.ids[piece]
 
     def follows(self, last: int, nxt: int) -> bool:
         """Whether `nxt` may stand after `last` in an encoding (either may be a single character outside the
@@ -134,8 +135,8 @@ class Matcher:
         alone = codes > 0
         alone[start[end - start == 1]] = False
         lone = np.flatnonzero(alone)  # characters that are no piece
-        start, end = np.concatenate([start, lone]), np.concatenate([end, lone + 1])
-        piece = np.concatenate([piece, len(self.text) + codes[lone] - 1])
+        start, end = np.concatenate([start, lone]).astype(np.int32), np.concatenate([end, lone + 1]).astype(np.int32)
+        piece = np.concatenate([piece, (len(self.text) + codes[lone] - 1).astype(np.int32)])
         run_of = np.repeat(np.arange(len(runs)), sizes + 1)[: len(codes)]
         step = end - begin[run_of[start]]
         stepwise = sizes[run_of[start]] <= IN_STEP
@@ -223,7 +224,14 @@ class Matcher:
         if len(self.known) + len(new := seen - self.known.keys()) > REMEMBERED:
             self.forget()
             new = seen
-        self.remember(sorted(new))
+        chunk, held = [], 0
+        for unit in sorted(new):
+            if chunk and held + len(unit) > INDEXED:
+                self.remember(chunk)
+                chunk, held = [], 0
+            chunk.append(unit)
+            held += len(unit)
+        self.remember(chunk)
         per_text = np.fromiter(map(len, cut), np.int64, len(cut))
         rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(per_text.sum()))
         counts = np.bincount(np.repeat(np.arange(len(cut)), per_text), self.counts[rows], len(cut)).astype(np.int64)
