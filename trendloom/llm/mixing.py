@@ -2,8 +2,9 @@
 
 Every document of a source expects target / source size copies. Documents are put in an order within
 their source, expected copies are prefix-summed in it, one random offset per source is added, and a
-document is emitted once for each integer that the sum crosses at it. The order follows the document's
-size, so that documents of all sizes are taken alike and a source's words come near its target.
+document is emitted once for each integer that the sum crosses at it. The order goes through every other size class
+upwards and through the rest downwards, so that documents of all sizes are taken alike and a source's words come
+near its target whatever the offset.
 
 No source is ever one group: documents fall into buckets (source, size class, doc_id modulo `SALTS`);
 positions are counted inside buckets, and the buckets' counts, not the documents, are prefix-summed per source.
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
+#: Every other size class comes on the way back, so that what the offset errs upwards it errs back downwards.
+TURN = 4000
 #: No source's target exceeds so many times its size.
 MOST = 3
 WEIGHTS = 3
@@ -56,13 +59,13 @@ def with_copies(docs: DataFrame) -> DataFrame:
     a null doc_id sorts first. Rows that repeat are documents of their own. Nothing in, nothing out.
     """
     size = size_of(F.col("text"))
-    bits = F.length(F.bin("size"))
+    # leading four bits of the size and how many follow
+    kind = (F.length(F.bin("size")) * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))")).cast("int")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("missing"), size.alias("size"),
     ).withColumns({
-        # leading four bits of the size and how many follow
-        "class": (bits * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))")).cast("int"),
+        "class": F.when(kind % 2 == 0, kind).otherwise(TURN - kind),
         "salt": F.coalesce(F.pmod("doc_id", F.lit(SALTS)), F.lit(0)).cast("int"),
     })
     bucket = ["key", "missing", "class", "salt"]
@@ -102,7 +105,8 @@ WITH d AS (
 c AS (
   SELECT *, length(CASE WHEN size = 0 THEN '0' ELSE ltrim(bin(size), '0') END) AS bits FROM d),
 b AS (
-  SELECT *, bits * 16 + (size >> greatest(bits - 4, 0)) AS class, ((doc_id % {SALTS}) + {SALTS}) % {SALTS} AS salt FROM c),
+  SELECT *, CASE WHEN kind % 2 = 0 THEN kind ELSE {TURN} - kind END AS class, ((doc_id % {SALTS}) + {SALTS}) % {SALTS} AS salt
+  FROM (SELECT *, bits * 16 + (size >> greatest(bits - 4, 0)) AS kind FROM c)),
 s AS (
   SELECT key, missing, CAST(sum(size) AS BIGINT) AS source_size FROM b GROUP BY key, missing),
 w AS (
