@@ -9,19 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session as a URL.
+    """`spark.checkpoint.dir` of the session, with its file system's scheme.
 
     Only where the session has none (tests, one machine) a new folder under /tmp is set.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if context.isDefined():
-            found = context.get()
+        there = context._jsc.sc().getCheckpointDir()
+        if there.isDefined():
+            found = there.get()
         else:
             found = "file://" + tempfile.mkdtemp(prefix="trendloom-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found if ":" in found.split("/")[0] else f"file://{found}"
+            context.setCheckpointDir(found)
+    path = context._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
