@@ -1,40 +1,13 @@
-"""What several operators share: the shared folder, written intermediates, component labels."""
+"""What several operators share: written intermediates, fixed columns, component labels."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.storage import fresh_path, materialize
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see: `spark.checkpoint.dir` of the session.
-
-    Only where the session has none (tests, one machine) a new folder under /tmp is set.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if context.isDefined():
-            found = context.get()
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="trendloom-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/trendloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as Parquet in the shared folder and reads it again: cuts the lineage, and
-    later reads survive the loss of any executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["components", "fresh_path", "materialize", "only_columns"]
 
 
 def only_columns(df: DataFrame, required: dict[str, str]) -> DataFrame:
