@@ -39,8 +39,10 @@ TRAIN_DOCS = 8000
 SWITCH = 12.0
 #: A language is a candidate for a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.01
-BATCH_BYTES = 4 << 20
-REMEMBERED = 400_000
+BATCH_BYTES = 2 << 20
+#: Words whose n-grams are held at a time.
+AT_ONCE = 20_000
+REMEMBERED = 200_000
 UNKNOWN = "und"
 
 
@@ -100,13 +102,15 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         for batch in batches:
             labels = batch.column(0).to_pylist()
             words = [WORDS.findall(t.lower()) for t in batch.column(1).to_pylist()]
-            for lang in set(labels):
+            for lang in sorted(set(labels)):
                 own = list(chain.from_iterable(w for w, x in zip(words, labels, strict=True) if x == lang))
-                for at in range(0, len(own), 200_000):
-                    buckets, _, scripts = word_features(own[at : at + 200_000])
-                    n = np.bincount(buckets, minlength=BUCKETS)
-                    used = np.bincount(scripts, minlength=len(SCRIPTS) + 1)
-                    keys = np.concatenate([np.flatnonzero(n), -1 - np.flatnonzero(used)])
+                n, used = np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPTS) + 1, np.int64)
+                for at in range(0, len(own), AT_ONCE):
+                    buckets, _, scripts = word_features(own[at : at + AT_ONCE])
+                    n += np.bincount(buckets, minlength=BUCKETS)
+                    used += np.bincount(scripts, minlength=len(SCRIPTS) + 1)
+                keys = np.concatenate([np.flatnonzero(n), -1 - np.flatnonzero(used)])
+                if len(keys):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(np.concatenate([n[n > 0], used[used > 0]]))], ["lang", "k", "n"])
 
     table = rows.mapInArrow(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
@@ -131,16 +135,19 @@ class Labeller:
         seen = set(chain.from_iterable(words))
         if len(self.known) + len(new := seen - self.known.keys()) > REMEMBERED:
             self.known, self.scores, new = {}, self.scores[:0], seen
-        if order := sorted(new):
-            buckets, owner, scripts = word_features(order)
-            got = np.stack([np.bincount(owner, self.model.weights[buckets, k], len(order)) for k in range(len(self.model.langs))], axis=1)
-            may = self.model.uses[scripts]
-            got[~may & may.any(axis=1)[:, None]] -= 1000.0
-            got[~np.fromiter(map(str.isalpha, order), bool, len(order))] = 0  # numbers in letter-like signs
-            self.known.update(zip(order, range(len(self.scores), len(self.scores) + len(order)), strict=True))
-            self.scores = np.concatenate([self.scores, got.astype(np.float32)])
+        order = sorted(new)
+        self.known.update(zip(order, range(len(self.scores), len(self.scores) + len(order)), strict=True))
+        self.scores = np.concatenate([self.scores, *(self.score(order[at : at + AT_ONCE]) for at in range(0, len(order), AT_ONCE))])
         return np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
 
+    def score(self, words: list[str]) -> np.ndarray:
+        buckets, owner, scripts = word_features(words)
+        got = np.stack([np.bincount(owner, self.model.weights[buckets, k], len(words)) for k in range(len(self.model.langs))], axis=1)
+        may = self.model.uses[scripts]
+        got[~may & may.any(axis=1)[:, None]] -= 1000.0
+        got[~np.fromiter(map(str.isalpha, words), bool, len(words))] = 0  # numbers in letter-like signs
+        return got.astype(np.float32)
+
     def label(self, texts: list[str]) -> tuple[list[list[str]], list[np.ndarray]]:
         """Words of each text and the language (its place in `langs`) of each word: Viterbi over all texts in step."""
         words = [WORDS.findall(t.lower()) for t in texts]
