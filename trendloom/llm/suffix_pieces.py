@@ -294,6 +294,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             for a, b in slices(sizes, BATCH_BYTES):
                 ids, counts = m.encode_texts([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 yield _encoded(batch.column(0).slice(a, b - a), ids, counts)
+        m.forget()  # the worker goes on to other tasks
 
     return only_columns(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
@@ -328,5 +329,6 @@ def encode_checked(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ends = np.cumsum(counts)
                 same = [decoder.decode(ids[e - n : e]) == t.replace(SPACE, " ") for t, e, n in zip(texts, ends.tolist(), counts.tolist(), strict=True)]
                 yield _encoded(batch.column(0).slice(a, b - a), ids, counts, same)
+        m.forget()  # the worker goes on to other tasks
 
     return only_columns(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, same boolean")
