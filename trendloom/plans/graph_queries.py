@@ -131,6 +131,13 @@ def betweenness(spark, d):
     return centrality.betweenness(pairs, k_samples=6, top_n=None).withColumn("centrality_score", F.round("centrality_score", 9))
 
 
+@query()
+def betweenness_default(spark, d):
+    """Every concept's centrality from the operator's default number of pivots, which no SQL statement can pay."""
+    pairs = graph.cooccurrence(graph.mentions(extractions(spark, d))).select("src", "dst")
+    return centrality.betweenness(pairs, top_n=None).withColumn("centrality_score", F.round("centrality_score", 9))
+
+
 def bridge(spark, d):
     kw = text.keywords(v.papers(spark, d), 8)
     return kw.groupBy(F.col("keyword").alias("concept_name")).agg(F.count("*").cast("double").alias("centrality_score"))
