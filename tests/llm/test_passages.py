@@ -1,0 +1,50 @@
+import random
+
+import numpy as np
+
+from trendloom.llm import line_dedup, passages
+
+
+def test_passage_from_mid_line_to_mid_line_goes(docs, prose):
+    passage = prose("en", 54).split()
+    inner = [" ".join(passage[:15]), " ".join(passage[15:39]), " ".join(passage[39:])]  # the sole whole line has 24 words
+    text = lambda a, b: f"{a} {inner[0]}\n{inner[1]}\n{inner[2]} {b}"
+    rows = [(1, text("one begins", "ends one")), (2, text("  two  starts", "then  two ")), (3, "three " + " ".join(passage[:49]) + " stays")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.documents_without_repeats(docs(rows)).collect()}
+    assert got[1] == (rows[0][1], len(rows[0][1])) and got[3][0] == rows[2][1]
+    assert got[2] == ("  two  starts\nthen  two ", 24)
+
+
+def test_words_against_brute_force(docs):
+    r, size = random.Random(12), 50
+    pool = [[f"w{r.randint(0, 10**6)}" for _ in range(n)] for n in (30, 49, 50, 51, 70, 120)]
+    rows = []
+    for k in range(40):
+        words = []
+        for _ in range(r.randint(0, 4)):
+            p = r.choice(pool)
+            a = r.randint(0, 8)
+            words += [f"own{r.randint(0, 10**6)}" for _ in range(r.randint(0, 6))] + p[a : len(p) - r.randint(0, 8)]
+        rows.append((k, " ".join(words)))
+    first, want = {}, {}
+    for k, t in rows:
+        w, gone = t.split(), set()
+        for a in range(len(w) - size + 1):
+            if first.setdefault(tuple(w[a : a + size]), (k, a)) != (k, a):
+                gone |= set(range(a, a + size))
+        want[k] = [x for i, x in enumerate(w) if i not in gone]
+    got = {x.row.doc_id: x.new_text.split() for x in line_dedup.dedup_lines(docs(rows)).collect()}
+    assert sum(len(x) for x in want.values()) < sum(len(t.split()) for _, t in rows) - 1000
+    # of whole lines that repeat, copies of a text with 25 to 49 words go as before
+    lines = {}
+    for k, t in rows:
+        if 25 <= len(t.split()) and lines.setdefault(t, k) != k:
+            want[k] = []
+    assert got == want
+
+
+def test_rolling_hashes_equal_those_of_each_gram():
+    words = np.random.default_rng(2).integers(0, 1 << 63, 300).astype(np.uint64)
+    for k in (1, 25, 50, 300):
+        g = passages.grams(words, k, passages.BASES[1])
+        assert g.tolist() == [int(passages.grams(words[a : a + k], k, passages.BASES[1])[0]) for a in range(301 - k)]

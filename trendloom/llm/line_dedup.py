@@ -11,6 +11,8 @@ no group. Each occurrence meets only the first one of its group (by doc_id, then
 all others. Matched windows that overlap or touch extend each other, forwards and backwards, to
 maximal runs; every line of a repeated run lies in a window inside of it (the one that begins there, or
 ends there, or begins with the run), so the extended runs are whole. The later ones are deleted.
+
+Passages that begin or end inside a line are found word by word in `passages`, and go as well.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trendloom.llm import passages
 from trendloom.llm.common import materialize
 
 #: A run counts from so many words on.
@@ -94,8 +97,8 @@ def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
-def without_runs(text: str, runs: list[dict]) -> tuple[str, int]:
-    """The text without the lines of the runs, and how many lines went."""
+def without_runs(text: str, runs: list[dict], starts: list[int] = (), passage: int = passages.PASSAGE_WORDS) -> tuple[str, int]:
+    """The text without the lines of the runs and the words of the passages that begin at `starts`, and how many lines went."""
     lines = text.split("\n")
     gone = np.zeros(len(lines) + 1, np.int64)
     for r in runs:
@@ -103,6 +106,9 @@ def without_runs(text: str, runs: list[dict]) -> tuple[str, int]:
         gone[r["last"] + 1] -= 1
     off = np.cumsum(gone)[:-1] > 0
     solid = np.array([bool(line.strip()) for line in lines])
+    if starts:
+        lines, empty = passages.cut_lines(lines, starts, passage)
+        off |= empty
     at = np.arange(len(lines))
     before = np.maximum.accumulate(np.where(solid, at, -1))
     after = np.minimum.accumulate(np.where(solid, at, len(lines))[::-1])[::-1]
@@ -111,33 +117,38 @@ def without_runs(text: str, runs: list[dict]) -> tuple[str, int]:
     return "\n".join(line for line, x in zip(lines, off.tolist(), strict=True) if not x), int(off.sum())
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, passage: int = passages.PASSAGE_WORDS) -> DataFrame:
     """`row` (all columns of `docs`), `new_text`, `n_lines`, `n_removed` of every row.
 
     Runs of lines with at least `least` words stay at their first occurrence (smallest doc_id, then
-    text hash, then line) and go everywhere else, within a document too. Lines compare without
+    text hash, then line) and go everywhere else, within a document too. So do passages of at least `passage`
+    words, which may begin and end inside a line; of such a line the other words stay, and it isn't counted in `n_removed`. Lines compare without
     the white space around them; a blank line goes if the nearest lines with words on both sides go. Shorter repeats stay. A null text
     stays null with 0 lines; a text may become empty. Rows that repeat a doc_id and a text are one
     document and change alike; a null doc_id is a document that comes first.
     """
     names = docs.columns
     runs = repeated_runs(docs, least).select(F.col("doc_id").alias("run_doc"), F.col("mark").alias("run_mark"), "runs")
+    # where whole copies lose all their lines by their runs, they needn't be looked at word by word
+    words = passages.repeated_passages(docs, passage, copies=least > passage).select(F.col("doc_id").alias("words_doc"), F.col("mark").alias("words_mark"), "starts")
+    found = runs.join(words, F.col("run_doc").eqNullSafe(F.col("words_doc")) & (F.col("run_mark") == F.col("words_mark")), "full")
+    found = found.select(F.when(F.col("run_mark").isNull(), F.col("words_doc")).otherwise(F.col("run_doc")).alias("run_doc"), F.coalesce("run_mark", "words_mark").alias("run_mark"), "runs", "starts")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"),
         F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(runs, F.col("id").eqNullSafe(F.col("run_doc")) & (F.col("mark") == F.col("run_mark")), "left")
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("run_doc")) & (F.col("mark") == F.col("run_mark")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                new, n = without_runs(text, found) if found and text is not None else (text, 0)
+            for text, whole, starts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                new, n = without_runs(text, whole or [], starts or [], passage) if (whole or starts) and text is not None else (text, 0)
                 texts.append(new)
                 removed.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["row", "new_text", "n_removed"])
 
     schema = joined.select("row").schema.add("new_text", T.StringType()).add("n_removed", T.IntegerType())
-    out = joined.select("row", "text", "runs").mapInArrow(cut, schema)
+    out = joined.select("row", "text", "runs", "starts").mapInArrow(cut, schema)
     lines = F.coalesce(F.size(F.split(F.col("row.text"), "\n")), F.lit(0))
     return out.select("row", "new_text", F.when(F.col("row.text").isNull(), 0).otherwise(lines).alias("n_lines"), "n_removed")
 
@@ -151,7 +162,7 @@ def documents_without_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFr
         if c == "text":
             return F.col("new_text").alias(c)
         if c == "n_chars":
-            return F.when(F.col("n_removed") > 0, F.length("new_text").cast(kinds[c])).otherwise(F.col("row.n_chars")).alias(c)
+            return F.when(~F.col("new_text").eqNullSafe(F.col("row.text").cast("string")), F.length("new_text").cast(kinds[c])).otherwise(F.col("row.n_chars")).alias(c)
         return F.col(f"row.`{c}`").alias(c)
 
     return out.select(*[column(c) for c in docs.columns])
