@@ -37,7 +37,9 @@ P_SCOPE = set("td th caption table html body template object marquee applet butt
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-label)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))?)?""")
+#: Attributes whose words are features.
+TOLD = set("class id role hidden aria-label".split())
 
 #: Words of class, id and role attributes by what they usually mark.
 MARKS = {
@@ -70,7 +72,8 @@ def tag_features(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
     """Names of a tag's features, and whether it is hidden."""
     found, hidden = {f"in:{tag}"}, False
     for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
-        name = name.lower()
+        if (name := name.lower()) not in TOLD:
+            continue
         hidden |= name == "hidden"
         for w in SPLIT.split("".join(values)):
             w = w.lower()
