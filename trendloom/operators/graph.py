@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.sources import merge
+from trendloom.storage import materialize
 
 
 def sanitize(text: Column) -> Column:
@@ -113,10 +114,40 @@ def token_overlap_edges(signals: DataFrame, top: int = 100, cap: int = 200) -> D
     return pairs.orderBy(F.desc("weight"), "source", "target").limit(cap)
 
 
-def related_concepts(signals: DataFrame, k: int = 8) -> DataFrame:
-    """`concept_name, related, shared`: the k concepts that share most tokens with each."""
+#: A token of more concepts is not paired concept by concept.
+HOT_TOKEN = 200
+#: Concepts of one set of hot tokens are dealt over so many tasks.
+SALTS = 32
+
+
+def related_concepts(signals: DataFrame, k: int = 8, hot: int = HOT_TOKEN) -> DataFrame:
+    """`concept_name, related, shared`: the k concepts that share most tokens with each.
+
+    Pairs are made over tokens of at most `hot` concepts. Concepts with the same set of hotter tokens share as many of them
+    with any other, so the best k + 1 names are found once a set; they fill the places that pairs leave, which is exact:
+    whoever shares hot tokens only is behind nobody of its set but by name.
+    """
     a = _name_tokens(signals).distinct()
-    pairs = a.join(a.withColumnRenamed("concept_name", "related"), "token").where("concept_name <> related")
-    shared = pairs.groupBy("concept_name", "related").agg(F.count("*").alias("shared"))
+    many = a.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("token", F.lit(True).alias("_hot"))
+    marked = materialize(a.join(many, "token", "left"), "tokens")
+    rare = marked.where("_hot IS NULL").select("concept_name", "token")
+    sets = materialize(marked.where("_hot").groupBy("concept_name").agg(F.sort_array(F.collect_set("token")).alias("h")), "hot-sets")
+    pairs = rare.join(rare.withColumnRenamed("concept_name", "related"), "token").where("concept_name <> related").groupBy("concept_name", "related").agg(F.count("*").alias("c"))
+    none = F.array().cast("array<string>")
+    both = pairs.join(sets, "concept_name", "left").join(sets.select(F.col("concept_name").alias("related"), F.col("h").alias("h2")), "related", "left").select(
+        "concept_name", "related", (F.col("c") + F.size(F.array_intersect(F.coalesce("h", none), F.coalesce("h2", none)))).alias("shared"))
+    # the first k + 1 names of each set, by way of those of each salt of it
+    salt = F.pmod(F.xxhash64("concept_name"), F.lit(SALTS)).alias("salt")
+    dealt = sets.select("h", "concept_name", salt)
+    for part in (["h", "salt"], ["h"]):
+        order = Window.partitionBy(*part).orderBy("concept_name")
+        dealt = dealt.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n")
+    names = materialize(dealt.select(F.col("h").alias("h2"), F.col("concept_name").alias("related")), "first-names")
+    kinds = names.select(F.col("h2").alias("h")).distinct()
+    near = kinds.join(names, F.arrays_overlap("h", "h2")).withColumn("shared", F.size(F.array_intersect("h", "h2")).cast("long"))
+    best = Window.partitionBy("h").orderBy(F.desc("shared"), "related")
+    filling = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).select("h", "related", "shared", F.explode(F.array(*[F.lit(x).cast("long") for x in range(SALTS)])).alias("salt"))
+    filled = sets.select("h", "concept_name", salt).join(filling, ["h", "salt"]).where("concept_name <> related").select("concept_name", "related", "shared")
+    shared = both.union(filled).groupBy("concept_name", "related").agg(F.max("shared").alias("shared"))
     order = Window.partitionBy("concept_name").orderBy(F.desc("shared"), "related")
     return shared.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")

@@ -272,6 +272,14 @@ def related_concepts(spark, d):
     return found.select(F.concat("concept_name", F.lit(" model")).alias("concept_name"), F.concat("related", F.lit(" model")).alias("related"), "shared")
 
 
+@query(f"""WITH {_PHRASES}, t AS (SELECT DISTINCT concept_name, token FROM tok WHERE length(token) > 3),
+s AS (SELECT a.concept_name, b.concept_name AS related, count(*) AS shared FROM t a JOIN t b USING (token) WHERE a.concept_name <> b.concept_name GROUP BY ALL)
+SELECT concept_name, related, shared FROM (SELECT *, row_number() OVER (PARTITION BY concept_name ORDER BY shared DESC, related) AS n FROM s) WHERE n <= 8""")
+def related_concepts_whole(spark, d):
+    """The names as they are, with the token that all share; the statement of related_concepts leaves that out."""
+    return graph.related_concepts(phrases(spark, d).select("concept_name"))
+
+
 _NEAREST = f"""{v.PAPERS}, q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
 near AS (SELECT query_id, vec_id AS paper_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM q, embeddings e),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM near WHERE score >= 0.3)"""
