@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import text
 from trendloom.sources import merge
+from trendloom.storage import materialize
 
 
 def concept_edges(concepts: DataFrame, top: int = 20, key: str = "paper_id") -> DataFrame:
@@ -78,12 +79,24 @@ def list_uploads(user_papers: DataFrame, user_id: int) -> DataFrame:
     return user_papers.where(F.col("user_id") == user_id).orderBy(F.desc("created_at"), "id")
 
 
+#: Papers of an exported document at most.
+EXPORT_PAPERS = 100
+
+
 def export_json(concepts: DataFrame, links: DataFrame) -> DataFrame:
-    """`user_id, document`: one JSON document per user with its concepts and edges (a user's are bounded by the quota)."""
-    c = concepts.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("paper_id", "concept", "weight"))).alias("concepts"))
-    e = links.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("paper_id", "source_concept", "target_concept", "weight"))).alias("edges"))
-    none = "array<struct<paper_id:bigint,source_concept:string,target_concept:string,weight:double>>"
-    return c.join(e, "user_id", "left").select("user_id", F.to_json(F.struct("user_id", "concepts", F.coalesce("edges", F.array().cast(none)).alias("edges"))).alias("document"))
+    """`user_id, part, document`: JSON documents with each user's concepts and edges, EXPORT_PAPERS papers a part.
+
+    Parts follow the order of paper_id; rows without an id are in part 0. A paper's concepts and edges are bounded, so no row grows with the table.
+    """
+    papers = concepts.select("user_id", "paper_id").union(links.select("user_id", "paper_id")).distinct()
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("paper_id"))
+    parts = materialize(papers.withColumn("part", F.floor((place - 1) / EXPORT_PAPERS).cast("int")), "parts")
+    key = ["user_id", "part"]
+    c = concepts.join(parts, ["user_id", "paper_id"], "left").withColumn("part", F.coalesce("part", F.lit(0))).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("paper_id", "concept", "weight"))).alias("concepts"))
+    e = links.join(parts, ["user_id", "paper_id"], "left").withColumn("part", F.coalesce("part", F.lit(0))).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("paper_id", "source_concept", "target_concept", "weight"))).alias("edges"))
+    lists = {"concepts": "array<struct<paper_id:bigint,concept:string,weight:double>>", "edges": "array<struct<paper_id:bigint,source_concept:string,target_concept:string,weight:double>>"}
+    whole = [F.coalesce(name, F.array().cast(kind)).alias(name) for name, kind in lists.items()]
+    return c.join(e, key, "full").select(*key, F.to_json(F.struct("user_id", *whole)).alias("document"))
 
 
 def process(pages: DataFrame, top_n: int = 50, top_edges: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import text
@@ -111,18 +112,24 @@ def report_archive(spark, d):
     return kept.select("topic_context", size.alias("n_signals"), "is_validated", "generated_at").groupBy("topic_context", "n_signals", "is_validated", "generated_at").agg(F.count("*").alias("n_reports"))
 
 
+#: Opinions of an archived JSON text at most.
+PART = 1000
+
+
 def simulation_results(spark, d):
-    """Opinions of a user group's events packed as the archived JSON of a run per direction."""
-    o = v.opinions(spark, d)
+    """Opinions of a user group's events packed as archived JSON, in numbered parts of each direction and round: `result_id(direction, part), results`."""
+    order = Window.partitionBy("direction", "round").orderBy("opinion_id")
+    o = v.opinions(spark, d).withColumn("part", F.floor((F.row_number().over(order) - 1) / PART).cast("int"))
     said = F.struct("opinion_id", F.struct("persona", "adoption_likelihood").alias("o"))
-    per_round = o.groupBy("direction", "round").agg(F.sort_array(F.collect_list(said)).alias("l"))
-    rounds = per_round.groupBy("direction").agg(F.sort_array(F.collect_list(F.struct(F.col("round").alias("round_number"), F.col("l.o").alias("opinions")))).alias("rounds"))
-    return rounds.select(F.col("direction").alias("result_id"), F.to_json(F.struct(F.array(F.struct("direction", "rounds")).alias("adoption_reports"))).alias("results"))
+    parts = o.groupBy("direction", "round", "part").agg(F.sort_array(F.collect_list(said)).alias("l"))
+    rounds = F.array(F.struct(F.col("round").alias("round_number"), F.col("l.o").alias("opinions"))).alias("rounds")
+    return parts.select(F.struct("direction", "part").alias("result_id"), F.to_json(F.struct(F.array(F.struct("direction", rounds)).alias("adoption_reports"))).alias("results"))
 
 
 @query(f"""WITH {v.OPINIONS} SELECT direction AS result_id, direction AS report_direction, round, CAST(row_number() OVER (PARTITION BY direction, round ORDER BY opinion_id) - 1 AS INTEGER) AS pos, persona, adoption_likelihood FROM opinions""")
 def simulation_opinions(spark, d):
-    return reports.opinions(simulation_results(spark, d)).drop("confidence_score")
+    found = reports.opinions(simulation_results(spark, d)).drop("confidence_score")
+    return found.withColumns({"pos": (F.col("result_id.part") * PART + F.col("pos")).cast("int"), "result_id": F.col("result_id.direction")})
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE event_type END AS persona, CASE WHEN event_id % 3 = 2 THEN NULL ELSE 'high' END AS adoption_likelihood FROM events""")

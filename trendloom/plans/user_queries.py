@@ -127,8 +127,10 @@ SELECT c.user_id, c.n AS n_concepts, e.n AS n_edges, c[1].concept AS first_conce
 def user_export_json(spark, d):
     """The exported documents, read again."""
     documents = personal.export_json(user_concepts(spark, d), user_edges(spark, d))
-    parsed = documents.select("user_id", F.from_json("document", "concepts array<struct<concept string>>, edges array<struct<weight double>>").alias("j"))
-    return parsed.select("user_id", F.size("j.concepts").cast("long").alias("n_concepts"), F.size("j.edges").cast("long").alias("n_edges"), F.col("j.concepts")[0]["concept"].alias("first_concept"))
+    parsed = documents.select("user_id", "part", F.from_json("document", "concepts array<struct<concept string>>, edges array<struct<weight double>>").alias("j"))
+    first = F.when(F.size("j.concepts") > 0, F.struct("part", F.col("j.concepts")[0]["concept"].alias("concept")))
+    sums = parsed.groupBy("user_id").agg(F.sum(F.size("j.concepts")).alias("n_concepts"), F.sum(F.size("j.edges")).alias("n_edges"), F.min(first).alias("first"))
+    return sums.select("user_id", "n_concepts", "n_edges", F.col("first.concept").alias("first_concept"))
 
 
 AS_OF = dt.datetime(2024, 1, 1)
