@@ -1,161 +1,208 @@
-"""Repeated runs of lines, found by winnowing over line hashes.
+"""Repeated runs of lines and passages, found by winnowing over line hashes.
 
-A window is the shortest stretch of lines with at least MIN_WORDS words that begins, or that ends,
-at a given line. Each window selects its line of least hash as fingerprint. Since windows depend on their
-own lines alone, a run of MIN_WORDS words or more that occurs twice has windows that occur twice,
-with the same fingerprints at the same places: none is missed.
+`passages` selects window minima as fingerprints: grams of lines, and grams of words for passages that begin or
+end inside a line. Positions are joined on the fingerprint: each occurrence meets the first one (by doc_id,
+text hash, place), never all others. Matches of a document with the same earlier one at the same distance that
+overlap or touch are one run. A run is then extended both ways, word by word, as far as the words equal those
+around the first occurrence (up to REACH words, since a longer repeat holds a further fingerprint). A run of at least
+PASSAGE_WORDS words goes as it is; of a shorter one its whole lines go, if they have LINE_GRAM words together.
 
-Positions are joined on the fingerprint together with the hash of its whole window, so what joins is
-equal around the fingerprint on both sides, and a very common line in different surroundings makes
-no group. Each occurrence meets only the first one of its group (by doc_id, then position), never
-all others. Matched windows that overlap or touch extend each other, forwards and backwards, to
-maximal runs; every line of a repeated run lies in a window inside of it (the one that begins there, or
-ends there, or begins with the run), so the extended runs are whole. The later ones are deleted.
-
-Passages that begin or end inside a line are found word by word in `passages`, and go as well.
+Texts meet the join twice: for the words around the runs, and to be cut. What they meet are written tables of a few
+numbers a run, so Spark broadcasts them while they are small, and shuffles the texts by document where they aren't.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendloom.llm import passages
 from trendloom.llm.common import materialize
 
-#: A run counts from so many words on.
-MIN_WORDS = 25
-
-
-def windows(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last line of the windows over lines with these word counts (all above 0)."""
-    n = len(words)
-    ends = np.cumsum(words)
-    first = np.arange(n)
-    last = np.searchsorted(ends, ends - words + least)  # shortest stretch from each line
-    ahead = np.stack([first, last], axis=1)[last < n]
-    start = np.searchsorted(ends - words, ends - least, side="right") - 1  # shortest stretch up to each line
-    back = np.stack([start, first], axis=1)[start >= 0]
-    both = np.unique(np.concatenate([ahead, back]), axis=0)
-    return both[:, 0], both[:, 1]
+#: A run is extended by so many words at each end.
+REACH = 25
+#: Bytes of text taken at once.
+SLICE_BYTES = 1 << 20
+#: ASCII white space separates words.
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LEAST_LONG = -(1 << 63)
 
 
-def line_windows(text: str, least: int = MIN_WORDS) -> list[tuple[int, int, int, int, int]]:
-    """(fingerprint, window hash in two halves, first, last line) of the windows of a text.
-
-    Lines are numbered as they stand, blank ones included; those have no words and are passed over.
-    """
-    kept = [(i, line.strip()) for i, line in enumerate(text.split("\n"))]
-    kept = [(i, line, n) for i, line in kept if (n := len(line.split()))]
-    if not kept or sum(n for _, _, n in kept) < least:
-        return []
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) for _, line, _ in kept), np.uint64, len(kept))
-    raw = hashes.tobytes()
-    out = []
-    for a, b in zip(*(x.tolist() for x in windows(hashes, np.array([n for _, _, n in kept]), least)), strict=True):
-        whole = xxhash.xxh3_128_intdigest(raw[8 * a : 8 * b + 8])
-        out.append((int(hashes[a : b + 1].min()), whole >> 64, whole & (1 << 64) - 1, kept[a][0], kept[b][0]))
-    return out
+def _rows(docs: DataFrame) -> DataFrame:
+    """`doc_id, mark, text`: a document is known by its id (null: the least long) and its text's hash."""
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_LONG))
+    return docs.select(ids.alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE_BYTES of the column's text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = np.cumsum(sizes) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
 
 
-def all_windows(docs: DataFrame, least: int) -> DataFrame:
-    """`fp, w1, w2, doc_id, mark, first, last`: the windows of every row; mark hashes the row's text."""
-    names = ["fp", "w1", "w2", "doc_id", "mark", "first", "last"]
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """`key, doc_id, mark, at, size`: the selected grams of every row, from word `at` on."""
+    names = ["key", "doc_id", "mark", "at", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [line_windows(t or "", least) for t in part.column(2).to_pylist()]
-                owner = pa.array([i for i, x in enumerate(found) for _ in x], pa.int32())
-                columns = list(zip(*[w for x in found for w in x], strict=True)) or [()] * 5
+            for part in _slices(batch, 2):
+                found = [passages.fingerprints(t or b"") for t in part.column(2).cast(pa.binary()).to_pylist()]
+                if not found:
+                    continue
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]), pa.int32())
+                key, at, size = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([
-                    *(_signed(list(c)) for c in columns[:3]), part.column(0).take(owner), part.column(1).take(owner),
-                    *(pa.array(c, pa.int32()) for c in columns[3:])], names)
+                    pa.array(key.view(np.int64)), part.column(0).take(owner), part.column(1).take(owner),
+                    pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "fp long, w1 long, w2 long, doc_id long, mark long, first int, last int")
+    return _rows(docs).mapInArrow(run, "key long, doc_id long, mark long, at int, size int")
 
 
-def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """`doc_id, mark, runs`: per document the windows (first, last line) that also occur earlier."""
-    found = materialize(all_windows(docs, least), "windows")
-    key = ["fp", "w1", "w2"]
-    firsts = found.groupBy(*key).agg(F.min(F.struct("doc_id", "mark", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(firsts, key).where(F.struct("doc_id", "mark", "first") > F.col("origin"))
-    # windows of copies of one row have equal places, and each stands once
-    return later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+def _runs(found: DataFrame) -> DataFrame:
+    """`doc_id, mark, first, last, o_doc, o_mark, shift`: words first..last-1 equal those `shift` earlier in the document o_doc, o_mark."""
+    origins = found.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "at")).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = found.join(origins, "key").where(F.struct("doc_id", "mark", "at") > F.col("o")).select(
+        "doc_id", "mark", "at", (F.col("at") + F.col("size")).alias("until"),
+        F.col("o.doc_id").alias("o_doc"), F.col("o.mark").alias("o_mark"), (F.col("at") - F.col("o.at")).alias("shift"))
+    key = ["doc_id", "mark", "o_doc", "o_mark", "shift"]
+    places = Window.partitionBy(*key).orderBy("at")
+    before = F.max("until").over(places.rowsBetween(Window.unboundedPreceding, -1))
+    begun = later.withColumn("new", F.when(F.col("at") <= before, 0).otherwise(1))
+    numbered = begun.withColumn("run", F.sum("new").over(places.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*key, "run").agg(F.min("at").alias("first"), F.max("until").alias("last")).drop("run")
 
 
-def without_runs(text: str, runs: list[dict], starts: list[int] = (), passage: int = passages.PASSAGE_WORDS) -> tuple[str, int]:
-    """The text without the lines of the runs and the words of the passages that begin at `starts`, and how many lines went."""
+def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """`c_doc, c_mark, c_ask, around`: the words outward of the asked places; both documents of a run are asked."""
+    asks = ends.select("doc_id", "mark", "ask").union(ends.select("o_doc", "o_mark", "o_ask"))
+    asks = asks.groupBy(F.col("doc_id").alias("c_doc"), F.col("mark").alias("c_mark")).agg(F.sort_array(F.collect_set("ask")).alias("asks"))
+    asks = materialize(asks, "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, 2):
+                asked = part.column(3).to_pylist()
+                found = [x for t, a in zip(part.column(2).cast(pa.binary()).to_pylist(), asked, strict=True) for x in passages.contexts(t, a, REACH)]
+                if not found:
+                    continue
+                owner = pa.array(np.repeat(np.arange(len(asked)), [len(a) for a in asked]), pa.int32())
+                around = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.array(np.concatenate(found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), part.column(3).flatten(), around], ["c_doc", "c_mark", "c_ask", "around"])
+
+    rows = _rows(docs).join(asks, (F.col("doc_id") == F.col("c_doc")) & (F.col("mark") == F.col("c_mark")))
+    # rows that repeat an id and a text give the same words
+    one = rows.select("c_doc", "c_mark", "text", "asks").mapInArrow(run, "c_doc long, c_mark long, c_ask int, around array<int>")
+    return one.groupBy("c_doc", "c_mark", "c_ask").agg(F.max("around").alias("around"))
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """`doc_id, mark, runs`: per document its repeated runs of words (first, last; last excluded), extended both ways."""
+    runs = materialize(_runs(materialize(fingerprints(docs), "fingerprints")), "runs")
+    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    ends = runs.select("*", sides).withColumn("place", F.when(F.col("side") == 0, F.col("first")).otherwise(F.col("last")))
+    ends = ends.withColumn("ask", F.col("place") * 2 + F.col("side")).withColumn("o_ask", (F.col("place") - F.col("shift")) * 2 + F.col("side"))
+    found = materialize(_contexts(docs, ends), "contexts")
+    mine = found.select("c_doc", "c_mark", "c_ask", F.col("around").alias("own"))
+    ends = ends.join(mine, (F.col("doc_id") == F.col("c_doc")) & (F.col("mark") == F.col("c_mark")) & (F.col("ask") == F.col("c_ask"))).drop("c_doc", "c_mark", "c_ask")
+    ends = ends.join(found, (F.col("o_doc") == F.col("c_doc")) & (F.col("o_mark") == F.col("c_mark")) & (F.col("o_ask") == F.col("c_ask")))
+    unlike = F.array_position(F.zip_with("own", "around", lambda x, y: x.eqNullSafe(y)), False).cast("int")
+    ends = ends.withColumn("more", F.when(unlike == 0, F.size("own")).otherwise(unlike - 1))
+    whole = ends.groupBy("doc_id", "mark", "o_doc", "o_mark", "shift", "first", "last").agg(
+        F.max(F.when(F.col("side") == 0, F.col("more"))).alias("ahead"), F.max(F.when(F.col("side") == 1, F.col("more"))).alias("behind"))
+    run = F.struct((F.col("first") - F.col("ahead")).alias("first"), (F.col("last") + F.col("behind")).alias("last"))
+    return whole.groupBy("doc_id", "mark").agg(F.collect_set(run).alias("runs"))
+
+
+def repeated_words(counts: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
+    """Which words of a text go, whose lines have these word counts."""
+    ends = np.cumsum(counts)
+    starts, gone = ends - counts, np.zeros(int(counts.sum()) + 1, np.int64)
+    for first, last in runs:
+        if last - first < passages.PASSAGE_WORDS:  # whole lines only
+            a, b = int(np.searchsorted(starts, first)), int(np.searchsorted(ends, last, side="right"))
+            if a >= b or ends[b - 1] - starts[a] < passages.LINE_GRAM:
+                continue
+            first, last = int(starts[a]), int(ends[b - 1])
+        gone[first] += 1
+        gone[last] -= 1
+    return np.cumsum(gone)[:-1] > 0
+
+
+def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the repeated words, and how many lines went."""
     lines = text.split("\n")
-    gone = np.zeros(len(lines) + 1, np.int64)
-    for r in runs:
-        gone[r["first"]] += 1
-        gone[r["last"] + 1] -= 1
-    off = np.cumsum(gone)[:-1] > 0
-    solid = np.array([bool(line.strip()) for line in lines])
-    if starts:
-        lines, empty = passages.cut_lines(lines, starts, passage)
-        off |= empty
-    at = np.arange(len(lines))
-    before = np.maximum.accumulate(np.where(solid, at, -1))
-    after = np.minimum.accumulate(np.where(solid, at, len(lines))[::-1])[::-1]
+    spans = [[m.span() for m in WORD.finditer(line)] for line in lines]
+    gone = repeated_words(np.array([len(x) for x in spans]), runs).tolist()
+    off, at = np.zeros(len(lines), bool), 0
+    for i, words in enumerate(spans):
+        cut = gone[at : at + len(words)]
+        at += len(words)
+        if any(cut):
+            off[i] = all(cut)
+            lines[i] = without_words(lines[i], words, cut)
+    solid = np.array([bool(x) for x in spans])
+    place = np.arange(len(lines))
+    before = np.maximum.accumulate(np.where(solid, place, -1))
+    after = np.minimum.accumulate(np.where(solid, place, len(lines))[::-1])[::-1]
     inner = ~solid & (before >= 0) & (after < len(lines))  # blank lines between others go with both neighbours
     off[inner] = off[before[inner]] & off[after[inner]]
     return "\n".join(line for line, x in zip(lines, off.tolist(), strict=True) if not x), int(off.sum())
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, passage: int = passages.PASSAGE_WORDS) -> DataFrame:
+def without_words(line: str, words: list[tuple[int, int]], cut: list[bool]) -> str:
+    """The line without some words: a kept word goes with the white space before it, the first one with what leads the line."""
+    kept = "".join(line[words[j - 1][1] if j else 0 : words[j][1]] for j in range(len(words)) if not cut[j])
+    return (kept.lstrip(" \t\v\f\r") if cut[0] else kept) + ("" if cut[-1] else line[words[-1][1] :])
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """`row` (all columns of `docs`), `new_text`, `n_lines`, `n_removed` of every row.
 
-    Runs of lines with at least `least` words stay at their first occurrence (smallest doc_id, then
-    text hash, then line) and go everywhere else, within a document too. So do passages of at least `passage`
-    words, which may begin and end inside a line; of such a line the other words stay, and it isn't counted in `n_removed`. Lines compare without
-    the white space around them; a blank line goes if the nearest lines with words on both sides go. Shorter repeats stay. A null text
-    stays null with 0 lines; a text may become empty. Rows that repeat a doc_id and a text are one
-    document and change alike; a null doc_id is a document that comes first.
+    Repeated runs stay at their first occurrence (smallest doc_id, then text hash, then place) and go everywhere else,
+    within a document too: whole lines from LINE_GRAM words a run on (always found from LINE_WINDOW words on; shorter
+    ones if a window selects them), and whatever words of a run of PASSAGE_WORDS, which may begin and end inside a
+    line; of such a line the other words stay, and it isn't counted in `n_removed`. A run is compared with the first occurrence of
+    its fingerprints; words at its ends that equal only a later occurrence's stay. Lines compare by their words; a blank
+    line goes if the nearest lines with words on both sides go. Runs of fewer than LINE_GRAM words stay. A null text stays
+    null with 0 lines; a text may become empty. Rows that repeat a doc_id and a text are one document and change
+    alike; a null doc_id counts as the least long, so such a document comes first. No rows give no rows.
     """
     names = docs.columns
-    runs = repeated_runs(docs, least).select(F.col("doc_id").alias("run_doc"), F.col("mark").alias("run_mark"), "runs")
-    # where whole copies lose all their lines by their runs, they needn't be looked at word by word
-    words = passages.repeated_passages(docs, passage, copies=least > passage).select(F.col("doc_id").alias("words_doc"), F.col("mark").alias("words_mark"), "starts")
-    found = runs.join(words, F.col("run_doc").eqNullSafe(F.col("words_doc")) & (F.col("run_mark") == F.col("words_mark")), "full")
-    found = found.select(F.when(F.col("run_mark").isNull(), F.col("words_doc")).otherwise(F.col("run_doc")).alias("run_doc"), F.coalesce("run_mark", "words_mark").alias("run_mark"), "runs", "starts")
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"),
-        F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(found, F.col("id").eqNullSafe(F.col("run_doc")) & (F.col("mark") == F.col("run_mark")), "left")
+    runs = materialize(repeated_runs(docs), "repeats").select(F.col("doc_id").alias("run_doc"), F.col("mark").alias("run_mark"), "runs")
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_LONG))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), ids.alias("id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(runs, (F.col("id") == F.col("run_doc")) & (F.col("mark") == F.col("run_mark")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed = [], []
-            for text, whole, starts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                new, n = without_runs(text, whole or [], starts or [], passage) if (whole or starts) and text is not None else (text, 0)
-                texts.append(new)
-                removed.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["row", "new_text", "n_removed"])
+            for part in _slices(batch, 1):
+                texts, removed = [], []
+                for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    new, n = without_runs(text, [(r["first"], r["last"]) for r in found]) if found and text is not None else (text, 0)
+                    texts.append(new)
+                    removed.append(n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["row", "new_text", "n_removed"])
 
     schema = joined.select("row").schema.add("new_text", T.StringType()).add("n_removed", T.IntegerType())
-    out = joined.select("row", "text", "runs", "starts").mapInArrow(cut, schema)
+    out = joined.select("row", "text", "runs").mapInArrow(cut, schema)
     lines = F.coalesce(F.size(F.split(F.col("row.text"), "\n")), F.lit(0))
     return out.select("row", "new_text", F.when(F.col("row.text").isNull(), 0).otherwise(lines).alias("n_lines"), "n_removed")
 
 
-def documents_without_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def documents_without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with its own columns; text without later repeats, and n_chars (if there) counted anew."""
-    out = dedup_lines(docs, least)
+    out = dedup_lines(docs)
     kinds = dict(docs.dtypes)
 
     def column(c: str):

@@ -1,143 +1,143 @@
-"""Repeated passages of words, wherever in a line they begin and end.
-
-A word goes if it lies in a stretch of PASSAGE_WORDS words that occurs earlier. Hashes of all stretches
-would be several times the texts, so stretches are sought by winnowing: of each PASSAGE_WORDS words in a row
-the shorter gram of SEED_WORDS words with the least hash is a seed. Equal stretches have equal seeds at equal
-places; only those around a seed that occurs twice are hashed whole, and joined with their first occurrence.
+"""Words of a text as hashes, and which places of a text winnowing selects as fingerprints.
+
+Two sequences are winnowed. Over lines: a gram is the shortest run of lines from a given line with at least
+LINE_GRAM words; of the grams in each shortest run with at least LINE_WINDOW words (the windows that begin, or
+end, at a given line) the one of least hash is selected. Over words: of the grams of WORD_GRAM words in each
+PASSAGE_WORDS words in a row, the one of least hash. What is selected depends on the window's own words alone,
+so equal windows select equal grams at equal places: a repeated run that holds a window is never missed, and
+nothing shorter than a gram ever matches.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from trendloom.llm.common import materialize
 
-#: A passage counts from so many words on; a seed is so long.
+#: Words of a gram of lines, and of a window that selects one.
+LINE_GRAM = 8
+LINE_WINDOW = 25
+#: Words of a gram, and of a passage, which counts wherever in a line it begins and ends.
+WORD_GRAM = 25
 PASSAGE_WORDS = 50
-SEED_WORDS = 25
-#: Odd multipliers of the rolling hashes.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-WORD = re.compile(r"\S+")
-
+#: Odd multipliers of the rolling hashes of bytes and of words; grams of lines have keys apart from those of words.
+BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+LINES = np.uint64(0x5851F42D4C957F2D)
+#: Bytes hashed at once.
+BLOCK = 1 << 19
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^0..base^(n-1) and their inverses modulo 2^64; tables of up to BLOCK entries are kept."""
+    if base not in _tables or len(_tables[base][0]) < n:
+        size = max(n, BLOCK)
+        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        made = np.cumprod(up), np.cumprod(down)
+        if size > BLOCK:
+            return made
+        _tables[base] = made
+    return _tables[base]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ h >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ h >> np.uint64(33)
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words begin and end, in bytes; white space is ASCII."""
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = SPACE[data]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, block by block."""
+    out, at = [], 0
+    while at < len(begin):
+        stop = max(at + 1, int(np.searchsorted(end, begin[at] + BLOCK, side="right")))
+        low = int(begin[at])
+        part = data[low : int(end[stop - 1])]
+        up, down = _powers(BYTE_BASE, len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        b, e = begin[at:stop] - low, end[at:stop] - low
+        out.append(_mix((sums[e] - sums[b]) * down[b]))
+        at = stop
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def spans_hash(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words in each of these ranges: the sum of hash * base^place modulo 2^64, mixed."""
+    up, down = _powers(WORD_BASE, len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return _mix((sums[end] - sums[begin]) * down[begin])
+
+
+def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the windows over lines with these word counts (all above 0)."""
+    n = len(words)
+    ends = np.cumsum(words)
+    first = np.arange(n)
+    last = np.searchsorted(ends, ends - words + least)  # shortest run from each line
+    start = np.searchsorted(ends - words, ends - least, side="right") - 1  # shortest run up to each line
+    a, b = np.concatenate([first[last < n], start[start >= 0]]), np.concatenate([last[last < n], first[start >= 0]])
+    both = np.unique(a * n + b)
+    return both // n, both % n
 
-def word_hashes(text: str) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in text.split()], np.uint64)
 
+def select_lines(words: np.ndarray, starts: np.ndarray, gram: int = LINE_GRAM, window: int = LINE_WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first word and number of words of the selected grams of lines; `starts` are the lines' first words.
 
-def grams(words: np.ndarray, k: int, base: int) -> np.ndarray:
-    """A hash of each k words in a row: the sum of hash * base^place modulo 2^64, mixed."""
-    n = len(words)
-    if n < k:
-        return np.zeros(0, np.uint64)
-    powers, back = np.full(n, base, np.uint64), np.full(n - k + 1, pow(base, -1, 1 << 64), np.uint64)
-    powers[0] = back[0] = 1
-    powers, back = np.cumprod(powers), np.cumprod(back)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers)])
-    g = (sums[k:] - sums[:-k]) * back
-    g = (g ^ g >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-    return g ^ g >> np.uint64(33)
-
-
-def seeds(words: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of the seeds of a text."""
-    k = min(SEED_WORDS, passage)
+    A text with fewer words than a window is one window.
+    """
+    empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(words) < gram:
+        return empty
+    ends = np.append(starts[1:], len(words))
+    last = np.searchsorted(ends, starts + gram)
+    starts, last = starts[last < len(ends)], last[last < len(ends)]
+    keys = spans_hash(words, starts, ends[last]) ^ LINES
+    a, b = windows(np.diff(ends, prepend=0), min(window, len(words)))
+    h, until = keys.tolist(), np.searchsorted(last, b, side="right").tolist()
+    chosen = sorted({min(range(i, j), key=h.__getitem__) for i, j in zip(a.tolist(), until, strict=True)})
+    return keys[chosen], starts[chosen], (ends[last] - starts)[chosen]
+
+
+def select_words(words: np.ndarray, gram: int = WORD_GRAM, passage: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first word and number of words of the selected grams of words."""
     if len(words) < passage:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    g = grams(words, k, BASES[0])
-    least = sliding_window_view(g, passage - k + 1).argmin(axis=1)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.arange(len(words) - gram + 1)
+    keys = spans_hash(words, at, at + gram)
+    least = sliding_window_view(keys, passage - gram + 1).argmin(axis=1)
     at = np.unique(np.arange(len(least)) + least)
-    return g[at], at
-
-
-def _starts(hits: list[int], n: int, passage: int) -> np.ndarray:
-    """Where the stretches around the seeds begin, in a text of n words."""
-    reach = passage - min(SEED_WORDS, passage)
-    around = np.unique(np.array(hits, np.int64)[:, None] - np.arange(reach + 1))
-    return around[(around >= 0) & (around <= n - passage)]
+    return keys[at], at, np.full(len(at), gram)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+def line_starts(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The first word of each line that has words."""
+    line = np.searchsorted(np.flatnonzero(data == 0x0A), begin)
+    return np.flatnonzero(np.diff(line, prepend=-1))
 
 
-def _emit(part: pa.RecordBatch, found: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
-    """Rows of hashes, doc_id, mark and place from (hashes ..., places) of each document."""
-    owner = pa.array(np.repeat(np.arange(len(found)), [len(x[-1]) for x in found]), pa.int32())
-    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-    hashes = [pa.array(c.astype(np.uint64).view(np.int64)) for c in columns[:-1]]
-    return pa.RecordBatch.from_arrays([*hashes, part.column(0).take(owner), part.column(1).take(owner), pa.array(columns[-1].astype(np.int32))], names)
+def fingerprints(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first word and number of words of all selected grams of a text."""
+    data = np.frombuffer(text, np.uint8)
+    begin, end = word_spans(data)
+    words = word_hashes(data, begin, end)
+    return tuple(np.concatenate(x) for x in zip(select_lines(words, line_starts(data, begin)), select_words(words), strict=True))
 
 
-def _all_seeds(docs: DataFrame, passage: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield _emit(part, [seeds(word_hashes(t or ""), passage) for t in part.column(2).to_pylist()], ["g", "doc_id", "mark", "at"])
-
-    return _rows(docs).mapInArrow(run, "g long, doc_id long, mark long, at int")
-
-
-def _stretches(docs: DataFrame, hits: DataFrame, passage: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part, found = batch.slice(at, 64), []
-                for text, places in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    words = word_hashes(text)
-                    starts = _starts(places, len(words), passage)
-                    found.append((*(grams(words, passage, b)[starts] for b in BASES), starts))
-                yield _emit(part, found, ["g1", "g2", "doc_id", "mark", "at"])
-
-    hits = hits.select(F.col("doc_id").alias("hit_doc"), F.col("mark").alias("hit_mark"), "places")
-    joined = _rows(docs).join(hits, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("mark") == F.col("hit_mark")))
-    return joined.select("doc_id", "mark", "text", "places").mapInArrow(run, "g1 long, g2 long, doc_id long, mark long, at int")
-
-
-def repeated_passages(docs: DataFrame, passage: int = PASSAGE_WORDS, copies: bool = True) -> DataFrame:
-    """`doc_id, mark, starts`: per document the first words of the stretches of `passage` words that also occur earlier.
-
-    Without `copies`, of documents with the same text only the first is looked at; no stretch has its first occurrence in the others.
-    """
-    found = materialize(_all_seeds(docs, passage), "seeds")
-    if not copies:
-        least = found.groupBy("mark").agg(F.min(F.struct("doc_id")).alias("least"))
-        found = found.join(least, "mark").where(F.col("doc_id").eqNullSafe(F.col("least.doc_id"))).drop("least")
-        found = materialize(found, "first-seeds")
-    twice = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    hits = found.join(twice, "g").groupBy("doc_id", "mark").agg(F.collect_set("at").alias("places"))
-    whole = materialize(_stretches(docs, hits, passage), "stretches")
-    key = ["g1", "g2"]
-    firsts = whole.groupBy(*key).agg(F.min(F.struct("doc_id", "mark", "at")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = whole.join(firsts, key).where(F.struct("doc_id", "mark", "at") > F.col("origin"))
-    return later.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts"))
-
-
-def cut_lines(lines: list[str], starts: list[int], passage: int) -> tuple[list[str], np.ndarray]:
-    """The lines without the words of the stretches, and which lines have lost all their words."""
-    spans = [[m.span() for m in WORD.finditer(line)] for line in lines]
-    n = sum(map(len, spans))
-    gone = np.zeros(n + 1, np.int64)
-    np.add.at(gone, np.array(starts, np.int64), 1)
-    np.add.at(gone, np.array(starts, np.int64) + passage, -1)
-    off = (np.cumsum(gone)[:-1] > 0).tolist()
-    out, empty, at = [], np.zeros(len(lines), bool), 0
-    for i, (line, words) in enumerate(zip(lines, spans, strict=True)):
-        cut = off[at : at + len(words)]
-        at += len(words)
-        if any(cut):
-            empty[i] = all(cut)
-            # a kept word goes with the white space before it, the first one with what leads the line
-            kept = [line[words[j - 1][1] if j else 0 : words[j][1]] for j in range(len(words)) if not cut[j]]
-            line = "".join(kept).lstrip() if cut[0] else "".join(kept)
-            line += "" if cut[-1] else lines[i][words[-1][1] :]
-        out.append(line)
-    return out, empty
+def contexts(text: bytes, asks: list[int], reach: int) -> list[np.ndarray]:
+    """For each ask (a place between words, times two; plus one for what follows it) the words' short hashes going outward."""
+    data = np.frombuffer(text, np.uint8)
+    words = word_hashes(data, *word_spans(data)).astype(np.uint32).view(np.int32)
+    return [words[a // 2 : a // 2 + reach] if a % 2 else words[max(a // 2 - reach, 0) : a // 2][::-1] for a in asks]
