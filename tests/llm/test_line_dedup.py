@@ -9,9 +9,9 @@ from trendloom.llm import line_dedup, passages
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def hashes(words):
-    data = np.frombuffer(" ".join(words).encode(), np.uint8)
-    return passages.word_hashes(data, *passages.word_spans(data))
+def hashed(words, starts=()):
+    """The words of a text whose lines begin at these words."""
+    return passages.Words(["".join(("\n" if k in starts else " ") * (k > 0) + w for k, w in enumerate(words)).encode()])
 
 
 def selected(lines):
@@ -19,8 +19,8 @@ def selected(lines):
     words = [w for line in lines for w in line]
     if not words:
         return set()
-    h = hashes(words)
-    key = cache(lambda a, b: int(passages.spans_hash(h, np.array([a]), np.array([b]))[0]))
+    h = hashed(words)
+    key = cache(lambda a, b: int(h.keys(np.array([a]), np.array([b]))[0]))
     starts = [sum(map(len, lines[:i])) for i in range(len(lines))] + [len(words)]
     out, size = set(), min(passages.LINE_WINDOW, len(words))
     grams = [(starts[i], next((e for e in starts[i + 1 :] if e - starts[i] >= passages.LINE_GRAM), None)) for i in range(len(lines))]
@@ -50,33 +50,27 @@ def brute(rows):
             first.setdefault((kind, k), (i, at))
     out = {}
     for i, t in texts.items():
-        marks, gone = {}, set()
-        for kind, k, at, n in chosen[i]:
-            j, o = first[kind, k]
-            if (j, o) != (i, at):
-                marks.setdefault((j, at - o), set()).update([(at, at + n)])
-        for (j, shift), spans in marks.items():
-            merged = []
-            for a, b in sorted(spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                lowest, highest = a - line_dedup.REACH, b + line_dedup.REACH
-                while a > max(lowest, 0) and a > shift and words[i][a - 1] == words[j][a - 1 - shift]:
-                    a -= 1
-                while b < min(highest, len(words[i])) and b - shift < len(words[j]) and words[i][b] == words[j][b - shift]:
-                    b += 1
-                if b - a >= passages.PASSAGE_WORDS:
-                    gone |= set(range(a, b))
-                else:
-                    at, whole = 0, set()
-                    for line in lines[i]:
-                        if line and a <= at and at + len(line) <= b:
-                            whole |= set(range(at, at + len(line)))
-                        at += len(line)
-                    gone |= whole if len(whole) >= passages.LINE_GRAM else set()
+        gone, merged = set(), []
+        for at, until, j, o in sorted((at, at + n, *first[kind, k]) for kind, k, at, n in chosen[i] if first[kind, k] != (i, at)):
+            if merged and at <= merged[-1][1]:
+                merged[-1][1:] = max((merged[-1][1], merged[-1][3]), (until, (j, o + until - at)))[0], merged[-1][2], max((merged[-1][1], merged[-1][3]), (until, (j, o + until - at)))[1]
+            else:
+                merged.append([at, until, (j, o), (j, o + until - at)])
+        for a, b, (j, o), (m, q) in merged:
+            lowest, highest = a - line_dedup.REACH, b + line_dedup.REACH
+            while a > max(lowest, 0) and o > 0 and words[i][a - 1] == words[j][o - 1]:
+                a, o = a - 1, o - 1
+            while b < min(highest, len(words[i])) and q < len(words[m]) and words[i][b] == words[m][q]:
+                b, q = b + 1, q + 1
+            if b - a >= passages.PASSAGE_WORDS:
+                gone |= set(range(a, b))
+            else:
+                at, whole = 0, set()
+                for line in lines[i]:
+                    if line and a <= at and at + len(line) <= b:
+                        whole |= set(range(at, at + len(line)))
+                    at += len(line)
+                gone |= whole if len(whole) >= passages.LINE_GRAM else set()
         out[i] = [w for k, w in enumerate(words[i]) if k not in gone]
     return out
 
@@ -109,7 +103,7 @@ def test_found_by_fingerprints_alone(docs, prose, monkeypatch):
     """A short repeated line counts only where its window selects it, and without fingerprints nothing is found."""
     line = "this line of nine words stands in many texts"
     rows = [(k, f"{prose('en', 9)}\n{line}\n{prose('en', 9)}") for k in range(40)]
-    chosen = [k for k, t in rows if any(n == 9 and at == 9 for _, at, n in zip(*(x.tolist() for x in passages.fingerprints(t.encode())), strict=True))]
+    chosen = [k for k, t in rows if any(n == 9 and at == 9 for _, at, n in zip(*(x.tolist() for x in passages.fingerprints([t.encode()])[1:]), strict=True))]
     assert 5 < len(chosen) < 35
     got = deduped(docs(rows))
     assert [k for k, t in rows if line not in got[k].new_text] == chosen[1:]
@@ -131,7 +125,7 @@ def test_fewer_fingerprints_than_lines_and_guarantee(prose):
         for head in (a, b):
             text = "\n".join([*head, *shared, *lines(5)])
             n = sum(len(x.split()) for x in head)
-            key, at, _ = passages.select_lines(hashes(text.split()), np.cumsum([0, *(len(x.split()) for x in text.split("\n")[:-1])]))
+            key, at, _ = passages.select_lines(passages.Words([text.encode()]))
             places.append({(k, p - n) for k, p in zip(key.tolist(), at.tolist(), strict=True) if p >= n})
             n_lines, n_chosen = n_lines + text.count("\n") + 1, n_chosen + len(key)
         assert places[0] & places[1]
@@ -203,11 +197,20 @@ def test_very_long_texts(docs, prose):
     assert got[3].new_text == got[4].new_text == blob  # one word is no run
 
 
-def test_rolling_hashes_equal_those_of_each_span():
-    words = np.random.default_rng(2).integers(0, 1 << 63, 300).astype(np.uint64)
+def test_keys_depend_on_the_words_alone():
+    words = [f"w{k}" for k in range(300)]
+    whole = hashed(words, {7, 90})
     for k in (1, 25, 50, 300):
         at = np.arange(301 - k)
-        each = [int(passages.spans_hash(words[a : a + k], np.array([0]), np.array([k]))[0]) for a in at]
-        assert passages.spans_hash(words, at, at + k).tolist() == each
-    long = np.frombuffer(("ab c " * 300_000).encode(), np.uint8)
-    assert len(set(passages.word_hashes(long, *passages.word_spans(long)).tolist())) == 2
+        assert whole.keys(at, at + k).tolist() == [int(hashed(words[a : a + k]).keys(np.array([0]), np.array([k]))[0]) for a in at]
+    assert len(set(passages.Words([("ab c " * 300_000).encode()]).hashes.tolist())) == 2
+
+
+def test_texts_together_give_what_each_gives_alone(prose):
+    r = random.Random(3)
+    texts = ["".join(w + r.choice("      \n") for w in prose("en", r.randint(0, 200)).split()).encode() for _ in range(40)] + [b"", b"\n \n", b"x"]
+    rows = sorted(zip(*(x.tolist() for x in passages.fingerprints(texts)), strict=True))
+    assert rows == sorted((i, *x[1:]) for i, t in enumerate(texts) for x in zip(*(y.tolist() for y in passages.fingerprints([t])), strict=True))
+    asks = [[0, 1, 3, 6] if len(t) > 20 else [] for t in texts]
+    alone = [x.tolist() for t, a in zip(texts, asks, strict=True) for x in passages.contexts([t], [a], 5)]
+    assert [x.tolist() for x in passages.contexts(texts, asks, 5)] == alone

@@ -2,10 +2,10 @@
 
 `passages` selects window minima as fingerprints: grams of lines, and grams of words for passages that begin or
 end inside a line. Positions are joined on the fingerprint: each occurrence meets the first one (by doc_id,
-text hash, place), never all others. Matches of a document with the same earlier one at the same distance that
-overlap or touch are one run. A run is then extended both ways, word by word, as far as the words equal those
-around the first occurrence (up to REACH words, since a longer repeat holds a further fingerprint). A run of at least
-PASSAGE_WORDS words goes as it is; of a shorter one its whole lines go, if they have LINE_GRAM words together.
+text hash, place), never all others. Matched grams of a document that overlap or touch are one run. A run is then
+extended both ways, word by word, as far as its words equal those around the first occurrence of the gram at that end (up
+to REACH words, since a longer repeat holds a further fingerprint). A run of at least PASSAGE_WORDS words goes as it is; of a
+shorter one its whole lines go, if they have LINE_GRAM words together.
 
 Texts meet the join twice: for the words around the runs, and to be cut. What they meet are written tables of a few
 numbers a run, so Spark broadcasts them while they are small, and shuffles the texts by document where they aren't.
@@ -13,7 +13,6 @@ numbers a run, so Spark broadcasts them while they are small, and shuffles the t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ REACH = 25
 #: Bytes of text taken at once.
 SLICE_BYTES = 1 << 20
 #: ASCII white space separates words.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SPACES = b" \t\n\v\f\r"
 LEAST_LONG = -(1 << 63)
 
 
@@ -57,11 +56,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 2):
-                found = [passages.fingerprints(t or b"") for t in part.column(2).cast(pa.binary()).to_pylist()]
-                if not found:
-                    continue
-                owner = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]), pa.int32())
-                key, at, size = (np.concatenate(c) for c in zip(*found, strict=True))
+                owner, key, at, size = passages.fingerprints([t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()])
+                owner = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key.view(np.int64)), part.column(0).take(owner), part.column(1).take(owner),
                     pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], names)
@@ -70,21 +66,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _runs(found: DataFrame) -> DataFrame:
-    """`doc_id, mark, first, last, o_doc, o_mark, shift`: words first..last-1 equal those `shift` earlier in the document o_doc, o_mark."""
+    """`doc_id, mark, first, last, head, tail`: stretches of words (last excluded) that matched grams cover without a gap.
+
+    `head` and `tail` are the first occurrences (document, text hash, place) of the words at the stretch's two ends.
+    """
     origins = found.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "at")).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(origins, "key").where(F.struct("doc_id", "mark", "at") > F.col("o")).select(
-        "doc_id", "mark", "at", (F.col("at") + F.col("size")).alias("until"),
-        F.col("o.doc_id").alias("o_doc"), F.col("o.mark").alias("o_mark"), (F.col("at") - F.col("o.at")).alias("shift"))
-    key = ["doc_id", "mark", "o_doc", "o_mark", "shift"]
-    places = Window.partitionBy(*key).orderBy("at")
+    origins = materialize(origins, "origins")  # so that a common key's rows can be split in the join
+    later = found.join(origins, "key").where(F.struct("doc_id", "mark", "at") > F.col("o"))
+    until = F.col("at") + F.col("size")
+    later = later.select(
+        "doc_id", "mark", "at", until.alias("until"), F.struct("o.doc_id", "o.mark", F.col("o.at").alias("place")).alias("head"),
+        F.struct("o.doc_id", "o.mark", (F.col("o.at") + F.col("size")).alias("place")).alias("tail"))
+    places = Window.partitionBy("doc_id", "mark").orderBy("at")
     before = F.max("until").over(places.rowsBetween(Window.unboundedPreceding, -1))
     begun = later.withColumn("new", F.when(F.col("at") <= before, 0).otherwise(1))
     numbered = begun.withColumn("run", F.sum("new").over(places.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*key, "run").agg(F.min("at").alias("first"), F.max("until").alias("last")).drop("run")
+    whole = numbered.groupBy("doc_id", "mark", "run").agg(F.min(F.struct("at", "head")).alias("a"), F.max(F.struct("until", "tail")).alias("b"))
+    return whole.select("doc_id", "mark", F.col("a.at").alias("first"), F.col("b.until").alias("last"), "a.head", "b.tail")
 
 
 def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """`c_doc, c_mark, c_ask, around`: the words outward of the asked places; both documents of a run are asked."""
+    """`c_doc, c_mark, c_ask, around`: the words outward of the asked places; both documents of an end are asked."""
     asks = ends.select("doc_id", "mark", "ask").union(ends.select("o_doc", "o_mark", "o_ask"))
     asks = asks.groupBy(F.col("doc_id").alias("c_doc"), F.col("mark").alias("c_mark")).agg(F.sort_array(F.collect_set("ask")).alias("asks"))
     asks = materialize(asks, "asks")
@@ -93,7 +95,7 @@ def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
         for batch in batches:
             for part in _slices(batch, 2):
                 asked = part.column(3).to_pylist()
-                found = [x for t, a in zip(part.column(2).cast(pa.binary()).to_pylist(), asked, strict=True) for x in passages.contexts(t, a, REACH)]
+                found = passages.contexts(part.column(2).cast(pa.binary()).to_pylist(), asked, REACH)
                 if not found:
                     continue
                 owner = pa.array(np.repeat(np.arange(len(asked)), [len(a) for a in asked]), pa.int32())
@@ -109,25 +111,27 @@ def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """`doc_id, mark, runs`: per document its repeated runs of words (first, last; last excluded), extended both ways."""
     runs = materialize(_runs(materialize(fingerprints(docs), "fingerprints")), "runs")
-    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
-    ends = runs.select("*", sides).withColumn("place", F.when(F.col("side") == 0, F.col("first")).otherwise(F.col("last")))
-    ends = ends.withColumn("ask", F.col("place") * 2 + F.col("side")).withColumn("o_ask", (F.col("place") - F.col("shift")) * 2 + F.col("side"))
+    # an ask is a place between words, times two; plus one for what follows it
+    end = F.explode(F.array(
+        F.struct((F.col("first") * 2).alias("ask"), F.col("head").alias("o")), F.struct((F.col("last") * 2 + 1).alias("ask"), F.col("tail").alias("o")))).alias("end")
+    ends = runs.select("doc_id", "mark", "first", "last", end).select(
+        "doc_id", "mark", "first", "last", "end.ask", F.col("end.o.doc_id").alias("o_doc"), F.col("end.o.mark").alias("o_mark"),
+        (F.col("end.o.place") * 2 + F.col("end.ask") % 2).alias("o_ask"))
     found = materialize(_contexts(docs, ends), "contexts")
     mine = found.select("c_doc", "c_mark", "c_ask", F.col("around").alias("own"))
     ends = ends.join(mine, (F.col("doc_id") == F.col("c_doc")) & (F.col("mark") == F.col("c_mark")) & (F.col("ask") == F.col("c_ask"))).drop("c_doc", "c_mark", "c_ask")
     ends = ends.join(found, (F.col("o_doc") == F.col("c_doc")) & (F.col("o_mark") == F.col("c_mark")) & (F.col("o_ask") == F.col("c_ask")))
     unlike = F.array_position(F.zip_with("own", "around", lambda x, y: x.eqNullSafe(y)), False).cast("int")
-    ends = ends.withColumn("more", F.when(unlike == 0, F.size("own")).otherwise(unlike - 1))
-    whole = ends.groupBy("doc_id", "mark", "o_doc", "o_mark", "shift", "first", "last").agg(
-        F.max(F.when(F.col("side") == 0, F.col("more"))).alias("ahead"), F.max(F.when(F.col("side") == 1, F.col("more"))).alias("behind"))
+    more = F.when(unlike == 0, F.size("own")).otherwise(unlike - 1)
+    whole = ends.groupBy("doc_id", "mark", "first", "last").agg(
+        F.max(F.when(F.col("ask") % 2 == 0, more)).alias("ahead"), F.max(F.when(F.col("ask") % 2 == 1, more)).alias("behind"))
     run = F.struct((F.col("first") - F.col("ahead")).alias("first"), (F.col("last") + F.col("behind")).alias("last"))
     return whole.groupBy("doc_id", "mark").agg(F.collect_set(run).alias("runs"))
 
 
-def repeated_words(counts: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
-    """Which words of a text go, whose lines have these word counts."""
-    ends = np.cumsum(counts)
-    starts, gone = ends - counts, np.zeros(int(counts.sum()) + 1, np.int64)
+def repeated_words(starts: np.ndarray, ends: np.ndarray, n: int, runs: list[tuple[int, int]]) -> np.ndarray:
+    """Which of a text's n words go; `starts` and `ends` are the places of its lines with words."""
+    gone = np.zeros(n + 1, np.int64)
     for first, last in runs:
         if last - first < passages.PASSAGE_WORDS:  # whole lines only
             a, b = int(np.searchsorted(starts, first)), int(np.searchsorted(ends, last, side="right"))
@@ -139,65 +143,73 @@ def repeated_words(counts: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarra
     return np.cumsum(gone)[:-1] > 0
 
 
-def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
+def without_runs(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
     """The text without the repeated words, and how many lines went."""
-    lines = text.split("\n")
-    spans = [[m.span() for m in WORD.finditer(line)] for line in lines]
-    gone = repeated_words(np.array([len(x) for x in spans]), runs).tolist()
-    off, at = np.zeros(len(lines), bool), 0
-    for i, words in enumerate(spans):
-        cut = gone[at : at + len(words)]
-        at += len(words)
-        if any(cut):
-            off[i] = all(cut)
-            lines[i] = without_words(lines[i], words, cut)
-    solid = np.array([bool(x) for x in spans])
+    data = np.frombuffer(text, np.uint8)
+    begin, end = passages.word_spans(data)
+    lines = text.split(b"\n")
+    line = np.searchsorted(np.flatnonzero(data == 0x0A), begin)
+    counts = np.bincount(line, minlength=len(lines))
+    solid = counts > 0
+    ends = np.cumsum(counts)
+    gone = repeated_words((ends - counts)[solid], ends[solid], len(begin), runs)
+    cut = np.bincount(line, gone, len(lines))
+    off = solid & (cut == counts)
+    for i in np.flatnonzero((cut > 0) & ~off).tolist():
+        own = slice(ends[i] - counts[i], ends[i])
+        at = int(begin[own.start]) - (len(lines[i]) - len(lines[i].lstrip(SPACES)))
+        lines[i] = without_words(lines[i], list(zip((begin[own] - at).tolist(), (end[own] - at).tolist(), strict=True)), gone[own].tolist())
     place = np.arange(len(lines))
     before = np.maximum.accumulate(np.where(solid, place, -1))
     after = np.minimum.accumulate(np.where(solid, place, len(lines))[::-1])[::-1]
     inner = ~solid & (before >= 0) & (after < len(lines))  # blank lines between others go with both neighbours
     off[inner] = off[before[inner]] & off[after[inner]]
-    return "\n".join(line for line, x in zip(lines, off.tolist(), strict=True) if not x), int(off.sum())
+    return b"\n".join(line for line, x in zip(lines, off.tolist(), strict=True) if not x), int(off.sum())
 
 
-def without_words(line: str, words: list[tuple[int, int]], cut: list[bool]) -> str:
+def without_words(line: bytes, words: list[tuple[int, int]], cut: list[bool]) -> bytes:
     """The line without some words: a kept word goes with the white space before it, the first one with what leads the line."""
-    kept = "".join(line[words[j - 1][1] if j else 0 : words[j][1]] for j in range(len(words)) if not cut[j])
-    return (kept.lstrip(" \t\v\f\r") if cut[0] else kept) + ("" if cut[-1] else line[words[-1][1] :])
+    kept = b"".join(line[words[j - 1][1] if j else 0 : words[j][1]] for j in range(len(words)) if not cut[j])
+    return (kept.lstrip(SPACES) if cut[0] else kept) + (b"" if cut[-1] else line[words[-1][1] :])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """`row` (all columns of `docs`), `new_text`, `n_lines`, `n_removed` of every row.
+    """`row` (all columns of `docs` but text), `new_text`, `n_lines`, `n_removed`, `changed` of every row.
 
     Repeated runs stay at their first occurrence (smallest doc_id, then text hash, then place) and go everywhere else,
     within a document too: whole lines from LINE_GRAM words a run on (always found from LINE_WINDOW words on; shorter
     ones if a window selects them), and whatever words of a run of PASSAGE_WORDS, which may begin and end inside a
-    line; of such a line the other words stay, and it isn't counted in `n_removed`. A run is compared with the first occurrence of
-    its fingerprints; words at its ends that equal only a later occurrence's stay. Lines compare by their words; a blank
+    line; of such a line the other words stay, and it isn't counted in `n_removed`. A run is a stretch of words that repeated grams
+    cover without a gap, and what extends it: the words at its ends that equal those around the first occurrence of
+    its first, or last, gram; words that equal only a later occurrence's stay. Lines compare by their words; a blank
     line goes if the nearest lines with words on both sides go. Runs of fewer than LINE_GRAM words stay. A null text stays
     null with 0 lines; a text may become empty. Rows that repeat a doc_id and a text are one document and change
     alike; a null doc_id counts as the least long, so such a document comes first. No rows give no rows.
     """
-    names = docs.columns
     runs = materialize(repeated_runs(docs), "repeats").select(F.col("doc_id").alias("run_doc"), F.col("mark").alias("run_mark"), "runs")
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_LONG))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), ids.alias("id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_LONG)).alias("id"), F.xxhash64("text").alias("mark"))
     joined = rows.join(runs, (F.col("id") == F.col("run_doc")) & (F.col("mark") == F.col("run_mark")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 1):
-                texts, removed = [], []
-                for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    new, n = without_runs(text, [(r["first"], r["last"]) for r in found]) if found and text is not None else (text, 0)
-                    texts.append(new)
-                    removed.append(n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["row", "new_text", "n_removed"])
-
-    schema = joined.select("row").schema.add("new_text", T.StringType()).add("n_removed", T.IntegerType())
-    out = joined.select("row", "text", "runs").mapInArrow(cut, schema)
-    lines = F.coalesce(F.size(F.split(F.col("row.text"), "\n")), F.lit(0))
-    return out.select("row", "new_text", F.when(F.col("row.text").isNull(), 0).otherwise(lines).alias("n_lines"), "n_removed")
+                texts, lines, removed = part.column(1).cast(pa.binary()).to_pylist(), [], []
+                for i, found in enumerate(part.column(2).to_pylist()):
+                    lines.append(0 if texts[i] is None else texts[i].count(b"\n") + 1)
+                    if found:
+                        texts[i], n = without_runs(texts[i], [(r["first"], r["last"]) for r in found])
+                    removed.append(n if found else 0)
+                new = pa.array(texts, pa.binary()).cast(pa.string())
+                changed = pc.fill_null(pc.not_equal(new, part.column(1)), False)
+                yield pa.RecordBatch.from_arrays([part.column(0), new, pa.array(lines, pa.int32()), pa.array(removed, pa.int32()), changed], names)
+
+    names = ["row", "new_text", "n_lines", "n_removed", "changed"]
+    schema = joined.select("row").schema
+    for name, kind in zip(names[1:], (T.StringType(), T.IntegerType(), T.IntegerType(), T.BooleanType()), strict=True):
+        schema = schema.add(name, kind)
+    return joined.select("row", "text", "runs").mapInArrow(cut, schema)
 
 
 def documents_without_repeats(docs: DataFrame) -> DataFrame:
@@ -209,7 +221,7 @@ def documents_without_repeats(docs: DataFrame) -> DataFrame:
         if c == "text":
             return F.col("new_text").alias(c)
         if c == "n_chars":
-            return F.when(~F.col("new_text").eqNullSafe(F.col("row.text").cast("string")), F.length("new_text").cast(kinds[c])).otherwise(F.col("row.n_chars")).alias(c)
+            return F.when(F.col("changed"), F.length("new_text").cast(kinds[c])).otherwise(F.col("row.n_chars")).alias(c)
         return F.col(f"row.`{c}`").alias(c)
 
     return out.select(*[column(c) for c in docs.columns])

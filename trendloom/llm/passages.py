@@ -73,71 +73,83 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def spans_hash(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the words in each of these ranges: the sum of hash * base^place modulo 2^64, mixed."""
-    up, down = _powers(WORD_BASE, len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return _mix((sums[end] - sums[begin]) * down[begin])
-
-
-def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last line of the windows over lines with these word counts (all above 0)."""
-    n = len(words)
-    ends = np.cumsum(words)
-    first = np.arange(n)
-    last = np.searchsorted(ends, ends - words + least)  # shortest run from each line
-    start = np.searchsorted(ends - words, ends - least, side="right") - 1  # shortest run up to each line
-    a, b = np.concatenate([first[last < n], start[start >= 0]]), np.concatenate([last[last < n], first[start >= 0]])
-    both = np.unique(a * n + b)
-    return both // n, both % n
-
-
-def select_lines(words: np.ndarray, starts: np.ndarray, gram: int = LINE_GRAM, window: int = LINE_WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first word and number of words of the selected grams of lines; `starts` are the lines' first words.
-
-    A text with fewer words than a window is one window.
-    """
-    empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(words) < gram:
-        return empty
-    ends = np.append(starts[1:], len(words))
-    last = np.searchsorted(ends, starts + gram)
-    starts, last = starts[last < len(ends)], last[last < len(ends)]
-    keys = spans_hash(words, starts, ends[last]) ^ LINES
-    a, b = windows(np.diff(ends, prepend=0), min(window, len(words)))
-    h, until = keys.tolist(), np.searchsorted(last, b, side="right").tolist()
-    chosen = sorted({min(range(i, j), key=h.__getitem__) for i, j in zip(a.tolist(), until, strict=True)})
-    return keys[chosen], starts[chosen], (ends[last] - starts)[chosen]
-
-
-def select_words(words: np.ndarray, gram: int = WORD_GRAM, passage: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Words:
+    """The words of some texts, one text after the other: hashes, lines, and which text each belongs to."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        self.begin, self.end = word_spans(data)
+        self.hashes = word_hashes(data, self.begin, self.end)
+        self.firsts = np.append(np.searchsorted(self.begin, np.cumsum(sizes) - sizes), len(self.begin))  # first word of each text
+        self.owner = np.repeat(np.arange(len(texts)), np.diff(self.firsts))
+        line = np.searchsorted(np.flatnonzero(data == 0x0A), self.begin)
+        self.lines = np.flatnonzero(line[1:] != line[:-1]) + 1  # first word of each line with words
+        self.lines = np.concatenate([np.zeros(min(1, len(line)), np.int64), self.lines])
+        self.sums = np.zeros(len(self.hashes) + 1, np.uint64)
+        up, self.down = _powers(WORD_BASE, len(self.hashes) + 1)
+        np.cumsum(self.hashes * up[: len(self.hashes)], out=self.sums[1:])
+
+    def keys(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the words in each of these ranges: the sum of hash * base^place modulo 2^64, mixed."""
+        return _mix((self.sums[end] - self.sums[begin]) * self.down[begin])
+
+
+def select_lines(words: Words, gram: int = LINE_GRAM, window: int = LINE_WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first word and number of words of the selected grams of lines. A text with fewer words than a window is one window."""
+    starts = words.lines
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, starts
+    ends = np.append(starts[1:], len(words.owner))
+    text = words.owner[starts]
+    low, high = words.firsts[text], words.firsts[text + 1]
+    # the last line of each line's gram; lines too near the text's end have none, and count as reaching beyond it
+    whole = starts + gram <= high
+    last = np.where(whole, np.searchsorted(ends, starts + gram), np.searchsorted(starts, high))
+    keys = words.keys(starts, ends[np.minimum(last, len(ends) - 1)]) ^ LINES
+    size = np.minimum(window, high - low)
+    ahead, back = starts + size <= high, ends - size >= low
+    line = np.arange(len(starts))
+    a = np.concatenate([line[ahead], np.searchsorted(starts, (ends - size)[back], side="right") - 1])
+    b = np.concatenate([np.searchsorted(ends, (starts + size)[ahead]), line[back]])
+    n = np.searchsorted(last, b, side="right") - a  # the grams inside of each window
+    a, n = a[n > 0], n[n > 0]
+    if not len(a):
+        return keys[:0], starts[:0], starts[:0]
+    first = np.cumsum(n) - n
+    inside = np.repeat(a - first, n) + np.arange(n.sum())
+    least = np.flatnonzero(keys[inside] == np.repeat(np.minimum.reduceat(keys[inside], first), n))
+    least = least[np.searchsorted(least, first)]  # the first of equal ones
+    chosen = np.unique(inside[least])
+    return keys[chosen], starts[chosen], ends[last[chosen]] - starts[chosen]
+
+
+def select_words(words: Words, gram: int = WORD_GRAM, passage: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, first word and number of words of the selected grams of words."""
-    if len(words) < passage:
+    n = len(words.owner)
+    if n < passage:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.arange(len(words) - gram + 1)
-    keys = spans_hash(words, at, at + gram)
-    least = sliding_window_view(keys, passage - gram + 1).argmin(axis=1)
-    at = np.unique(np.arange(len(least)) + least)
+    at = np.arange(n - gram + 1)
+    keys = words.keys(at, at + gram)
+    first = np.flatnonzero(words.owner[: n - passage + 1] == words.owner[passage - 1 :])  # windows inside of one text
+    at = first + sliding_window_view(keys, passage - gram + 1)[first].argmin(axis=1)
+    at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
     return keys[at], at, np.full(len(at), gram)
 
 
-def line_starts(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The first word of each line that has words."""
-    line = np.searchsorted(np.flatnonzero(data == 0x0A), begin)
-    return np.flatnonzero(np.diff(line, prepend=-1))
+def fingerprints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, key, first word (in its text) and number of words of all selected grams."""
+    words = Words(texts)
+    key, at, size = (np.concatenate(x) for x in zip(select_lines(words), select_words(words), strict=True))
+    return words.owner[at], key, at - words.firsts[words.owner[at]], size
 
 
-def fingerprints(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first word and number of words of all selected grams of a text."""
-    data = np.frombuffer(text, np.uint8)
-    begin, end = word_spans(data)
-    words = word_hashes(data, begin, end)
-    return tuple(np.concatenate(x) for x in zip(select_lines(words, line_starts(data, begin)), select_words(words), strict=True))
-
-
-def contexts(text: bytes, asks: list[int], reach: int) -> list[np.ndarray]:
-    """For each ask (a place between words, times two; plus one for what follows it) the words' short hashes going outward."""
-    data = np.frombuffer(text, np.uint8)
-    words = word_hashes(data, *word_spans(data)).astype(np.uint32).view(np.int32)
-    return [words[a // 2 : a // 2 + reach] if a % 2 else words[max(a // 2 - reach, 0) : a // 2][::-1] for a in asks]
+def contexts(texts: list[bytes], asks: list[list[int]], reach: int) -> list[np.ndarray]:
+    """For each text's asks (a place between words, times two; plus one for what follows it) the words' short hashes going outward."""
+    words = Words(texts)
+    short, found = words.hashes.astype(np.uint32).view(np.int32), []
+    for low, high, asked in zip(words.firsts[:-1].tolist(), words.firsts[1:].tolist(), asks, strict=True):
+        for a in asked:
+            at = low + a // 2
+            found.append(short[at : min(at + reach, high)] if a % 2 else short[max(at - reach, low) : at][::-1])
+    return found
