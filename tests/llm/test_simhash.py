@@ -1,4 +1,4 @@
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -30,18 +30,29 @@ def test_golay_code_is_perfect():
     assert (simhash.syndromes(leader) == np.arange(2048)).all()
 
 
-def test_probes_hold_the_index_of_every_word_one_bit_away():
-    draw = np.random.default_rng(3)
-    fps = draw.integers(0, 1 << 64, 300, dtype=np.uint64)
-    own, probes = simhash.segment_keys(fps, simhash.golay_tables())
-    for k, (shift, bits) in enumerate(simhash.SEGMENTS):
+@pytest.mark.parametrize("form", [simhash.NARROW, simhash.WIDE])
+def test_probes_hold_the_index_of_every_word_one_bit_away(form):
+    draw, tables = np.random.default_rng(3), simhash.golay_tables()
+    fps = draw.integers(0, 1 << 64, 100, dtype=np.uint64)
+    for shift, bits in form.segments:
+        word = lambda x: (x >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64)  # noqa: B023, E731
+        probes = simhash.segment_indices(word(fps), tables)
         for bit in range(bits):
-            near, _ = simhash.segment_keys(fps ^ np.uint64(1 << (shift + bit)), simhash.golay_tables())
-            assert (probes[k] == near[k][:, None]).any(axis=1).all()
-        assert (probes[k][:, 0] == own[k]).all()
+            near = simhash.segment_indices(word(fps ^ np.uint64(1 << (shift + bit))), tables)[:, 0]
+            assert (probes == near[:, None]).any(axis=1).all()
 
 
-def test_every_pair_within_three_bits_is_found_once(spark):
+def test_layout_follows_the_number_of_fingerprints():
+    assert simhash.layout(1000) is simhash.NARROW and simhash.layout(simhash.NARROW_MAX + 1) is simhash.WIDE
+    for form in (simhash.NARROW, simhash.WIDE):  # every way to put three errors into the segments is held by some key
+        n = len(form.segments)
+        for errors in product(range(4), repeat=n):
+            if sum(errors) <= 3:
+                assert any(all(errors[k] == 0 for k in equal) and all(errors[k] <= 1 for k in pair) for equal, pair in form.keys)
+
+
+@pytest.mark.parametrize("form", [simhash.NARROW, simhash.WIDE])
+def test_every_pair_within_three_bits_is_found_once(spark, form):
     draw = np.random.default_rng(4)
     base = draw.integers(0, 1 << 64, 60, dtype=np.uint64)
     fps = {int(x) for x in base}
@@ -51,7 +62,7 @@ def test_every_pair_within_three_bits_is_found_once(spark):
                 x ^= 1 << b
             fps.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
+    got = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), form).collect()]
     want = {tuple(sorted(p)) for p in combinations(signed, 2) if ((p[0] ^ p[1]) & (1 << 64) - 1).bit_count() <= 3}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
 
@@ -86,7 +97,14 @@ def test_rows_that_repeat_and_no_rows(spark, docs):
     assert simhash.near_duplicates(docs([])).count() == 0
     kept = simhash.drop_near_duplicates(docs([(2, "a b c"), (1, "a b c"), (1, "a b c"), (None, "a b c"), (4, "zz yy xx ww")]))
     assert kept.columns == df.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
+def test_unlike_texts_of_one_id_stay_and_null_ids_take_part(docs, prose):
+    a, b, c = (prose("en", 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, c), (2, c), (3, b), (None, a), (None, prose("de", 40)), (None, None), (4, "")]
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.drop_near_duplicates(docs(rows)).collect())
+    assert got == sorted([(1, a), (1, b), (2, c), (0, rows[6][1]), (4, "")])
 
 
 @pytest.mark.parametrize("n", [0, 1])

@@ -3,19 +3,25 @@
 A document's 64-bit fingerprint takes the bit-wise majority over the XXH64 hashes of its word
 shingles. Two fingerprints link if they differ in at most three bits.
 
-The 64 bits are cut into three segments (22, 21, 21 bits, each set into a 23-bit word). Three bit
-errors over three segments always leave two segments with at most one error each. Each word of the
-perfect binary Golay code [23,12,7] lies within distance 3 of exactly one codeword, so a word
-decodes to a 12-bit index. A neighbour at distance 1 decodes to the same index, or, if the word lies
-at distance 3, to one of the five codewords at distance 4. Hence the probe keys of a segment (one or six
-indices) hold the index of every word one bit away, and joining the probe keys of a pair of
-segments (24 bits) with the index keys of the others finds each link; the join verifies the
-distance. A link is emitted by the first pair of segments that guarantees it, so exactly once.
+The 64 bits are cut into segments, each set into a 23-bit word. Each word of the perfect binary Golay code
+[23,12,7] lies within distance 3 of exactly one codeword, so a word decodes to a 12-bit index. A neighbour
+at distance 1 decodes to the same index, or, if the word lies at distance 3, to one of the five
+codewords at distance 4. Hence the probe indices of a segment (one or six) hold the index of every word one
+bit away. Three bit errors over three segments (22, 21, 21 bits) always leave two with at most one error
+each: keys of 24 bits. Over four segments (16 bits each) they always leave one without an error and two
+more with at most one each: keys of 40 bits, which `layout` takes for tables whose 24-bit keys would be
+crowded; both find every link. Probe keys are joined with the index keys of the others, and the join
+verifies the distance. A link is emitted by the first key that guarantees it, so exactly once.
+
+A fingerprint has at most 43,744 others within three bits, so links grow in proportion to the distinct
+fingerprints; copies share a fingerprint and are never paired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,13 +35,29 @@ from trendloom.llm.common import components, materialize, only_columns
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-#: (shift, bits) of the segments, and the pairs of segments that are tried, in this order.
-SEGMENTS = ((42, 22), (21, 21), (0, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: The greatest number of distinct fingerprints for which keys of 24 bits are used (84 probe keys a fingerprint, against 340).
+NARROW_MAX = 1 << 25
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 POLYNOMIAL = 0b110001110101
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Segments as (shift, bits), and keys as (segments that must be equal, pair of segments with up to one error), in order."""
+
+    segments: tuple[tuple[int, int], ...]
+    keys: tuple[tuple[tuple[int, ...], tuple[int, int]], ...]
+
+
+NARROW = Layout(((42, 22), (21, 21), (0, 21)), tuple(((), pair) for pair in combinations(range(3), 2)))
+WIDE = Layout(((48, 16), (32, 16), (16, 16), (0, 16)), tuple(((k,), pair) for k in range(4) for pair in combinations([x for x in range(4) if x != k], 2)))
+
+
+def layout(n: int) -> Layout:
+    """The layout for so many distinct fingerprints."""
+    return NARROW if n <= NARROW_MAX else WIDE
+
+
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE) -> int:
     """Unsigned fingerprint of a text; 0 if it has no word (null, empty or only white space)."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
@@ -57,14 +79,15 @@ def fingerprint(text: str | None, words_per_shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """`doc_id, fp` (signed long with the fingerprint's bits) of every row of `docs(doc_id, text)`."""
+    """`doc_id, mark` (the text's hash), `fp` (signed long with the fingerprint's bits) of every row of `docs(doc_id, text)`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return only_columns(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, fp long")
+    rows = only_columns(docs, {"doc_id": "long", "text": "string"})
+    return rows.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,82 +121,90 @@ def syndromes(words: np.ndarray) -> np.ndarray:
     return rest
 
 
-def segment_keys(fps: np.ndarray, tables: tuple) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per segment: the codeword index of each fingerprint (n), and its six probe indices (n, 6),
-    -1 where there is none."""
+def segment_indices(words: np.ndarray, tables: tuple) -> np.ndarray:
+    """Per 23-bit word its six probe indices, -1 where there is none; the first is the word's own codeword index."""
     leader, weight, beyond = tables
-    own, probes = [], []
-    for shift, bits in SEGMENTS:
-        word = (fps >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        s = syndromes(word)
-        index = (word ^ leader[s]) >> 11
-        more = np.where((weight[s] == 3)[:, None], (word[:, None] ^ beyond[s]) >> 11, -1)
-        own.append(index)
-        probes.append(np.concatenate([index[:, None], more], axis=1))
-    return own, probes
+    s = syndromes(words)
+    more = np.where((weight[s] == 3)[:, None], (words[:, None] ^ beyond[s]) >> 11, -1)
+    return np.concatenate([((words ^ leader[s]) >> 11)[:, None], more], axis=1)
+
+
+def fingerprint_keys(fps: np.ndarray, form: Layout, tables: tuple, probing: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each key of the layout the keys of these fingerprints, and whose they are (places in `fps`)."""
+    words = [(fps >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64) for shift, bits in form.segments]
+    indices = [segment_indices(w, tables)[:, : 6 if probing else 1] for w in words]
+    for t, (equal, (i, j)) in enumerate(form.keys):
+        base = reduce(lambda key, k: key << 16 | words[k], equal, np.full(len(fps), t, np.int64))[:, None, None]
+        ok = (indices[i] >= 0)[:, :, None] & (indices[j] >= 0)[:, None, :]
+        key = (base << 12 | indices[i][:, :, None]) << 12 | indices[j][:, None, :]
+        yield key[ok], np.repeat(np.arange(len(fps)), ok.sum(axis=(1, 2)))
 
 
-def _keyed(fps: DataFrame, probing: bool) -> DataFrame:
-    """Rows `key, fp`: the index keys of each fingerprint, or its probe keys."""
+def _keyed(fps: DataFrame, form: Layout, probing: bool) -> DataFrame:
+    """Rows `t, key, fp`: the index keys of each fingerprint, or its probe keys; t is the place in the layout."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = golay_tables()
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                signed = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False)
-                own, probes = segment_keys(signed.view(np.uint64), tables)
-                for t, (i, j) in enumerate(PAIRS):
-                    if probing:
-                        ok = ((probes[i] >= 0)[:, :, None] & (probes[j] >= 0)[:, None, :]).reshape(len(signed), -1)
-                        key = (t << 24 | probes[i][:, :, None] << 12 | probes[j][:, None, :]).reshape(len(signed), -1)
-                        arrays = [key[ok], np.repeat(signed, ok.sum(axis=1))]
-                    else:
-                        arrays = [t << 24 | own[i] << 12 | own[j], signed]
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "fp"])
-
-    return fps.select("fp").mapInArrow(run, "key long, fp long")
-
-
-def links(fps: DataFrame) -> DataFrame:
+            for at in range(0, batch.num_rows, 2048):
+                signed = batch.column(0).slice(at, 2048).to_numpy(zero_copy_only=False)
+                for t, (key, owner) in enumerate(fingerprint_keys(signed.view(np.uint64), form, tables, probing)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int8)), pa.array(key), pa.array(signed[owner])], ["t", "key", "fp"])
+
+    return fps.select("fp").mapInArrow(run, "t byte, key long, fp long")
+
+
+def links(fps: DataFrame, form: Layout = NARROW) -> DataFrame:
     """Pairs `a, b` (a < b) of the distinct fingerprints `fps(fp)` that differ in at most three bits."""
-    probe = _keyed(fps, True).select("key", F.col("fp").alias("a"))
-    index = _keyed(fps, False).select(F.col("key").alias("key2"), F.col("fp").alias("b"))
+    probe = _keyed(fps, form, True).select("t", "key", F.col("fp").alias("a"))
+    index = _keyed(fps, form, False).select(F.col("key").alias("key2"), F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
 
     def errors(k: int) -> Column:
-        shift, bits = SEGMENTS[k]
+        shift, bits = form.segments[k]
         return F.bit_count(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1)))
 
-    first = F.when((errors(0) <= 1) & (errors(1) <= 1), 0).when(errors(0) <= 1, 1).otherwise(2)
-    near = (F.col("a") < F.col("b")) & (F.bit_count(x) <= MAX_BITS) & (first == F.shiftright("key", 24))
+    def holds(equal: tuple[int, ...], pair: tuple[int, int]) -> Column:
+        return reduce(Column.__and__, [errors(k) == 0 for k in equal] + [errors(k) <= 1 for k in pair])
+
+    first = F.coalesce(*[F.when(holds(*key), F.lit(t)) for t, key in enumerate(form.keys)])
+    near = (F.col("a") < F.col("b")) & (F.bit_count(x) <= MAX_BITS) & (first == F.col("t"))
     return probe.join(index, (F.col("key") == F.col("key2")) & near).select("a", "b")
 
 
+def _with_components(docs: DataFrame) -> DataFrame:
+    """`doc_id, mark` (the text's hash), `fp, root` of every row; root is a fingerprint of its component."""
+    marks = materialize(fingerprints(docs), "fingerprints")
+    classes = materialize(marks.select("fp").distinct(), "classes")
+    roots = components(links(classes, layout(classes.count())))
+    return marks.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "mark", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """`doc_id, fingerprint (16 hex digits), component_id` of every row of `docs(doc_id, text)`.
 
     component_id is the smallest doc_id reachable over links, itself included. Texts without a word
     (null, empty) have fingerprint zero and link like any other. Rows that repeat a doc_id each give
-    a row; a null doc_id never names a component unless no other row is in it (then null).
+    a row; a null doc_id never names a component unless no other row is in it (then null). No rows give no rows.
     Copies share a fingerprint, so links are sought between distinct fingerprints only.
     """
-    marks = materialize(fingerprints(docs), "fingerprints")
-    classes = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp")))
-    rooted = materialize(
-        classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    return marks.join(by_fp, F.col("fp") == F.col("class_fp"), "left").select(
+    rooted = materialize(_with_components(docs), "rooted")
+    named = rooted.groupBy(F.col("root").alias("name_root")).agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(named, F.col("root") == F.col("name_root")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each group of near-duplicates: the one whose doc_id names the group.
+    """`docs` with one document of each group of near-duplicates: that of smallest doc_id (null last), then of smallest text hash.
 
-    Rows that repeat that doc_id are copies of the document, and one stays. Rows without a doc_id stay.
+    A document is known by its doc_id and its text. Rows that repeat both are copies, and one of them stays; unlike texts
+    under one doc_id are unlike documents.
     """
-    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()))
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    kept = _with_components(docs).groupBy("root").agg(F.min(first).alias("kept"))
+    kept = kept.select(F.coalesce("kept.doc_id", F.lit(0)).alias("_id"), F.col("kept.doc_id").isNull().alias("_none"), F.col("kept.mark").alias("_mark"))
+    kept = materialize(kept, "kept")
+    own = docs.withColumns({"_own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_own_none": F.col("doc_id").isNull(), "_own_mark": F.xxhash64("text")})
+    same = (F.col("_own_id") == F.col("_id")) & (F.col("_own_none") == F.col("_none")) & (F.col("_own_mark") == F.col("_mark"))
+    one = own.join(kept, same, "left_semi").dropDuplicates(["_own_id", "_own_none", "_own_mark"])
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
