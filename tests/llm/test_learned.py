@@ -39,6 +39,58 @@ def test_language_filter_keeps_columns_and_clean_documents(corpus):
     kept = language_id.keep_identified(corpus)
     assert kept.columns == corpus.columns
     assert kept.count() == corpus.count() - 3
+    # unlike a filter by letters: languages are filled in and corrected, and those not asked for go
+    lang = {r.doc_id: r.lang for r in kept.collect()}
+    assert lang[900] == "en" and lang[904] == "ru" and all(lang.values())
+    wrong = corpus.selectExpr("doc_id", "text", "CASE WHEN doc_id = 7 THEN 'ru' ELSE lang END AS lang")
+    assert {r.doc_id: r.lang for r in language_id.keep_identified(wrong).collect()}[7] == "de"
+    some = language_id.keep_identified(corpus, languages=["de"]).collect()
+    assert {r.lang for r in some} == {"de"} and 55 <= len(some) <= 65
+
+
+def test_language_scores_against_brute_force(spark, corpus):
+    """Counts, log probabilities and a word's score, one n-gram at a time."""
+    model = language_id.fit(corpus)
+    counts = {lang: {} for lang in model.langs}
+
+    def grams(word):
+        marked = f"\x01{word}\x02"
+        for n in language_id.NGRAMS:
+            for at in range(len(marked) - n + 1):
+                if n > 1 or marked[at] not in "\x01\x02":
+                    mixed = 0
+                    for c in marked[at : at + n]:
+                        mixed = (mixed * 1_000_003 + ord(c)) & (1 << 64) - 1
+                    mixed = (mixed * (-7046029254386353131 & (1 << 64) - 1) + n) & (1 << 64) - 1
+                    mixed -= (mixed >> 63) << 64
+                    yield mixed >> 20 & language_id.BUCKETS - 1
+
+    for r in corpus.collect():
+        if r.text and r.lang and not language_id.held_out(r.doc_id):
+            for w in language_id.WORDS.findall(r.text.lower()):
+                for g in grams(w):
+                    counts[r.lang][g] = counts[r.lang].get(g, 0) + 1
+    labeller = language_id.Labeller(model)
+    for word in ("ththe", "schung", "стая", "ß"):
+        want = []
+        for lang in model.langs:
+            total = sum(counts[lang].values())
+            want.append(sum(np.log((counts[lang].get(g, 0) + 0.5) / (total + 0.5 * language_id.BUCKETS)) for g in grams(word)))
+        got = labeller.score([word])[0].astype(float)
+        kept = got > -500  # languages that don't use the word's script are set back
+        assert kept.any() and np.allclose(got[kept], np.array(want)[kept], rtol=1e-4)
+
+
+def test_language_ties_repeated_rows_and_clashing_names(spark):
+    """Texts that say nothing of a language fall to the first by name; rows that repeat give rows alike."""
+    rows = [(k, "abc abc", lang, "x", 1.0) for k, lang in enumerate(["zz", "aa"] * 20)] + [(100, "abc", None, "x", 1.0)] * 2 + [(None, "abc", None, "x", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    balanced = df.where("doc_id IS NULL OR doc_id >= 100 OR doc_id IN (%s)" % ", ".join(str(k) for lang in (0, 1) for k in [x for x in range(lang, 40, 2) if not language_id.held_out(x)][:10]))
+    got = language_id.predict(balanced)
+    assert got.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    assert {r.lang_pred for r in got.collect()} == {"aa"} and got.where("doc_id = 100").count() == 2
+    kept = language_id.keep_identified(balanced)
+    assert kept.columns == df.columns and {r.lang_pred for r in kept.collect()} == {"x"} and {r.lang for r in kept.collect()} == {"aa"}
 
 
 def test_viterbi_in_step_equals_one_by_one(prose):
@@ -85,6 +137,66 @@ def test_quality_with_one_class_or_no_labels(judged):
     assert quality.predict(docs.limit(0), labels).count() == 0
 
 
+def test_quality_features_and_ratios_against_brute_force(prose):
+    """Which texts share a feature, by their n-grams of words and of shapes; ratios from counts of documents."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(r.choice(["Ab", "cd", "e9", "--", "Fgh"], r.integers(1, 9))) for _ in range(60)]
+
+    def shape(word):
+        kinds = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
+        return "".join(k for i, k in enumerate(kinds) if not i or k != kinds[i - 1])
+
+    def brute(text):
+        words, shapes = text.lower().split(), [shape(w) for w in text.split()]
+        found = {(v, *x[i : i + n]) for v, x in (("w", words), ("s", shapes)) for n in (1, 2, 3) for i in range(len(x) - n + 1)}
+        run = 0
+        for i, w in enumerate(words):
+            run = run + 1 if w in words[max(0, i - quality.RECENT) : i] else 0
+            found |= {("run", k) for k in quality.REPEATS if run >= k}
+        return found
+
+    owner, bucket = quality.features(texts)
+    named = [brute(t) for t in texts]
+    got = [bucket[owner == i] for i in range(len(texts))]
+    assert [len(x) for x in got] == [len(x) for x in named]
+    place = {}
+    for x, y in zip(named, got, strict=True):  # one bucket for each name, the same everywhere
+        for name in x:
+            place[name] = place.get(name, set(y.tolist())) & set(y.tolist())
+    assert all(place.values())
+    y = np.where(r.random(60) < 0.5, 1, -1)
+    model = quality._train(got, y)
+    sums = []
+    for sign in (1, -1):
+        n = np.ones(quality.BUCKETS)
+        for x, s in zip(got, y, strict=True):
+            n[x] += s == sign
+        sums.append(n / n.sum())
+    ratio = np.log(sums[0] / sums[1])
+    assert np.allclose(model.lengths, ratio**2)
+    margins = model.margins(owner, bucket, len(texts))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = np.where(ratio != 0, model.weights / ratio, 0)
+    for i in range(60):
+        own = ratio[got[i]]
+        assert margins[i] == pytest.approx(w[got[i]] @ own / np.sqrt(own @ own) + model.bias)
+
+
+def test_quality_odd_labels_and_bounds(spark, judged, monkeypatch):
+    """Contrary labels of an id count as 0, labels without an id nothing; names clash; features on the driver are bounded."""
+    docs, labels = judged
+    odd = labels.union(spark.createDataFrame([(1, 0, 0), (None, 1, 0), (2, 7, 0)], labels.schema))
+    zero = labels.where("doc_id <> 1").union(spark.createDataFrame([(1, 0, 0)], labels.schema))
+    by = lambda df: {r.doc_id: r.score for r in df.collect()}
+    clash = docs.selectExpr("doc_id", "text", "'x' AS score", "1 AS quality", "'y' AS features")
+    assert by(quality.predict(clash, odd)) == by(quality.predict(docs, zero))
+    nulls = quality.predict(docs.union(spark.createDataFrame([(None, "some text"), (None, None)], docs.schema)), labels).where("doc_id IS NULL").collect()
+    assert len(nulls) == 2 and not any(r.held_out for r in nulls)
+    monkeypatch.setattr(quality, "TRAIN_FEATURES", 2000)
+    few = by(quality.predict(docs, labels))
+    assert few != by(quality.predict(docs, zero)) and all(0 <= x <= 1 for x in few.values())
+
+
 def test_descent_reaches_the_optimum():
     draw = np.random.default_rng(2)
     rows = [np.sort(draw.choice(50, 6, replace=False)) for _ in range(80)]

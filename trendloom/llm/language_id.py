@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -232,7 +232,14 @@ def held_out(doc_id: int, n: int = 5, k: int = 0) -> bool:
     return zlib.crc32(str(doc_id).encode()) % n == k
 
 
-def keep_identified(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """`docs` without the rows that language identification rejects: those without any letter (`und`)."""
+def keep_identified(docs: DataFrame, train_docs: int = TRAIN_DOCS, languages: Collection[str] | None = None) -> DataFrame:
+    """`docs` with the predicted language in `lang`, without the rows that language identification rejects.
+
+    Those are rows without any letter (`und`) and rows whose language isn't among `languages` (None: all learned ones).
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return identify(docs, fit(docs, train_docs), row).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    accepted = F.col("lang_pred") != UNKNOWN
+    if languages is not None:
+        accepted &= F.col("lang_pred").isin(*languages)
+    found = identify(docs, fit(docs, train_docs), row).where(accepted)
+    return found.select(*[(F.col("lang_pred") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
