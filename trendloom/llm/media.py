@@ -1,8 +1,9 @@
 """Media columns: content-addressed payloads in tar shards.
 
-Each task packs the payloads of its rows into tar files of the shared folder, one entry per distinct
-payload of a shard, named by its SHA-256. Rows carry digest, shard, offset and length; metadata columns are
-filled by range reads of an entry's header alone, and features by reading the entry back.
+Each task packs the payloads of its rows into tar files of the store's folder, one entry per distinct
+payload of a shard, named by its SHA-256. Rows carry digest, shard (its whole address), offset and length, so
+`read_payload` needs nothing but a row. Metadata columns are filled by range reads of an entry's header alone, and
+features by reading the entry back, in tasks balanced by the bytes that they read.
 
 A payload is a text's UTF-8 bytes, filled up with bytes 0 to a positive multiple of 64, kept without loss as
 an 8-bit greyscale PNG image 64 samples wide. A shard's name is new for each attempt of a task, and rows only
@@ -22,13 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import fresh_path, materialize, only_columns
+from trendloom.llm.common import materialize, only_columns
+from trendloom.storage import shared_dir
 
 WIDTH = 64
 SHARD_BYTES = 256 << 20
+#: Bytes of a shard that are read back in one go, and that a task reads back at most, about.
+RUN_BYTES = 16 << 20
+TASK_BYTES = 64 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33  # signature and IHDR chunk
 
@@ -82,8 +87,9 @@ class Shard:
     def __init__(self, folder: str):
         fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
-        self.name = f"{uuid.uuid4().hex}.tar"
-        self.stream, self.size, self.places = fs.open_output_stream(f"{path}/{self.name}"), 0, {}
+        name = f"{uuid.uuid4().hex}.tar"
+        self.url = f"{folder}/{name}"
+        self.stream, self.size, self.places = fs.open_output_stream(f"{path}/{name}"), 0, {}
 
     def put(self, digest: str, media: bytes) -> tuple[int, int]:
         entry = tarfile.TarInfo(f"{digest}.png")
@@ -102,7 +108,7 @@ class Shard:
 def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the payloads of `docs(doc_id, text)` into tar shards under `folder`.
 
-    Returns, read from a table written beside them, `doc_id, n_bytes, payload_bytes, digest, shard, offset, length`
+    Returns, read from a table that is written first, `doc_id, n_bytes, payload_bytes, digest, shard, offset, length`
     of every row. A null text is the empty one; repeated rows each give a row.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "digest", "shard", "offset", "length"]
@@ -119,7 +125,7 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataF
                         shard.close()
                     shard = Shard(folder)
                 place = shard.places.get(digest) or shard.put(digest, to_png(payload))
-                rows.append((n, len(payload), digest, shard.name, *place))
+                rows.append((n, len(payload), digest, shard.url, *place))
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True))], names)
         if shard:
@@ -133,23 +139,35 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataF
 class Reader:
     """Range reads of shards; keeps the last file open."""
 
-    def __init__(self, folder: str):
-        self.fs, self.path = filesystem(folder)
-        self.name, self.file = None, None
+    def __init__(self) -> None:
+        self.url, self.file = None, None
 
     def read(self, shard: str, offset: int, length: int) -> bytes:
-        if shard != self.name:
+        if shard != self.url:
             if self.file:
                 self.file.close()
-            self.file, self.name = self.fs.open_input_file(f"{self.path}/{shard}"), shard
+            fs, path = filesystem(shard)
+            self.file, self.url = fs.open_input_file(path), shard
         return self.file.read_at(length, offset)
 
 
-def _per_entry(index: DataFrame, folder: str, compute, schema: str) -> DataFrame:
+def read_payload(shard: str, offset: int, length: int, n_bytes: int) -> bytes:
+    """A row's text in UTF-8, from what the row carries alone."""
+    return from_png(Reader().read(shard, offset, length))[:n_bytes]
+
+
+def by_bytes(index: DataFrame) -> DataFrame:
+    """The index dealt so that tasks read about equal bytes, each in order of shards and offsets."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // TASK_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, -(-total // RUN_BYTES)), 1)
+    return index.repartition(tasks, "shard", F.floor(F.col("offset") / RUN_BYTES)).sortWithinPartitions("shard", "offset")
+
+
+def _per_entry(index: DataFrame, compute, schema: str) -> DataFrame:
     """Adds `compute(reader, row)`'s columns to each row; rows of one entry in turn share its result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, known, at = Reader(folder), {}, None
+        reader, known, at = Reader(), {}, None
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True)
             out = []
@@ -168,16 +186,16 @@ def _per_entry(index: DataFrame, folder: str, compute, schema: str) -> DataFrame
     return index.mapInArrow(run, type(index.schema)([*index.schema.fields, *added.fields]))
 
 
-def fill_metadata(index: DataFrame, folder: str) -> DataFrame:
+def fill_metadata(index: DataFrame) -> DataFrame:
     """Adds `width, height, bits, colour`, from a range read of each entry's header alone."""
 
     def compute(reader: Reader, shard: str, offset: int, length: int) -> tuple:
         return read_header(reader.read(shard, offset, HEADER_BYTES))
 
-    return _per_entry(index, folder, compute, "width long, height long, bits long, colour long")
+    return _per_entry(index, compute, "width long, height long, bits long, colour long")
 
 
-def read_back(index: DataFrame, folder: str) -> DataFrame:
+def read_back(index: DataFrame) -> DataFrame:
     """Adds `payload_sha256, tail_crc32, media_sha256, mean_level` of the stored bytes, read back whole."""
 
     def compute(reader: Reader, shard: str, offset: int, length: int) -> tuple:
@@ -186,16 +204,21 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
         return (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), hashlib.sha256(media).hexdigest(),
                 float(np.frombuffer(payload, np.uint8).mean()))
 
-    return _per_entry(index, folder, compute, "payload_sha256 string, tail_crc32 long, media_sha256 string, mean_level double")
+    return _per_entry(index, compute, "payload_sha256 string, tail_crc32 long, media_sha256 string, mean_level double")
+
+
+def store_folder(spark: SparkSession) -> str:
+    """Where shards lie if no folder is given: beside the intermediates, not among them, so they last as long as the shared folder."""
+    return f"{shared_dir(spark)}/trendloom-media"
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
+def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Stores, fills and reads back every row of `docs(doc_id, text)`; see `store`, `fill_metadata`, `read_back`.
 
-    `feature` says what the image is and its mean level.
+    `folder` is the store (see `store_folder`); shards of earlier calls stay in it as they are. `feature` says what the image is
+    and its mean level. `shard`, `offset`, `media_bytes` and `n_bytes` are what `read_payload` takes.
     """
-    folder = fresh_path(docs.sparkSession, "media")
-    found = read_back(fill_metadata(store(docs, folder), folder), folder)
+    found = read_back(fill_metadata(by_bytes(store(docs, folder or store_folder(docs.sparkSession)))))
     feature = F.format_string("png:%dx%d:%dbit:colour%d:mean=%.4f", "width", "height", "bits", "colour", "mean_level")
     return found.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256",
