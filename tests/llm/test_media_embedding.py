@@ -39,12 +39,30 @@ def test_shards_are_tar_files_and_roll(spark, docs, tmp_path):
     rows = index.collect()
     assert len({r.shard for r in rows}) > 1
     for r in rows:
-        with tarfile.open(f"{tmp_path}/shards/{r.shard}") as tar:
+        with tarfile.open(r.shard.removeprefix("file://")) as tar:
             entry = tar.getmember(f"{r.digest}.png")
             assert (entry.offset_data, entry.size) == (r.offset, r.length)
             assert len(tar.getnames()) == len(set(tar.getnames()))
 
 
+def test_payloads_are_read_from_rows_alone(docs, tmp_path):
+    """Also after other calls wrote to the same store, and from tasks that share the bytes evenly."""
+    rows = {k: f"text {k % 9} ü" * (20 + 50 * (k % 5)) for k in range(60)} | {99: None}
+    first = media.media_columns(docs(list(rows.items())), f"file://{tmp_path}/store").collect()
+    again = media.media_columns(docs([(1, "later")]), f"file://{tmp_path}/store").collect()
+    for r in first:
+        assert media.read_payload(r.shard, r.offset, r.media_bytes, r.n_bytes).decode() == (rows[r.doc_id] or "")
+    assert media.read_payload(again[0].shard, again[0].offset, again[0].media_bytes, again[0].n_bytes) == b"later"
+
+
+def test_reading_back_is_dealt_by_bytes(docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "RUN_BYTES", 4096)
+    monkeypatch.setattr(media, "TASK_BYTES", 8192)
+    index = media.store(docs([(k, np.random.default_rng(k).bytes(900).hex()) for k in range(100)]).coalesce(1), f"file://{tmp_path}/s")
+    sizes = media.by_bytes(index).rdd.mapPartitions(lambda rows: [sum(r.length for r in rows)]).collect()
+    assert len(sizes) >= 10 and max(sizes) < 4 * sum(sizes) / len(sizes)
+
+
 def brute(vectors, cosine=0.9):
     ids = sorted({v for v, _ in vectors})
     ok = {v: np.array(x, float) for v, x in vectors if x and all(y is not None and np.isfinite(y) for y in x) and any(x)}
@@ -83,6 +101,38 @@ def test_embeddings_against_brute_force(spark, monkeypatch, block):
     assert all(got[v] == want[v] for v in want if v >= 400) and got[300][0] == want[300][0]
 
 
+def test_plan_follows_the_number_of_vectors():
+    small, large = embedding_lsh.plan(1000), embedding_lsh.plan(10**9)
+    assert small.projections == 10 and small.tables == 25 and large.projections > 20
+    for n in (10**3, 10**6, 10**9):
+        form = embedding_lsh.plan(n)
+        assert 1 - (1 - embedding_lsh.meets(0.9) ** form.projections) ** form.tables >= embedding_lsh.RECALL
+        assert n * embedding_lsh.meets(0.0) ** form.projections <= embedding_lsh.BLOCK
+    draw = np.random.default_rng(1)
+    x = embedding_lsh._unit(draw.normal(size=(4000, 64)))
+    y = embedding_lsh._unit(0.9 * x + np.sqrt(1 - 0.81) * embedding_lsh._unit(draw.normal(size=(4000, 64))))
+    at = (x * y).sum(axis=1)
+    form = embedding_lsh.Form(30, 1)
+    same = (embedding_lsh.bucket_keys(x, form) == embedding_lsh.bucket_keys(y, form)).mean()
+    assert same == pytest.approx(np.mean([embedding_lsh.meets(c) for c in at]), abs=0.01)
+
+
+@pytest.mark.parametrize("form", [None, (63, 15)])
+def test_recall_of_pairs_at_the_threshold(spark, form):
+    """Pairs with cosines from 0.9 to 0.93 among unrelated vectors: at least 0.95 of them are linked, nothing else is."""
+    draw = np.random.default_rng(3)
+    unit = lambda n: (x := draw.normal(size=(n, 64))) / np.linalg.norm(x, axis=1, keepdims=True)
+    a, noise = unit(600), unit(600)
+    noise -= (noise * a).sum(axis=1, keepdims=True) * a
+    cosine = draw.uniform(0.9001, 0.93, (600, 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([a, b, unit(1500)]))]
+    found = embedding_lsh.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), form=form and embedding_lsh.Form(*form)).collect()
+    linked = sum(r.vec_id >= 600 and r.component_id == r.vec_id - 600 for r in found)
+    print(f"recall {linked / 600:.3f}")
+    assert linked >= 0.95 * 600 and sum(r.n_links for r in found) == 2 * linked
+
+
 def test_embeddings_null_ids_and_no_rows(spark):
     df = spark.createDataFrame([(None, [1.0, 2.0]), (5, [1.0, 2.0]), (6, [1.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted(((r.vec_id or 0), r.n_links, r.component_id or 0) for r in embedding_lsh.near_duplicates(df).collect())

@@ -1,9 +1,11 @@
 """Embedding near-duplicates by Euclidean p-stable hashing.
 
-Normalised vectors are projected on TABLES x PROJECTIONS Gaussian directions; the projections of a table,
-shifted and quantised to steps of STEP, name the vector's bucket there. Pairs that share a bucket are checked
-by their cosine in double precision. At cosine 0.9 a pair shares a given bucket with probability 0.17, so at least
-one of 24 with 0.99; closer pairs more often.
+Normalised vectors are projected on Gaussian directions; the projections of a table, shifted and quantised to
+steps of STEP, name the vector's bucket there. Pairs that share a bucket are checked by their cosine in double
+precision. `plan` takes as many projections as keep unrelated vectors from filling buckets (10 up to some hundred
+thousand vectors, one more for each doubling), and as many tables as find a pair at the threshold with
+probability RECALL; closer pairs are found more often. So buckets stay of one size and the tables grow with the
+0.27th power of the number of vectors.
 
 Equal vectors are one class first. Pairs are never written out: a bucket is cut into blocks of about
 BLOCK vectors, each pair of blocks is compared by one matrix product, and what leaves it is one row
@@ -13,7 +15,10 @@ table where its buckets are equal, so once.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,26 +27,48 @@ from pyspark.sql import functions as F
 
 from trendloom.llm.common import components, materialize
 
-TABLES = 24
-PROJECTIONS = 10
 STEP = 2.2
 BLOCK = 1024
 COSINE = 0.9
+RECALL = 0.99
+LEAST_PROJECTIONS = 10
 SEED = 29
 
 
-def directions(dim: int, tables: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+class Form(NamedTuple):
+    """How many tables, and how many projections name a table's bucket."""
+
+    tables: int
+    projections: int
+
+
+def meets(cosine: float) -> float:
+    """Probability that one quantised projection of two unit vectors with this cosine is the same (Datar et al. 2004)."""
+    if cosine >= 1:
+        return 1.0
+    ratio = STEP / math.sqrt(2 - 2 * cosine)
+    return math.erf(ratio / math.sqrt(2)) - math.sqrt(2 / math.pi) / ratio * (1 - math.exp(-ratio * ratio / 2))
+
+
+def plan(n: int, cosine: float = COSINE) -> Form:
+    """Projections so that about BLOCK of n vectors at right angles share a bucket at most, and tables for RECALL at the threshold."""
+    projections = max(LEAST_PROJECTIONS, math.ceil(math.log(max(n, 1) / BLOCK) / -math.log(meets(0.0))))
+    return Form(max(1, math.ceil(math.log(1 - RECALL) / math.log1p(-min(meets(cosine) ** projections, 0.999)))), projections)
+
+
+@functools.lru_cache(4)
+def directions(dim: int, form: Form, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng([seed, dim])
-    return draw.standard_normal((dim, tables * PROJECTIONS)), draw.uniform(0, STEP, tables * PROJECTIONS)
+    return draw.standard_normal((dim, form.tables * form.projections)), draw.uniform(0, STEP, form.tables * form.projections)
 
 
-def bucket_keys(unit: np.ndarray, tables: int) -> np.ndarray:
+def bucket_keys(unit: np.ndarray, form: Form) -> np.ndarray:
     """(n, tables) bucket names of unit vectors."""
-    across, shift = directions(unit.shape[1], tables)
-    steps = np.floor((unit @ across + shift) / STEP).astype(np.int64).reshape(len(unit), tables, PROJECTIONS)
+    across, shift = directions(unit.shape[1], form)
+    steps = np.floor((unit @ across + shift) / STEP).astype(np.int64).reshape(len(unit), form.tables, form.projections)
     mixed = np.full(steps.shape[:2], unit.shape[1], np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(PROJECTIONS):
+        for k in range(form.projections):
             mixed = (mixed ^ steps[:, :, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(31)
     return mixed.view(np.int64)
@@ -68,16 +95,18 @@ def classes(embeddings: DataFrame) -> DataFrame:
         F.min(F.col("vec_id").cast("long")).alias("cid"), F.count("*").alias("copies")).select("cid", "copies", "vector")
 
 
-def _keyed(found: DataFrame, tables: int) -> DataFrame:
+def _keyed(found: DataFrame, form: Form) -> DataFrame:
     """`t, key, cid`: the buckets of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cid = batch.column(0).to_numpy()
             for rows, vectors in _matrix(batch.column(1)):
-                keys = bucket_keys(_unit(vectors), tables)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), pa.array(keys.ravel()), pa.array(np.repeat(cid[rows], tables))], ["t", "key", "cid"])
+                for at in range(0, len(rows), BLOCK):
+                    keys = bucket_keys(_unit(vectors[at : at + BLOCK]), form)
+                    own = cid[rows[at : at + BLOCK]]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.tile(np.arange(form.tables, dtype=np.int32), len(own))), pa.array(keys.ravel()), pa.array(np.repeat(own, form.tables))], ["t", "key", "cid"])
 
     return found.select("cid", "vector").mapInArrow(run, "t int, key long, cid long")
 
@@ -96,7 +125,7 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = new
 
 
-def compare(t: int, side: np.ndarray, inner: bool, vectors: np.ndarray, tables: int, cosine: float) -> tuple[np.ndarray, np.ndarray] | None:
+def compare(t: int, side: np.ndarray, inner: bool, vectors: np.ndarray, form: Form, cosine: float) -> tuple[np.ndarray, np.ndarray] | None:
     """Links of one cell, found first in table t: row numbers of both ends."""
     unit = _unit(vectors)
     a = np.arange(len(unit)) if inner else np.flatnonzero(side == 0)
@@ -108,21 +137,21 @@ def compare(t: int, side: np.ndarray, inner: bool, vectors: np.ndarray, tables:
         near = np.triu(near, 1)
     if not near.any():
         return None
-    keys = bucket_keys(unit, tables)
+    keys = bucket_keys(unit, form)
     for before in range(t):
         near &= keys[a, before][:, None] != keys[b, before][None, :]
     i, j = np.nonzero(near)
     return a[i], b[j]
 
 
-def _linked(cells: DataFrame, tables: int, cosine: float) -> DataFrame:
+def _linked(cells: DataFrame, form: Form, cosine: float) -> DataFrame:
     """`cid, root, links` per cell and class with a link; cells stand together and in order."""
     names = ["t", "key", "lo", "hi", "side", "cid", "copies", "vector"]
 
     def solve(cell: pa.RecordBatch) -> pa.RecordBatch | None:
         [(_, vectors)] = _matrix(cell.column(7))
         cid, copies, side = (cell.column(k).to_numpy() for k in (5, 6, 4))
-        found = compare(cell.column(0)[0].as_py(), side, cell.column(2)[0].as_py() == cell.column(3)[0].as_py(), vectors, tables, cosine)
+        found = compare(cell.column(0)[0].as_py(), side, cell.column(2)[0].as_py() == cell.column(3)[0].as_py(), vectors, form, cosine)
         if found is None or not len(found[0]):
             return None
         left, right = found
@@ -158,17 +187,18 @@ def _linked(cells: DataFrame, tables: int, cosine: float) -> DataFrame:
     return cells.select(names).mapInArrow(run, "cid long, root long, links long")
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int = TABLES) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, form: Form | None = None) -> DataFrame:
     """`vec_id, n_links, component_id, kept` of every row of `embeddings(vec_id, embedding)`.
 
     n_links counts the other rows linked to this one: cosine at least `cosine` (equal vectors link), found
     in some table. component_id is the smallest vec_id reachable over links, itself included. Vectors
     that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
     different lengths never link. Rows that repeat a vec_id and its vector are rows of their own; a null
-    vec_id links with nothing. An empty table gives no rows.
+    vec_id links with nothing. An empty table gives no rows. `form` is by default that of `plan` for the distinct vectors.
     """
     found = materialize(classes(embeddings), "classes")
-    keyed = materialize(_keyed(found, tables), "keys")
+    form = form or plan(found.count(), cosine)
+    keyed = materialize(_keyed(found, form), "keys")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = keyed.join(sizes, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
@@ -176,7 +206,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int =
         "t", "key", F.least("block", "other").cast("int").alias("lo"), F.greatest("block", "other").cast("int").alias("hi"),
         (F.col("block") > F.col("other")).cast("int").alias("side"), "cid")
     cells = cells.join(found, "cid").repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", "cid")
-    linked = materialize(_linked(cells, tables, cosine), "linked")
+    linked = materialize(_linked(cells, form, cosine), "linked")
     roots = components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("cid").agg(F.sum("links").alias("links"))
     known = found.join(links, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left").select(
