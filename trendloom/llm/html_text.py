@@ -12,7 +12,7 @@ import functools
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +36,10 @@ P_SCOPE = set("td th caption table html body template object marquee applet butt
 #: A tag that opens closes the nearest of these, but not beyond those after the bar.
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)""", re.S)
+#: A tag with more than 512 stretches of quoted and bare attributes ends at its first ">", so that none is looked at again and again.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'){0,512}+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)""", re.S)
+#: All that is left, as the last group of TOKEN.
+REST = re.compile(r"()()()()()()([^<]+|<)")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))?)?""")
 #: Attributes whose words are features.
 TOLD = set("class id role hidden aria-label".split())
@@ -68,8 +71,8 @@ def slot(name: str) -> int:
 
 
 @functools.lru_cache(65536)
-def tag_features(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
-    """Names of a tag's features, and whether it is hidden."""
+def tag_features(tag: str, attributes: str) -> tuple[frozenset[int], bool]:
+    """Slots of a tag's features, and whether it is hidden."""
     found, hidden = {f"in:{tag}"}, False
     for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         if (name := name.lower()) not in TOLD:
@@ -81,23 +84,77 @@ def tag_features(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
                 found.add(f"mark:{MARK_OF[w]}")
             if w and name != "aria-label":
                 found.add(f"word:{w}")
-    return tuple(sorted(found)), hidden
+    return frozenset(map(slot, found)), hidden
+
+
+class Around:
+    """What stands around a block: the slots that an element adds, and what is around that element."""
+
+    __slots__ = ("added", "outer")
+
+    def __init__(self, added: tuple[int, ...], outer: Around | None):
+        self.added, self.outer = added, outer
+
+    def all(self) -> Iterator[int]:
+        node: Around | None = self
+        while node:
+            yield from node.added
+            node = node.outer
 
 
 @dataclass
 class Block:
     text: str
-    around: frozenset[str]
+    around: Around
     parent: str
     linked: float
 
 
+class Stack:
+    """The open elements. Each knows what is around it, and the nearest block-level tag and its place; where each tag is open
+    and how often each slot is around is known, too, so nothing is looked for along the stack, however deep it is."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.slots: list[frozenset[int]] = []
+        self.around: list[Around] = [Around((), None)]
+        self.blocks: list[tuple[str, int]] = [("", -1)]
+        self.places: dict[str, list[int]] = {}
+        self.times: dict[int, int] = {}
+
+    def push(self, tag: str, slots: frozenset[int]) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        added = tuple(s for s in slots if not self.times.get(s))
+        self.around.append(Around(added, self.around[-1]) if added else self.around[-1])
+        self.blocks.append(self.blocks[-1] if tag in INLINE else (tag, len(self.tags)))
+        self.tags.append(tag)
+        self.slots.append(slots)
+        for s in slots:
+            self.times[s] = self.times.get(s, 0) + 1
+
+    def pop_to(self, depth: int) -> None:
+        for tag, slots in zip(self.tags[depth:], self.slots[depth:], strict=True):
+            self.places[tag].pop()
+            for s in slots:
+                self.times[s] -= 1
+        del self.tags[depth:], self.slots[depth:], self.around[depth + 1 :], self.blocks[depth + 1 :]
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def nearest(self, tags: Iterable[str], barrier: Iterable[str]) -> int:
+        """The place of the innermost of these tags, -1 if one of the barrier's stands inside of it."""
+        found = max(map(self.last, tags))
+        return found if found > max(map(self.last, barrier), default=-1) else -1
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with some text, in page order; references decoded, white space made single spaces."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Stack()
     pieces: list[str] = []
-    links, in_link, around = 0, 0, None
+    links, around = 0, None
     dropped = 0  # depth of the stack at which dropped content began, plus one
 
     def close_block() -> None:
@@ -105,36 +162,25 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                names, parent = around
-                found.append(Block(text, names, parent, min(1.0, links / max(len(text), 1))))
+                slots, parent = around
+                found.append(Block(text, slots, parent, min(1.0, links / max(len(text), 1))))
         pieces, links, around = [], 0, None
 
     def pop_to(depth: int) -> None:
-        nonlocal in_link, dropped
-        for tag, _ in stack[depth:]:
-            in_link -= tag == "a"
-        del stack[depth:]
+        nonlocal dropped
+        stack.pop_to(depth)
         if dropped > depth:
             dropped = 0
 
-    def nearest(tags: set[str] | tuple[str, ...], barrier: set[str]) -> int:
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] in tags:
-                return depth
-            if stack[depth][0] in barrier:
-                return -1
-        return -1
-
-    at = 0
-    while m := TOKEN.match(page, at):
+    at, ends = 0, page.rfind(">") + 1  # beyond the last ">" nothing is a tag
+    while m := TOKEN.match(page, at) if at < ends or page.startswith("<!--", at) else REST.match(page, at):
         at = m.end()
         if (words := m[7]) is not None:
             if not dropped:
                 if around is None and not words.isspace():
-                    block = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-                    around = (frozenset(n for _, names in stack for n in names), block)
+                    around = (stack.around[-1], stack.blocks[-1][0])
                 pieces.append(words)
-                links += len(words) if in_link > 0 else 0
+                links += len(words) if stack.last("a") >= 0 else 0
             continue
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -142,18 +188,18 @@ def blocks(page: str) -> list[Block]:
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if closing:
             if tag in INLINE:
-                depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag or stack[d][0] not in INLINE), -1)
-                if depth >= 0 and stack[depth][0] == tag:
+                depth = stack.last(tag)
+                if depth > stack.blocks[-1][1]:
                     pop_to(depth)
                 elif tag == "br":
                     pieces.append(" ")
             else:
                 close_block()
-                depth = nearest((tag,), P_SCOPE if tag == "p" else set())
+                depth = stack.nearest((tag,), P_SCOPE if tag == "p" else ())
                 if depth >= 0:
                     pop_to(depth)
             continue
-        if tag == "body" and dropped and stack[dropped - 1][0] == "head":
+        if tag == "body" and dropped and stack.tags[dropped - 1] == "head":
             pop_to(dropped - 1)
         if tag in RAW:
             if tag in ("textarea", "iframe"):
@@ -163,44 +209,51 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             close_block()
-            if tag in CLOSES_P and (depth := nearest(("p",), P_SCOPE)) >= 0:
+            if tag in CLOSES_P and (depth := stack.nearest(("p",), P_SCOPE)) >= 0:
                 pop_to(depth)
             if tag in SIBLINGS:
-                closed, barrier = (set(x.split()) for x in SIBLINGS[tag])
-                if (depth := nearest(closed, barrier)) >= 0:
+                closed, barrier = (x.split() for x in SIBLINGS[tag])
+                if (depth := stack.nearest(closed, barrier)) >= 0:
                     pop_to(depth)
         elif tag == "br":
             pieces.append(" ")
         if tag in VOID or attributes.rstrip().endswith("/") and tag in DROPPED:
             continue
-        names, hidden = tag_features(tag, attributes)
-        stack.append((tag, names))
-        in_link += tag == "a"
+        slots, hidden = tag_features(tag, attributes)
+        stack.push(tag, slots)
         if (hidden or tag in DROPPED) and not dropped:
-            dropped = len(stack)
+            dropped = len(stack.tags)
     close_block()
     return found
 
 
-def block_features(found: list[Block]) -> list[list[int]]:
-    """Slots of each block's features."""
+def _grade(part: int, whole: int) -> int:
+    """How much of a whole: 0 none, then 1 to 4 by doubling shares from a thirty-second on."""
+    return 0 if not part else min(4, max(1, (32 * part // max(whole, 1)).bit_length()))
+
+
+def own_features(found: list[Block]) -> list[list[int]]:
+    """Slots of each block's own features, which look at the whole block."""
     out = []
     for i, b in enumerate(found):
         words = b.text.split()
-        low = [w.strip(".,:;!?()|·").lower() for w in words[:40]]
-        furniture = sum(w in FURNITURE for w in low)
+        furniture = sum(w.strip(".,:;!?()|·").lower() in FURNITURE for w in words)
         names = [
             "bias", f"parent:{b.parent}", f"words:{len(words).bit_length()}", f"linked:{int(b.linked * 4)}",
-            f"ends:{'.' if b.text[-1] in '.!?…”\"' else 'x'}", f"furniture:{min(furniture, 3)}",
-            f"digits:{sum(c.isdigit() for c in b.text[:200]) * 5 // min(len(b.text), 200)}",
-            f"sign:{any(c in b.text[:80] for c in '©|»›')}", f"first:{i == 0}", f"last:{i == len(found) - 1}",
+            f"ends:{'.' if b.text[-1] in '.!?…”\"' else 'x'}", f"furniture:{_grade(furniture, len(words))}",
+            f"digits:{sum(map(b.text.count, '0123456789')) * 5 // len(b.text)}",
+            f"sign:{_grade(sum(map(b.text.count, '©|»›')), len(words))}", f"first:{i == 0}", f"last:{i == len(found) - 1}",
             f"parent:{b.parent}:words:{len(words).bit_length()}",
-            *b.around,
         ]
-        out.append([slot(n) for n in names])
+        out.append(list(map(slot, names)))
     return out
 
 
+def block_features(found: list[Block]) -> list[list[int]]:
+    """Slots of all features of each block, those around it included."""
+    return [[*own, *b.around.all()] for own, b in zip(own_features(found), found, strict=True)]
+
+
 @dataclass
 class Model:
     """`emission[slot, label]`, `transition[label, label]`; label 1 is the article."""
@@ -208,16 +261,33 @@ class Model:
     emission: np.ndarray
     transition: np.ndarray
 
-    def decode(self, features: list[list[int]]) -> np.ndarray:
-        """Viterbi over a page's blocks."""
-        n = len(features)
+    def local(self, features: list[list[int]]) -> np.ndarray:
+        """Score of each block for each label."""
+        owner = np.repeat(np.arange(len(features)), [len(f) for f in features])
+        slots = np.array([s for f in features for s in f], np.int64)
+        return np.stack([np.bincount(owner, self.emission[slots, k], len(features)) for k in (0, 1)], axis=1)
+
+    def around(self, found: list[Block]) -> np.ndarray:
+        """What stands around each block adds to its scores; each element's part is summed once."""
+        known: dict[Around | None, tuple[float, float]] = {None: (0.0, 0.0)}
+        for b in found:
+            path, node = [], b.around
+            while node not in known:
+                path.append(node)
+                node = node.outer
+            for node in reversed(path):
+                outer = known[node.outer]
+                known[node] = tuple(outer[k] + sum(self.emission[s, k] for s in node.added) for k in (0, 1))
+        return np.array([known[b.around] for b in found]).reshape(-1, 2)
+
+    def viterbi(self, local: np.ndarray) -> np.ndarray:
+        """The best labels of a page's blocks with these scores."""
+        n = len(local)
         labels, back = np.zeros(n, np.int64), np.zeros((n, 2), np.int64)
         if not n:
             return labels
-        owner = np.repeat(np.arange(n), [len(f) for f in features])
-        slots = np.array([s for f in features for s in f])
-        local = np.stack([np.bincount(owner, self.emission[slots, k], n) for k in (0, 1)], axis=1).tolist()
         (t00, t01), (t10, t11) = self.transition.tolist()
+        local = local.tolist()
         a, b = local[0]
         for i in range(1, n):
             x, y = (a + t00, b + t10), (a + t01, b + t11)
@@ -228,9 +298,12 @@ class Model:
             labels[i - 1] = back[i, labels[i]]
         return labels
 
+    def decode(self, features: list[list[int]]) -> np.ndarray:
+        return self.viterbi(self.local(features))
+
     def main_text(self, page: str) -> str:
         found = blocks(page)
-        labels = self.decode(block_features(found))
+        labels = self.viterbi(self.local(own_features(found)) + self.around(found))
         return " ".join(b.text for b, k in zip(found, labels.tolist(), strict=True) if k)
 
 

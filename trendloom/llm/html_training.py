@@ -21,7 +21,7 @@ _PHRASES = {
     "head": ("Home", "News", "Log in", "Menu", "Skip to content"),
     "side": ("Related posts", "Most read", "More from this author", "Tags", "Popular"),
     "comment": ("3 comments", "Reply", "Leave a comment", "Comments", "Log in to reply"),
-    "foot": ("All rights reserved.", "© 2024", "Privacy policy", "Terms of use", "Impressum", "Contact"),
+    "foot": ("All rights reserved.", "© 2024", "Privacy policy", "Terms of use", "Impressum", "Contact", "Last updated 3 May 2023", "Last modified: 2019-11-07", "Back to top"),
     "ad": ("Advertisement", "Sponsored", "Werbung", "Publicité"),
 }
 
@@ -129,6 +129,11 @@ class _Page:
         r.shuffle(after)
         after.append(self.maybe(0.85, self.footer()))
         middle = "".join(before), self.article(), "".join(after)
+        if r.random() < 0.15:  # laid out as a table without any marks
+            cells = [f"<td width=150>{self.links(r.randint(2, 8))}</td>", f"<td>{middle[1]}</td>"]
+            foot = r.choice(("<tr><td colspan=2>%s</td></tr>", "<tr><td><font size=1>%s</font></td><td></td></tr>")) % (self.some("foot") + self.maybe(0.5, " | " + self.some("foot")))
+            top = self.maybe(0.6, f"<tr><td colspan=2>{self.maybe(0.5, '<img src=x> ')}<a href='/'>{self.words(1, 3)}</a></td></tr>")
+            middle = self.maybe(0.3, middle[0]), f"<table>{top}<tr>{cells[0]}{cells[1]}</tr>{foot}</table>", self.maybe(0.3, middle[2])
         around = r.choice(("%s", "<div class='wrap'>%s</div>", "<div id='page'>%s</div>", "<div class='container'>%s</div>", "%s"))
         return "<!DOCTYPE html><html><head><title>t</title><script>a('</p>')</script></head><body>" + around % "".join(middle) + "</body></html>"
 
