@@ -9,7 +9,7 @@ def rows(spark, counts, size=lambda k: 5 + k % 7):
 
 
 def goals(df):
-    return {r.source: (r.source_size, r.target, r.taken) for r in mixing.with_copies(df).selectExpr("row.source AS source", "source_size", "target", "copies * size AS t").groupBy("source", "source_size", "target").agg({"t": "sum"}).withColumnRenamed("sum(t)", "taken").collect()}
+    return {r.source: (r.source_size, r.target, r.taken) for r in mixing.with_copies(df, df.columns).selectExpr("row.source AS source", "source_size", "target", "copies * size AS t").groupBy("source", "source_size", "target").agg({"t": "sum"}).withColumnRenamed("sum(t)", "taken").collect()}
 
 
 def test_targets_and_taken_words(spark):
@@ -39,7 +39,7 @@ def test_reruns_agree_and_copies_are_emitted(spark):
     df = rows(spark, {"a": 200, "b": 100}).repartition(7)
     once = sorted(tuple(r) for r in mixing.mix_report(df).collect())
     assert once == sorted(tuple(r) for r in mixing.mix_report(df.repartition(3)).collect())
-    assert mixing.mix(df).count() == mixing.with_copies(df).selectExpr("sum(copies)").first()[0]
+    assert mixing.mix(df).count() == mixing.with_copies(df, df.columns).selectExpr("sum(copies)").first()[0]
     assert all(r[4] <= 3 * r[1] for r in once)
 
 
@@ -50,3 +50,13 @@ def test_sql_statement(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
     want = con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.MIX_SQL}) ORDER BY doc_id").fetchall()
     assert [tuple(r) for r in mixing.mix_report(df).orderBy("doc_id").collect()] == want
+
+
+def test_null_and_evenly_spaced_ids_are_spread_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SALT_ROWS", 4)
+    df = spark.createDataFrame([(64 * k if k % 2 else None, f"some words {k}", "a") for k in range(400)], "doc_id long, text string, source string")
+    sized = mixing._sized(df, df.columns)
+    assert sized.selectExpr("count(DISTINCT salt)").first()[0] > 60  # of 100, as the table has 400 rows
+    assert sized.groupBy("salt").count().agg({"count": "max"}).first()[0] < 20
+    placed = mixing.with_copies(df, df.columns)
+    assert placed.count() == 400 and placed.selectExpr("sum(copies)").first()[0] == 400

@@ -6,8 +6,9 @@ document is emitted once for each integer that the sum crosses at it. The order
 upwards and through the rest downwards, so that documents of all sizes are taken alike and a source's words come
 near its target whatever the offset.
 
-No source is ever one group: documents fall into buckets (source, size class, doc_id modulo `SALTS`);
-positions are counted inside buckets, and the buckets' counts, not the documents, are prefix-summed per source.
+No source is ever one group: documents fall into buckets (source, size class, salt), a salt being the doc_id's
+hash modulo a number that grows with the table; positions are counted inside buckets, and the buckets' counts, not the
+documents, are prefix-summed per source. Words are counted once, into a written table.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.llm.common import materialize
+
+#: Salts at least, and the rows of the table to a salt beyond that.
 SALTS = 32
+SALT_ROWS = 1 << 18
 #: Every other size class comes on the way back, so that what the offset errs upwards it errs back downwards.
 TURN = 4000
 #: No source's target exceeds so many times its size.
@@ -52,29 +57,34 @@ def targets(sources: DataFrame) -> DataFrame:
     return spread.select("key", "missing", "source_size", "target")
 
 
-def with_copies(docs: DataFrame) -> DataFrame:
-    """`row` (all columns of `docs`), `doc_id`, `size`, `source_size`, `target`, `copies` of every row.
-
-    `docs` needs doc_id, text and source; null text has size 0, null source is a source of its own,
-    a null doc_id sorts first. Rows that repeat are documents of their own. Nothing in, nothing out.
-    """
+def _sized(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """`row` (the columns `carry`), `doc_id`, `mark` (the text's hash), `key`, `missing`, `size`, `class`, `salt`, written down."""
     size = size_of(F.col("text"))
     # leading four bits of the size and how many follow
     kind = (F.length(F.bin("size")) * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))")).cast("int")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"),
         F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("missing"), size.alias("size"),
-    ).withColumns({
-        "class": F.when(kind % 2 == 0, kind).otherwise(TURN - kind),
-        "salt": F.coalesce(F.pmod("doc_id", F.lit(SALTS)), F.lit(0)).cast("int"),
-    })
+        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))), 1, 8), 16, 10).cast("long").alias("hash"))
+    rows = materialize(rows.withColumn("class", F.when(kind % 2 == 0, kind).otherwise(TURN - kind)), "sized")
+    salts = max(SALTS, -(-rows.count() // SALT_ROWS))
+    return rows.withColumn("salt", (F.col("hash") % salts).cast("int")).drop("hash")
+
+
+def with_copies(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """`row` (the columns `carry` of `docs`), `doc_id`, `size`, `source_size`, `target`, `copies` of every row.
+
+    `docs` needs doc_id, text and source; null text has size 0, null source is a source of its own,
+    a null doc_id sorts first. Rows that repeat are documents of their own. Nothing in, nothing out.
+    """
+    rows = _sized(docs, carry)
     bucket = ["key", "missing", "class", "salt"]
     counts = rows.groupBy(*bucket).agg(F.count("*").alias("n"), F.sum("size").alias("bucket_size"))
     goals = targets(counts.groupBy("key", "missing").agg(F.sum("bucket_size").alias("source_size")))
     ahead = Window.partitionBy("key", "missing").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n", "bucket_size")
     starts = starts.join(goals, ["key", "missing"])
-    inside = Window.partitionBy(*bucket).orderBy("size", "doc_id", F.xxhash64("row"))
+    inside = Window.partitionBy(*bucket).orderBy("size", "doc_id", "mark")
     placed = rows.withColumn("place", F.row_number().over(inside)).join(starts, bucket)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     name = F.concat(F.lit(f"{SEED}:"), F.when(F.col("missing"), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("key"))))
@@ -87,25 +97,26 @@ def with_copies(docs: DataFrame) -> DataFrame:
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """`doc_id, size, source_size, target, taken` of every row of `docs`: the words that the mix takes of it, repeats counted."""
-    placed = with_copies(docs.select("doc_id", "text", "source"))
+    placed = with_copies(docs, ["doc_id"])
     return placed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of `docs` as often as it is taken, with its own columns."""
-    return with_copies(docs).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    return with_copies(docs, docs.columns).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 #: DuckDB's statement of `mix_report`.
 MIX_SQL = f"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS key, source IS NULL AS missing,
+  SELECT doc_id, coalesce(source, '') AS key, source IS NULL AS missing, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8)) AS BIGINT) AS hash,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 c AS (
   SELECT *, length(CASE WHEN size = 0 THEN '0' ELSE ltrim(bin(size), '0') END) AS bits FROM d),
 b AS (
-  SELECT *, CASE WHEN kind % 2 = 0 THEN kind ELSE {TURN} - kind END AS class, ((doc_id % {SALTS}) + {SALTS}) % {SALTS} AS salt
+  SELECT *, CASE WHEN kind % 2 = 0 THEN kind ELSE {TURN} - kind END AS class,
+         hash % greatest({SALTS}, (SELECT CAST(ceil(count(*) / {SALT_ROWS}) AS BIGINT) FROM documents)) AS salt
   FROM (SELECT *, bits * 16 + (size >> greatest(bits - 4, 0)) AS kind FROM c)),
 s AS (
   SELECT key, missing, CAST(sum(size) AS BIGINT) AS source_size FROM b GROUP BY key, missing),
