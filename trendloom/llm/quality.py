@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import only_columns
@@ -28,6 +28,8 @@ RECENT = 64
 REPEATS = (4, 8, 16, 32, 64)
 #: At most so many labelled documents of each class are learned from, those of least hash.
 TRAIN_EACH = 3000
+#: Of each class, documents are learned from until so many features are together (4 bytes each on the driver).
+TRAIN_FEATURES = 1 << 23
 THRESHOLD = 0.7
 BATCH_BYTES = 2 << 20
 COST = 1.0
@@ -190,8 +192,9 @@ def remainder(n: int):
 def fit(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> Model:
     """Learns quality from the labelled rows whose crc32(doc_id as text) mod 4 isn't 2.
 
-    Of each class the `each` documents of least hash are read; their features come to the driver.
-    Without both classes every text scores the share of label 1 (0.5 without labels).
+    Of each class the `each` documents of least hash are read, as long as those before have fewer than TRAIN_FEATURES features
+    together; these features come to the driver. Without both classes every text scores the share of label 1 (0.5
+    without labels). A doc_id with contrary labels counts as 0; labels without a doc_id or of another value count nothing.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marked = marked.where(F.col("quality").isin(0, 1) & (remainder(4) != 2)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -208,7 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> Model:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bucket, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "quality", "features"])
 
-    table = rows.mapInArrow(run, "doc_id long, quality int, features array<int>").toArrow().sort_by("doc_id")
+    found = rows.mapInArrow(run, "doc_id long, quality int, features array<int>")
+    before = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("features")).rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("ahead", F.coalesce(F.sum(F.size("features")).over(before), F.lit(0))).where(F.col("ahead") < TRAIN_FEATURES).drop("ahead")
+    table = found.toArrow().sort_by("doc_id")
     y = np.where(table.column("quality").to_numpy() == 1, 1, -1)
     lists = [np.asarray(x.values.to_numpy()) if x.is_valid else np.zeros(0, np.int64) for x in table.column("features")]
     if len(set(y.tolist())) < 2:
