@@ -64,3 +64,15 @@ def test_counts_equal_the_library(docs, texts):
 def test_batches_are_balanced_by_bytes():
     assert list(token_counts.slices(np.array([5, 5, 20, 1, 1]), 10)) == [(0, 2), (2, 3), (3, 5)]
     assert list(token_counts.slices(np.array([], int), 10)) == []
+
+
+def test_a_megabyte_of_text_and_repeated_rows(docs, prose):
+    long = prose("en", 180_000)
+    assert len(long) > 1_000_000
+    sp = processor(MODEL)
+    df = docs([(1, long), (1, long), (2, "é" * 40_000), (3, None)])
+    out = suffix_pieces.encode_checked(df).collect()
+    assert len(out) == 4 and all(r.same for r in out)
+    assert [r.ids for r in out if r.doc_id == 1] == [sp.encode(long)] * 2
+    counts = token_counts.token_counts(df).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in counts) == [(1, len(sp.encode(long)))] * 2 + [(2, len(sp.encode("é" * 40_000))), (3, 0)]

@@ -34,6 +34,8 @@ INDEXED = 400_000
 REMEMBERED = 300_000
 #: Longer runs of text without a cut are relaxed one by one, not in step with the others.
 IN_STEP = 64
+#: Judged pairs that are remembered (9 bytes each).
+PAIRS = 1 << 20
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -116,7 +118,9 @@ class Matcher:
         return fits[where]
 
     def settle(self) -> None:
-        """Pairs that were judged since the last time join the sorted ones."""
+        """Pairs that were judged since the last time join the sorted ones; beyond PAIRS only the new ones stay."""
+        if len(self.fit_keys) > PAIRS:
+            self.fit_keys, self.fit_values = np.array([-1]), np.array([False])
         keys = np.concatenate([self.fit_keys, np.fromiter(self.fits, np.int64, len(self.fits))])
         values = np.concatenate([self.fit_values, np.fromiter(self.fits.values(), bool, len(self.fits))])
         order = np.argsort(keys)
