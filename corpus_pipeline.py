@@ -9,29 +9,18 @@ from trendloom.llm import language_id, line_dedup, mixing, simhash, suffix_piece
 from trendloom.llm.common import materialize
 
 
-#: Rows of an Arrow batch: whole documents pass through Python here, so batches hold few of them.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, whose language can't be told, go."""
-    small_batches(spark)
+    """`lang` becomes the predicted language; documents without any letter, whose language can't be told, go."""
     return language_id.keep_identified(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines leave the texts; every document stays, if need be with an empty text."""
-    small_batches(spark)
+    """Later repeats of lines and passages leave the texts; every document stays, if need be with an empty text."""
     return line_dedup.documents_without_repeats(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -42,7 +31,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, same: the ids of each text, and whether they decode to it."""
-    small_batches(spark)
     return suffix_pieces.encode_checked(docs)
 
 
