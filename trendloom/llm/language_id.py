@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,46 +178,53 @@ class Labeller:
         return words, np.split(labels, begin[1:]) if len(begin) else []
 
 
-def identify(docs: DataFrame, model: Model, carry: Column | None = None) -> DataFrame:
-    """`doc_id, lang_pred, score, spans` of every row of `docs(doc_id, text)`; `carry` instead of doc_id if given.
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """`doc_id, lang_pred, score, spans` of every row of `docs(doc_id, text)`.
 
     lang_pred is `und` (score 0, no spans) where the text is null or has no letter, or nothing was
-    learned. score is the share of the letters that lang_pred's spans hold. spans lists
-    (lang, n_words, n_letters) in text order. Repeated rows each give a row.
+    learned; of languages whose spans hold as many letters it is the first by name. score is the share of the letters that
+    lang_pred's spans hold. spans lists (lang, n_words, n_letters) in text order. Repeated rows each give a row.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats a language
     langs = [*model.langs, UNKNOWN]
-    name = "doc_id" if carry is None else "row"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shipped.value)
-        for batch in batches:
-            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in slices(sizes, BATCH_BYTES):
-                pred, score, span_lang, span_words, span_letters, ends = [], [], [], [], [], [0]
-                words, labels = labeller.label([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]) if model.langs else ([[]] * (b - a), [np.zeros(0, np.int16)] * (b - a))
-                for w, x in zip(words, labels, strict=True):
+        for part, found in labelled(batches, shipped.value):
+            pred, score, span_lang, span_words, span_letters, ends = [], [], [], [], [], [0]
+            for lang, share, x, letters in found:
+                pred.append(lang)
+                score.append(share)
+                if lang != UNKNOWN:
+                    edge = np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1))
+                    span_lang += [langs[k] for k in x[edge]]
+                    span_words += np.diff(np.append(edge, len(x))).tolist()
+                    span_letters += np.add.reduceat(letters, edge).tolist()
+                ends.append(len(span_lang))
+            spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(span_lang, pa.string()), pa.array(span_words, pa.int32()), pa.array(span_letters, pa.int32())], ["lang", "n_words", "n_letters"]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), spans], ["doc_id", "lang_pred", "score", "spans"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang string, n_words int, n_letters int>>")
+
+
+def labelled(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, float, np.ndarray, np.ndarray]]]]:
+    """The batches in parts of BATCH_BYTES of their second column's text; of each text its language and score, and of each of
+    its words the language's place and the number of letters."""
+    labeller, langs, none = Labeller(model), [*model.langs, UNKNOWN], np.zeros(0, np.int64)
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+        for a, b in slices(sizes, BATCH_BYTES):
+            part, found = batch.slice(a, b - a), []
+            words, labels = labeller.label([t or "" for t in part.column(1).to_pylist()]) if model.langs else ([[]] * (b - a), [none] * (b - a))
+            for w, x in zip(words, labels, strict=True):
+                if not len(w) or not any(map(str.isalpha, w)) and not any(c.isalpha() for t in w for c in t):
+                    found.append((UNKNOWN, 0.0, none, none))
+                else:
                     letters = np.fromiter(map(len, w), np.int64, len(w))
-                    if not len(w) or not any(map(str.isalpha, w)) and not any(c.isalpha() for t in w for c in t):
-                        pred.append(UNKNOWN)
-                        score.append(0.0)
-                    else:
-                        share = np.bincount(x, letters, len(langs)) / letters.sum()
-                        pred.append(langs[int(share.argmax())])
-                        score.append(min(1.0, float(share.max())))
-                        edge = np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1))
-                        span_lang += [langs[k] for k in x[edge]]
-                        span_words += np.diff(np.append(edge, len(x))).tolist()
-                        span_letters += np.add.reduceat(letters, edge).tolist()
-                    ends.append(len(span_lang))
-                spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(span_lang, pa.string()), pa.array(span_words, pa.int32()), pa.array(span_letters, pa.int32())], ["lang", "n_words", "n_letters"]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pred, pa.string()), pa.array(score, pa.float64()), spans], [name, "lang_pred", "score", "spans"])
-
-    rows = docs.select((F.col("doc_id").cast("long") if carry is None else carry).alias(name), F.col("text").cast("string").alias("text"))
-    span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n_words", T.IntegerType()), T.StructField("n_letters", T.IntegerType())])
-    kind = T.StructType([rows.schema[0]]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
-    return rows.mapInArrow(run, kind.add("spans", T.ArrayType(span)))
+                    share = np.bincount(x, letters, len(langs)) / letters.sum()
+                    found.append((langs[int(share.argmax())], min(1.0, float(share.max())), x, letters))
+            yield part, found
 
 
 def predict(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -237,9 +244,16 @@ def keep_identified(docs: DataFrame, train_docs: int = TRAIN_DOCS, languages: Co
 
     Those are rows without any letter (`und`) and rows whose language isn't among `languages` (None: all learned ones).
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    accepted = F.col("lang_pred") != UNKNOWN
-    if languages is not None:
-        accepted &= F.col("lang_pred").isin(*languages)
-    found = identify(docs, fit(docs, train_docs), row).where(accepted)
-    return found.select(*[(F.col("lang_pred") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    model = fit(docs, train_docs)
+    shipped, asked = docs.sparkSession.sparkContext.broadcast(model), None if languages is None else set(languages)
+    # texts pass through Python once, and rejected rows end there
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "lang")], F.lit(0).alias("_")).alias("row"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in labelled(batches, shipped.value):
+            langs = [lang for lang, *_ in found]
+            kept = pa.array([lang != UNKNOWN and (asked is None or lang in asked) for lang in langs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string())], ["row", "text", "lang"]).filter(kept)
+
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang", T.StringType())]))
+    return out.select(*[F.col(c if c in ("text", "lang") else f"row.`{c}`").alias(c) for c in docs.columns])
