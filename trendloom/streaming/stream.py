@@ -11,53 +11,74 @@ from trendloom.functions import text
 from trendloom.operators import counts
 from trendloom.sources import merge
 
+#: Papers as a feed gives them.
+FEED = """arxiv_id string, title string, abstract string, authors array<string>, categories array<string>,
+published_at timestamp, updated_at timestamp, pdf_url string, abs_url string"""
+KEY = ["keyword", "category", "window_date"]
 
-def _version(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """The newest whole version path/v=<batch> of a table (older than batch `before`), or an empty table.
 
-    A batch that is replayed starts from the version before it, as the first time.
-    """
+def _whole(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the folders path/<kind>=<number> that were written to their end."""
     files = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = files.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    whole = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(files.Path(f"{path}/{n}/_SUCCESS"))]
-    whole = [n for n in whole if before is None or n < before]
-    return spark.read.schema(schema).parquet(f"{path}/v={max(whole)}") if whole else spark.createDataFrame([], schema)
+    return sorted(int(n[len(kind) + 1 :]) for n in names if n.startswith(f"{kind}=") and fs.exists(files.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def _read(spark: SparkSession, folders: list[str], schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
 
+def read_papers(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The papers of all whole batches (older than batch `before`)."""
+    batches = [n for n in _whole(spark, path, "batch") if before is None or n < before]
+    return _read(spark, [f"{path}/batch={n}" for n in batches], FEED)
 
-FEED = "arxiv_id string, title string, abstract string, categories array<string>, published_at timestamp"
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of all whole batches: the newest sum of `compact_counts` and the batches after it."""
+    upto = max(_whole(spark, path, "upto"), default=None)
+    folders = [f"{path}/batch={n}" for n in _whole(spark, path, "batch") if upto is None or n > upto]
+    parts = _read(spark, folders + ([] if upto is None else [f"{path}/upto={upto}"]), schemas.KEYWORD_COUNTS)
+    return parts.groupBy(*KEY).agg(F.sum("count").alias("count"))
+
+
+def compact_counts(spark: SparkSession, path: str) -> None:
+    """Sums all batches but the newest, which may run again, into one folder; call it now and then between runs.
+
+    Summed batches are read no more; what removes old files may remove them.
+    """
+    older = _whole(spark, path, "batch")[:-1]
+    done = max(_whole(spark, path, "upto"), default=-1)
+    fresh = [n for n in older if n > done]
+    if fresh:
+        folders = [f"{path}/batch={n}" for n in fresh] + ([f"{path}/upto={done}"] if done >= 0 else [])
+        summed = _read(spark, folders, schemas.KEYWORD_COUNTS).groupBy(*KEY).agg(F.sum("count").alias("count"))
+        summed.write.mode("overwrite").parquet(f"{path}/upto={fresh[-1]}")
 
 
 def ingest_papers(stream: DataFrame, papers_path: str, counts_path: str, checkpoint: str) -> StreamingQuery:
     """New papers once each, and the keyword counts of new papers only, from a stream of papers (FEED columns).
 
-    Each batch writes version v=<batch> of both tables from the version before, so a batch that runs
-    twice leaves the same tables. Stops when all there is has been read.
+    A batch writes its own rows alone, under batch=<number> of both tables, and knows of older batches only, so one that
+    runs again overwrites itself with the same rows. Stops when all there is has been read.
     """
+    order = ["published_at", "title", "abstract", "updated_at", "pdf_url", "abs_url"]
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = _version(spark, papers_path, FEED, batch_id)
-        fresh = merge.new_rows(known, merge.first_seen(batch.select("arxiv_id", "title", "abstract", "categories", "published_at"), ["arxiv_id"], ["published_at", "title"]), ["arxiv_id"])
-        fresh = fresh.persist()
-        known.unionByName(fresh).write.mode("overwrite").parquet(f"{papers_path}/v={batch_id}")
-        added = counts.keyword_counts(text.keywords(fresh), fresh)
-        old = _version(spark, counts_path, schemas.KEYWORD_COUNTS, batch_id)
-        merge.accumulate(old, added, ["keyword", "category", "window_date"], ["count"]).write.mode("overwrite").parquet(f"{counts_path}/v={batch_id}")
-        fresh.unpersist()
+        known = read_papers(spark, papers_path, batch_id).select("arxiv_id")
+        rows = batch.select(*spark.createDataFrame([], FEED).columns)
+        fresh = merge.new_rows(known, merge.first_seen(rows, ["arxiv_id"], order), ["arxiv_id"])
+        fresh.write.mode("overwrite").parquet(f"{papers_path}/batch={batch_id}")
+        written = _read(spark, [f"{papers_path}/batch={batch_id}"], FEED)
+        added = counts.keyword_counts(text.keywords(written), written)
+        added.write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_papers(spark: SparkSession, path: str) -> DataFrame:
-    return _version(spark, path, FEED)
-
-
-def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    return _version(spark, path, schemas.KEYWORD_COUNTS)
-
-
 def windowed_counts(stream: DataFrame, size: str = "7 days", delay: str = "7 days") -> DataFrame:
     """`window_start, keyword, category, count` from `stream(ts, keyword, category, count)` in tumbling windows.
 
