@@ -78,7 +78,16 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def read_jdbc(spark: SparkSession, url: str, name: str, key: str, parts: int, properties: dict[str, str] | None = None) -> DataFrame:
+    """A database's table, read in `parts` ranges of its numeric `key`, whose bounds are asked first; rows without a key come with the first range."""
+    options = properties or {}
+    low, high = spark.read.jdbc(url, f"(SELECT MIN({key}) AS low, MAX({key}) AS high FROM {name}) bounds", properties=options).first()
+    if low is None:
+        return spark.read.jdbc(url, name, properties=options)
+    return spark.read.jdbc(url, name, column=key, lowerBound=int(low), upperBound=int(high) + 1, numPartitions=parts, properties=options)
+
+
 def snapshot(tables: dict[str, DataFrame], path: str, stamp: str) -> None:
-    """Writes each table under path/stamp."""
+    """Writes each table under path/stamp, from where `read_table` reads it."""
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{stamp}/{name}")
+        df.write.mode("errorifexists").parquet(f"{path}/{stamp}/{name}.parquet")
