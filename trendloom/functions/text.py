@@ -1,12 +1,16 @@
-"""Keywords, weighted concepts, prompt blocks and model output, all as built-in column work."""
+"""Keywords, weighted concepts, prompt blocks and model output."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that are never keywords.
 STOPWORDS = """a an the and or but in on at to for of with by from is are was were be been being have has had do does
@@ -16,6 +20,8 @@ paper propose proposed presents present results""".split()
 # Words that are dropped from uploaded documents besides those.
 DOCUMENT_STOPWORDS = [*STOPWORDS, *"fig figure table section et al".split()]
 TOKEN = "[a-zA-Z]{3,}"
+WORD = re.compile(TOKEN)
+NAMES = ["rank", "token", "count", "total"]
 
 
 def tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
@@ -24,30 +30,41 @@ def tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     return F.filter(words, lambda w: ~w.isin(stopwords))
 
 
-def _term_counts(rows: DataFrame, key: str, words: Column) -> DataFrame:
-    """`key, token, count, first_pos` per document. Rows are dealt by key once; grouping and later
-    windows by key need no other shuffle."""
-    dealt = rows.select(key, words.alias("_words")).repartition(key)
-    spread = dealt.select(key, F.posexplode("_words").alias("_pos", "token"))
-    return spread.groupBy(key, "token").agg(F.count("*").alias("count"), F.min("_pos").alias("first_pos"))
+def _ranked(rows: DataFrame, key: str, text: Column, stopwords: list[str], top_n: int) -> DataFrame:
+    """`key, rank, token, count, total` of each row's most frequent tokens, ties by first appearance; total counts all its tokens.
+
+    A document is one row, so its tokens are counted where it is read and nothing but the best ones leaves: built-in functions would
+    explode and shuffle every token of the corpus, or sort them by interpreted lambdas at twenty times the time.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part, found = batch.slice(at, 1024), []
+                for i, t in enumerate(part.column(1)):
+                    counts = Counter(WORD.findall((t.as_py() or "").lower()))
+                    for w in stopwords:
+                        counts.pop(w, None)
+                    total = counts.total()
+                    found += [(i, rank, w, n, total) for rank, (w, n) in enumerate(counts.most_common(top_n), 1)]
+                owner, *columns = zip(*found, strict=True) if found else ((), (), (), (), ())
+                kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [key, *NAMES])
+
+    read = rows.select(key, text.alias("_text"))
+    kind = T.StructType([read.schema[0], *(T.StructField(n, k()) for n, k in zip(NAMES, (T.IntegerType, T.StringType, T.LongType, T.LongType), strict=True))])
+    return read.mapInArrow(run, kind)
 
 
 def keywords(papers: DataFrame, top_n: int = 10, key: str = "arxiv_id") -> DataFrame:
-    """`key, keyword, frequency, rank`: the most frequent tokens of title and abstract; ties keep first appearance."""
+    """`key, keyword, frequency, rank`: the most frequent tokens of title and abstract; ties keep first appearance. `key` is unique."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
-    counts = _term_counts(papers, key, tokens(text))
-    order = Window.partitionBy(key).orderBy(F.desc("count"), "first_pos")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select(
-        key, F.col("token").alias("keyword"), F.col("count").alias("frequency"), "rank")
+    return _ranked(papers, key, text, STOPWORDS, top_n).select(key, F.col("token").alias("keyword"), F.col("count").alias("frequency"), "rank")
 
 
 def weighted_concepts(docs: DataFrame, top_n: int = 50, key: str = "paper_id") -> DataFrame:
-    """`key, concept, weight, rank`: weight is the token's share of all kept tokens of the document's text."""
-    counts = _term_counts(docs, key, tokens(F.col("text"), DOCUMENT_STOPWORDS))
-    counts = counts.withColumn("weight", F.col("count") / F.sum("count").over(Window.partitionBy(key)))
-    order = Window.partitionBy(key).orderBy(F.desc("count"), "first_pos")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select(
-        key, F.col("token").alias("concept"), "weight", "rank")
+    """`key, concept, weight, rank`: weight is the token's share of all kept tokens of the document's text. `key` is unique."""
+    found = _ranked(docs, key, F.col("text"), DOCUMENT_STOPWORDS, top_n)
+    return found.select(key, F.col("token").alias("concept"), (F.col("count") / F.col("total")).alias("weight"), "rank")
 
 
 def join_pages(pages: DataFrame, key: str = "paper_id") -> DataFrame:
@@ -72,6 +89,20 @@ def context_block(hits: DataFrame, key: str = "query_id") -> DataFrame:
         key, F.array_join(F.col("_l._line"), "\n").alias("block"))
 
 
+# The instructions round the sources of a prompt, by what is asked for.
+PROMPTS = {
+    "prediction": ("You are a research trend analyst. Use the numbered sources below to support your analysis. Cite sources as [1], [2], etc.", "Prediction to analyse:\n"),
+    "summary": ("You are a research assistant. Summarize what the literature says about the query below. Cite sources as [1], [2], etc.", "Query: "),
+}
+
+
+def grounded_prompt(asked: DataFrame, blocks: DataFrame, kind: str, key: str = "query_id") -> DataFrame:
+    """`key, prompt` of every row of `asked(key, text)`: instructions, the sources of its block (none if it has no block) and the text."""
+    head, before = PROMPTS[kind]
+    joined = asked.join(blocks.select(key, "block"), key, "left")
+    return joined.select(key, F.concat(F.lit(f"{head}\n\nSources:\n"), F.coalesce("block", F.lit("")), F.lit(f"\n\n{before}"), F.coalesce("text", F.lit(""))).alias("prompt"))
+
+
 def signal_block(signals: DataFrame, top: int = 20) -> DataFrame:
     """One row `block`: a line per leading signal for a report prompt."""
     line = F.format_string("- %s: centrality=%.3f, velocity=%.1f, trend=%s", "concept_name", "centrality_score", "velocity", "trend")
