@@ -12,7 +12,8 @@ LIKELIHOOD = {"high": 1.0, "medium": 0.5, "low": 0.0}
 
 
 def _value() -> Column:
-    return F.when(F.col("adoption_likelihood") == "high", 1.0).when(F.col("adoption_likelihood") == "medium", 0.5).otherwise(0.0)
+    known = F.create_map(*[F.lit(x) for pair in LIKELIHOOD.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.col("adoption_likelihood")), F.lit(0.0))
 
 
 def parse_opinions(raw: DataFrame) -> DataFrame:

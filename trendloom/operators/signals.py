@@ -38,14 +38,19 @@ def combine(bridge: DataFrame, velocity: DataFrame) -> DataFrame:
         "velocity": F.coalesce("velocity", F.lit(0.0)), "acceleration": F.coalesce("acceleration", F.lit(0.0)), "trend": F.coalesce("trend", F.lit("stable"))})
 
 
+def score(bridge: DataFrame, velocity: DataFrame) -> DataFrame:
+    """Every concept with 0.6 normalised centrality + 0.4 normalised velocity, in no order."""
+    return _composite(combine(bridge, velocity))
+
+
 def rank(bridge: DataFrame, velocity: DataFrame, top_n: int = 200) -> DataFrame:
-    """The best concepts by 0.6 normalised centrality + 0.4 normalised velocity, over all rows."""
-    return _composite(combine(bridge, velocity)).orderBy(F.desc("composite_score"), "concept_name").limit(top_n)
+    """The best concepts by that score, which is normalised over all rows."""
+    return score(bridge, velocity).orderBy(F.desc("composite_score"), "concept_name").limit(top_n)
 
 
 def page(bridge: DataFrame, velocity: DataFrame, limit: int, offset: int) -> DataFrame:
     """A page of that ranking; the normalisation stays that of the whole."""
-    return _composite(combine(bridge, velocity)).orderBy(F.desc("composite_score"), "concept_name").offset(offset).limit(limit)
+    return score(bridge, velocity).orderBy(F.desc("composite_score"), "concept_name").offset(offset).limit(limit)
 
 
 def query_graph(bridge: DataFrame, velocity: DataFrame, top_n: int = 20, trend: str = "all") -> DataFrame:

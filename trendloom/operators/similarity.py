@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.functions import text
+
 #: Vectors in one side of a tile.
 TILE = 16384
 
@@ -19,7 +21,9 @@ def _tiles(df: DataFrame) -> int:
 
 
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
-    rows = np.array([np.asarray(x, np.float64) for x in column.to_pylist()])
+    """The vectors of a column, all of one length, as unit rows, from its flat buffer."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float32())
+    rows = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return rows / np.where(length > 0, length, 1.0)
 
@@ -64,6 +68,17 @@ def search(emb: DataFrame, papers: DataFrame, query_vecs: DataFrame, top_k: int
         "query_id", "paper_id", "arxiv_id", "title", "abstract_snippet", "score", "published_at", "rank")
 
 
+def ground(directions: DataFrame, vectors: DataFrame, emb: DataFrame, papers: DataFrame, top_k: int = 5, min_score: float = 0.6) -> DataFrame:
+    """`query_id, query, block` of every row of `directions(query_id, topic, direction)`: the query "topic: direction" and its context.
+
+    `vectors(query_id, embedding)` are the caller's embeddings of those queries. One without a vector, or without a paper that
+    scores `min_score`, has the empty context, so nothing that asks is held up.
+    """
+    found = text.context_block(search(emb, papers, vectors, top_k, min_score))
+    query = F.concat(F.coalesce("topic", F.lit("")), F.lit(": "), F.coalesce("direction", F.lit("")))
+    return directions.join(found, "query_id", "left").select("query_id", query.alias("query"), F.coalesce("block", F.lit("")).alias("block"))
+
+
 def unembedded(papers: DataFrame, emb: DataFrame, limit: int | None = None) -> DataFrame:
     """Papers without an embedding, by id."""
     pending = papers.join(emb.select(F.col("paper_id").alias("id")), "id", "left_anti")
@@ -72,7 +87,7 @@ def unembedded(papers: DataFrame, emb: DataFrame, limit: int | None = None) -> D
 
 def embed_pending(papers: DataFrame, emb: DataFrame, embed_fn: Callable[[list[str]], list[list[float] | None]], batch: int = 32) -> DataFrame:
     """`paper_id, embedding` (null where the caller's function gave none) of papers without an embedding."""
-    text = F.concat_ws(" ", "title", "abstract")
+    joined = F.concat_ws(" ", "title", "abstract")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -81,7 +96,7 @@ def embed_pending(papers: DataFrame, emb: DataFrame, embed_fn: Callable[[list[st
                 vectors += embed_fn(part["text"].iloc[at : at + batch].tolist())
             yield pd.DataFrame({"paper_id": part["id"], "embedding": vectors})
 
-    return unembedded(papers, emb).select("id", text.alias("text")).mapInPandas(run, "paper_id long, embedding array<float>")
+    return unembedded(papers, emb).select("id", joined.alias("text")).mapInPandas(run, "paper_id long, embedding array<float>")
 
 
 def embed_counts(embedded: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from trendloom import storage
 from trendloom.functions import text
 from trendloom.operators import centrality, corpus, graph, signals, similarity
 from trendloom.plans import views as v
@@ -16,9 +17,14 @@ query = book.query
 QUERIES, ORACLES = book.queries, book.oracles
 
 
+def paper_keywords(spark, d):
+    """The first 13 keywords of all papers, counted once and written down, since most queries here read them several times."""
+    return storage.materialize(text.keywords(v.papers(spark, d), 13), "keywords")
+
+
 def extractions(spark, d):
     """A paper's first eight keywords as concepts and the next five as methods."""
-    kw = text.keywords(v.papers(spark, d), 13)
+    kw = paper_keywords(spark, d)
     lists = kw.groupBy("arxiv_id").agg(F.sort_array(F.collect_list(F.struct("rank", "keyword"))).alias("k"))
     return lists.select("arxiv_id", F.slice(F.col("k.keyword"), 1, 8).alias("concepts"), F.expr("slice(k.keyword, 9, 5)").alias("methods"))
 
@@ -41,12 +47,12 @@ edges AS (
 pairs AS (SELECT DISTINCT a.concept_name AS src, b.concept_name AS dst FROM mentions a JOIN mentions b USING (arxiv_id) WHERE a.concept_name <> b.concept_name)"""
 
 
-def _vertices(spark, d):
-    return graph.vertices(v.papers(spark, d), extractions(spark, d), v.authors(spark, d), v.citations(spark, d))
+def _vertices(spark, d, found=None):
+    return graph.vertices(v.papers(spark, d), found or extractions(spark, d), v.authors(spark, d), v.citations(spark, d))
 
 
-def _edges(spark, d):
-    return graph.edges(extractions(spark, d), v.authors(spark, d), v.citations(spark, d))
+def _edges(spark, d, found=None):
+    return graph.edges(found or extractions(spark, d), v.authors(spark, d), v.citations(spark, d))
 
 
 @query(f"WITH {v.PAPERS} SELECT arxiv_id, trim(substr(regexp_replace(translate(title, '''\\$', ''), '[\\r\\n]', ' ', 'g'), 1, 200)) AS label FROM papers")
@@ -78,8 +84,15 @@ def graph_cooccurrence_pending(spark, d):
 
 @query(f"""WITH {_GRAPH} SELECT (SELECT count(DISTINCT src) FROM pairs) AS graph_node_count, (SELECT count(*) FROM pairs) AS graph_edge_count""")
 def graph_concept_subgraph(spark, d):
-    links = _edges(spark, d).union(graph.cooccurrence(graph.mentions(extractions(spark, d))))
-    return graph.subgraph_size(graph.concept_subgraph(_vertices(spark, d), links))
+    return graph.subgraph_size(graph_concept_pairs(spark, d))
+
+
+@query(f"WITH {_GRAPH} SELECT src, dst FROM pairs")
+def graph_concept_pairs(spark, d):
+    """The subgraph itself, whose size is graph_concept_subgraph."""
+    found = extractions(spark, d)
+    links = _edges(spark, d, found).union(graph.cooccurrence(graph.mentions(found)))
+    return graph.concept_subgraph(_vertices(spark, d, found), links)
 
 
 @query(f"""WITH {_GRAPH},
@@ -93,7 +106,8 @@ def graph_build_metrics(spark, d):
 
 @query(f"WITH {_GRAPH} SELECT label AS kind, count(*) AS n FROM vertices GROUP BY 1 UNION ALL SELECT rel, count(*) FROM edges GROUP BY 1")
 def graph_counts(spark, d):
-    return graph.counts(_vertices(spark, d), _edges(spark, d))
+    found = extractions(spark, d)
+    return graph.counts(_vertices(spark, d, found), _edges(spark, d, found))
 
 
 @query(f"""WITH {_GRAPH} SELECT (SELECT count(*) FROM papers) AS total_papers, (SELECT count(graph_processed_at) FROM papers) AS processed_papers,
@@ -101,7 +115,8 @@ def graph_counts(spark, d):
   (SELECT count(*) FROM vertices WHERE label = 'Concept') AS concepts, (SELECT count(*) FROM edges) AS edges, (SELECT max(CAST(o_orderdate AS TIMESTAMP)) FROM orders) AS last_run""")
 def graph_stats(spark, d):
     runs = v.table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").alias("generated_at"))
-    return corpus.graph_stats(v.papers(spark, d), _vertices(spark, d), _edges(spark, d), runs)
+    found = extractions(spark, d)
+    return corpus.graph_stats(v.papers(spark, d), _vertices(spark, d, found), _edges(spark, d, found), runs)
 
 
 def _betweenness_sql(pivots: int, depth: int) -> str:
@@ -138,13 +153,13 @@ def betweenness_default(spark, d):
     return centrality.betweenness(pairs, top_n=None).withColumn("centrality_score", F.round("centrality_score", 9))
 
 
-def bridge(spark, d):
-    kw = text.keywords(v.papers(spark, d), 8)
+def bridge(spark, d, kw=None):
+    kw = (kw or paper_keywords(spark, d)).where("rank <= 8")
     return kw.groupBy(F.col("keyword").alias("concept_name")).agg(F.count("*").cast("double").alias("centrality_score"))
 
 
-def velocities(spark, d):
-    kw = text.keywords(v.papers(spark, d), 10).where("rank >= 2").groupBy(F.col("keyword").alias("concept_name"))
+def velocities(spark, d, kw=None):
+    kw = (kw or paper_keywords(spark, d)).where("rank BETWEEN 2 AND 10").groupBy(F.col("keyword").alias("concept_name"))
     got = kw.agg(F.sum("frequency").alias("s"), F.count("*").alias("c"), (F.max("frequency") - F.min("frequency")).cast("double").alias("acceleration"))
     trend = F.when(F.col("s") % 3 == 0, "stable").when(F.col("s") % 3 == 1, "accelerating").otherwise("decelerating")
     return got.select("concept_name", (F.col("s") - 3 * F.col("c")).cast("double").alias("velocity"), "acceleration", trend.alias("trend"))
@@ -163,13 +178,19 @@ def _round(df):
     return df.withColumn("composite_score", F.round("composite_score", 6))
 
 
+def inputs(spark, d):
+    """The ranking's two inputs, from keywords counted once."""
+    kw = paper_keywords(spark, d)
+    return bridge(spark, d, kw), velocities(spark, d, kw)
+
+
 def all_signals(spark, d):
-    return signals.rank(bridge(spark, d), velocities(spark, d), 1 << 30)
+    return signals.score(*inputs(spark, d))
 
 
 @query(f"WITH {_SIGNALS} SELECT * FROM combined")
 def signals_combine(spark, d):
-    return signals.combine(bridge(spark, d), velocities(spark, d))
+    return signals.combine(*inputs(spark, d))
 
 
 @query(f"WITH {v.BRIDGE} SELECT concept_name, centrality_score, round({_norm('centrality_score', 'bridge')}, 9) AS norm_centrality_score FROM bridge")
@@ -179,12 +200,12 @@ def signals_minmax(spark, d):
 
 @query(f"WITH {_SIGNALS} SELECT * REPLACE (round(composite_score, 6) AS composite_score) FROM (SELECT * FROM signals ORDER BY composite_score DESC, concept_name LIMIT 200)")
 def signals_rank(spark, d):
-    return _round(signals.rank(bridge(spark, d), velocities(spark, d), 200))
+    return _round(signals.rank(*inputs(spark, d), 200))
 
 
 @query(f"WITH {_SIGNALS} SELECT * REPLACE (round(composite_score, 6) AS composite_score) FROM (SELECT * FROM signals ORDER BY composite_score DESC, concept_name LIMIT 25 OFFSET 50)")
 def signals_page(spark, d):
-    return _round(signals.page(bridge(spark, d), velocities(spark, d), 25, 50))
+    return _round(signals.page(*inputs(spark, d), 25, 50))
 
 
 @query(f"""WITH {v.BRIDGE}, f AS (SELECT * FROM bridge JOIN velocity USING (concept_name) WHERE trend = 'accelerating')
@@ -192,7 +213,7 @@ SELECT * REPLACE (round(composite_score, 6) AS composite_score) FROM (
   SELECT concept_name, centrality_score, velocity, acceleration, trend, round(0.6 * {_norm("centrality_score", "f")} + 0.4 * {_norm("velocity", "f")}, 6) AS composite_score FROM f)
 ORDER BY composite_score DESC, concept_name LIMIT 20""")
 def signals_query_graph(spark, d):
-    return signals.query_graph(bridge(spark, d), velocities(spark, d), 20, "accelerating")
+    return signals.query_graph(*inputs(spark, d), 20, "accelerating")
 
 
 @query(f"WITH {_SIGNALS} SELECT concept_name, trend, velocity FROM signals WHERE trend = 'decelerating'")
@@ -303,6 +324,39 @@ def similarity_context(spark, d):
     return text.context_block(similarity.search(emb, v.papers(spark, d), queries_of(emb), 5, 0.3))
 
 
+_DIRECTIONS = f"""{v.PAPERS}, {v.TOPICS}, q AS (SELECT query_id, topic, direction, embedding FROM directions),
+near AS (SELECT query_id, vec_id AS paper_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM q, embeddings e WHERE q.embedding IS NOT NULL),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM near WHERE score >= 0.35),
+blocks AS (SELECT query_id, string_agg('[' || i || '] ' || title || ' (' || strftime(published_at, '%Y-%m-%d') || ') — ' || substr(abstract, 1, 300), chr(10) ORDER BY i) AS block
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS i FROM hits JOIN papers ON id = paper_id WHERE rank <= 5) GROUP BY query_id)"""
+
+
+def stored_vectors(spark, d):
+    """Stands for a caller's embedding of a direction: the stored vector of its row; every fourth has none."""
+    emb = v.embeddings(spark, d)
+    return emb.where("paper_id % 100 = 0").select(F.col("paper_id").alias("query_id"), F.when(F.col("paper_id") % 400 != 0, F.col("embedding")).alias("embedding"))
+
+
+@query(f"WITH {_DIRECTIONS} SELECT query_id, topic || ': ' || direction AS query, coalesce(block, '') AS block FROM q LEFT JOIN blocks USING (query_id)")
+def similarity_grounding(spark, d):
+    """Contexts of directions. The threshold is 0.35, since the table's unrelated vectors hardly pass the operator's 0.6."""
+    return similarity.ground(v.directions(spark, d), stored_vectors(spark, d), v.embeddings(spark, d), v.papers(spark, d), 5, 0.35)
+
+
+@query(f"""WITH {_DIRECTIONS} SELECT query_id, 'You are a research trend analyst. Use the numbered sources below to support your analysis. Cite sources as [1], [2], etc.' || chr(10) || chr(10)
+  || 'Sources:' || chr(10) || coalesce(block, '') || chr(10) || chr(10) || 'Prediction to analyse:' || chr(10) || direction AS prompt FROM q LEFT JOIN blocks USING (query_id)""")
+def prediction_prompt(spark, d):
+    asked = v.directions(spark, d)
+    return text.grounded_prompt(asked.select("query_id", F.col("direction").alias("text")), similarity_grounding(spark, d), "prediction")
+
+
+@query(f"""WITH {_DIRECTIONS} SELECT query_id, 'You are a research assistant. Summarize what the literature says about the query below. Cite sources as [1], [2], etc.' || chr(10) || chr(10)
+  || 'Sources:' || chr(10) || coalesce(block, '') || chr(10) || chr(10) || 'Query: ' || topic || ': ' || direction AS prompt FROM q LEFT JOIN blocks USING (query_id)""")
+def summary_prompt(spark, d):
+    found = similarity_grounding(spark, d)
+    return text.grounded_prompt(found.select("query_id", F.col("query").alias("text")), found, "summary")
+
+
 @query(f"WITH {v.PAPERS} SELECT id, arxiv_id FROM papers WHERE id NOT IN (SELECT vec_id FROM embeddings)")
 def similarity_unembedded(spark, d):
     return similarity.unembedded(v.papers(spark, d), v.embeddings(spark, d)).select("id", "arxiv_id")

@@ -42,16 +42,19 @@ _ENTRIES = """entries AS (
   FROM (SELECT *, regexp_replace(text, '[^a-zA-Z]+', ' ', 'g') AS p FROM documents) WHERE doc_id % 9 <> 0)"""
 
 
-@query(f"WITH {_ENTRIES} SELECT * FROM entries")
+_WHOLE = r"""abstracts AS (SELECT printf('2401.%07d', doc_id) AS arxiv_id,
+  trim(replace(replace(replace(replace(substr(regexp_replace(text, '[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]', '', 'g'), 41), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), ' '), '  ', ' '), ' ') AS abstract,
+  TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 300 AS INTEGER)) AS updated_at FROM documents WHERE doc_id % 9 <> 0)"""
+
+
+@query(f"WITH {_ENTRIES}, {_WHOLE} SELECT * FROM entries JOIN abstracts USING (arxiv_id)")
 def feed_papers(spark, d):
-    return feed(spark, d).drop("abstract", "updated_at")
+    """All columns of the feed, with whole abstracts."""
+    return feed(spark, d)
 
 
-@query(r"""SELECT printf('2401.%07d', doc_id) AS arxiv_id,
-  trim(replace(replace(replace(replace(substr(regexp_replace(text, '[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]', '', 'g'), 41), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), ' '), '  ', ' '), ' ') AS abstract,
-  TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 300 AS INTEGER)) AS updated_at FROM documents WHERE doc_id % 9 <> 0""")
+@query(f"WITH {_WHOLE} SELECT * FROM abstracts")
 def feed_abstracts(spark, d):
-    """What feed_papers, whose statement is fixed, leaves out: each entry's whole abstract, and when it was updated."""
     return feed(spark, d).select("arxiv_id", "abstract", "updated_at")
 
 
@@ -95,16 +98,46 @@ def _stream(spark, d, name):
     return spark.readStream.schema(v.table(spark, d, name).schema).option("recursiveFileLookup", "true").parquet(f"{d}/{name}*.parquet")
 
 
-@query(f"WITH {kq._COUNTS} SELECT * FROM counts")
-def stream_ingest(spark, d):
-    """Counts of papers taken in by the stream: those of the batch."""
+def _ingested(spark, d):
+    """The documents taken in as a stream of papers with all their columns: the folders of papers and counts."""
     docs = _stream(spark, d, "documents")
+    day = F.expr("timestamp'2022-01-01' + make_interval(0, 0, 0, cast(doc_id % 1096 as int))")
     rows = docs.select(
-        F.format_string("2401.%07d", "doc_id").alias("arxiv_id"), F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("abstract"), F.array("lang", "source").alias("categories"),
-        F.expr("timestamp'2022-01-01' + make_interval(0, 0, 0, cast(doc_id % 1096 as int))").alias("published_at"))
+        F.format_string("2401.%07d", "doc_id").alias("arxiv_id"), F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("abstract"),
+        F.array(F.format_string("Author %d", F.col("doc_id") % 97)).alias("authors"), F.array("lang", "source").alias("categories"), day.alias("published_at"),
+        (day + F.expr("interval 1 day")).alias("updated_at"), F.format_string("http://x/pdf/%d", "doc_id").alias("pdf_url"), F.format_string("http://x/abs/%d", "doc_id").alias("abs_url"))
     at = storage.fresh_path(spark, "intake")
     stream.ingest_papers(rows, f"{at}/papers", f"{at}/counts", f"{at}/checkpoint").awaitTermination()
-    return stream.read_counts(spark, f"{at}/counts")
+    return f"{at}/papers", f"{at}/counts"
+
+
+@query(f"WITH {kq._COUNTS} SELECT * FROM counts")
+def stream_ingest(spark, d):
+    """Counts of papers taken in by the stream: those of the batch."""
+    return stream.read_counts(spark, _ingested(spark, d)[1])
+
+
+@query(f"""WITH {v.PAPERS} SELECT arxiv_id, title, abstract, ['Author ' || CAST(id % 97 AS VARCHAR)] AS authors, categories, published_at, published_at + INTERVAL 1 DAY AS updated_at,
+  'http://x/pdf/' || CAST(id AS VARCHAR) AS pdf_url, 'http://x/abs/' || CAST(id AS VARCHAR) AS abs_url FROM papers""")
+def stream_papers(spark, d):
+    """Papers taken in by the stream, each once and whole."""
+    return stream.read_papers(spark, _ingested(spark, d)[0])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def read_table(spark, d):
+    return papers.read_table(spark, "orders", d).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("""SELECT 'customer' AS name, c_custkey AS id, c_name AS value FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier
+UNION ALL SELECT 'documents', doc_id, text FROM documents""")
+def snapshot_tables(spark, d):
+    """Tables as they are read again from a snapshot."""
+    keys = {"customer": ("c_custkey", "c_name"), "supplier": ("s_suppkey", "s_name"), "documents": ("doc_id", "text")}
+    at = storage.fresh_path(spark, "snapshots")
+    papers.snapshot({name: papers.read_table(spark, name, d) for name in keys}, at, "2024-01-01")
+    parts = [papers.read_table(spark, name, f"{at}/2024-01-01").select(F.lit(name).alias("name"), F.col(k).cast("long").alias("id"), F.col(x).alias("value")) for name, (k, x) in keys.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("""WITH w AS (

@@ -18,7 +18,7 @@ QUERIES, ORACLES = book.queries, book.oracles
 
 
 def user_concepts(spark, d):
-    """Concepts of all documents; document n belongs to user n modulo 50. A document's are written down once."""
+    """Concepts of all documents; document n belongs to user n modulo 50."""
     return text.weighted_concepts(v.user_documents(spark, d)).withColumn("user_id", F.col("paper_id") % 50)
 
 
@@ -26,10 +26,11 @@ def user_edges(spark, d):
     return personal.concept_edges(user_concepts(spark, d)).withColumn("user_id", F.col("paper_id") % 50)
 
 
-_EDGES = f"""{v.CONCEPTS},
+_EDGES = f"""{v.CONCEPTS.replace("concepts AS (", "concepts AS MATERIALIZED (")},
+heads AS MATERIALIZED (SELECT * FROM concepts WHERE rank <= 20),
 edges AS (
   SELECT a.paper_id, a.user_id, a.concept AS source_concept, b.concept AS target_concept, round(a.weight * b.weight, 6) AS weight
-  FROM concepts a JOIN concepts b ON a.paper_id = b.paper_id AND a.rank < b.rank WHERE a.rank <= 20 AND b.rank <= 20)"""
+  FROM heads a JOIN heads b ON a.paper_id = b.paper_id AND a.rank < b.rank)"""
 _NODES = """sums AS (SELECT user_id, concept, sum(weight) AS raw, count(*) AS mentions, count(DISTINCT paper_id) AS papers FROM concepts GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(raw, 12) DESC, concept) AS n, count(*) OVER (PARTITION BY user_id) AS total_concepts FROM sums)"""
 
@@ -81,13 +82,11 @@ def user_neighbours(spark, d):
 
 @query(f"""WITH {_SUMMABLE}, {_NODES}, t AS (SELECT user_id, count(DISTINCT paper_id) AS total FROM concepts GROUP BY 1),
 r AS (SELECT user_id, concept, CAST(raw AS DOUBLE) AS weight, papers / CAST(total AS DOUBLE) AS coverage, CAST(round(raw * 1000, 1) AS DOUBLE) AS velocity FROM placed JOIN t USING (user_id) WHERE n <= 200)
-SELECT user_id, concept, weight, coverage, velocity, round(coverage * 50, 1) AS acceleration, round(velocity * coverage, 6) AS composite,
+SELECT user_id, concept, weight, coverage, velocity, round(coverage * 50, 1) AS acceleration, CAST(round(CAST(velocity * coverage AS DECIMAL(30, 12)), 2) AS DOUBLE) AS composite,
        CASE WHEN coverage >= 0.8 THEN 'stable' WHEN coverage >= 0.4 OR weight > 0.01 THEN 'accelerating' ELSE 'decelerating' END AS trend FROM r""")
 def user_prominence(spark, d):
-    """The composite is compared before it is rounded, since the engines round halves of doubles differently."""
     found = personal.prominence(summable(user_concepts(spark, d)))
-    found = found.withColumns({c: F.col(c).cast("double") for c in ("weight", "velocity")})
-    return found.withColumn("composite", F.round(F.col("velocity") * F.col("coverage"), 6))
+    return found.withColumns({c: F.col(c).cast("double") for c in ("weight", "velocity")})
 
 
 @query(f"""WITH {_EDGES}, s AS (SELECT user_id, least(source_concept, target_concept) AS concept_a, greatest(source_concept, target_concept) AS concept_b, sum(CAST(weight AS DECIMAL(20, 15))) AS raw FROM edges GROUP BY ALL)
@@ -133,6 +132,18 @@ def user_export_json(spark, d):
     return sums.select("user_id", "n_concepts", "n_edges", F.col("first.concept").alias("first_concept"))
 
 
+@query(f"""WITH {_EDGES} SELECT 'concept' AS kind, user_id, paper_id, concept AS a, '' AS b, weight FROM concepts
+UNION ALL SELECT 'edge', user_id, paper_id, source_concept, target_concept, weight FROM edges""")
+def user_export_rows(spark, d):
+    """All that the exported documents hold, read again."""
+    documents = personal.export_json(user_concepts(spark, d), user_edges(spark, d))
+    shape = "concepts array<struct<paper_id long, concept string, weight double>>, edges array<struct<paper_id long, source_concept string, target_concept string, weight double>>"
+    parsed = documents.select("user_id", F.from_json("document", shape).alias("j"))
+    concepts = parsed.select("user_id", F.explode("j.concepts").alias("x")).select(F.lit("concept").alias("kind"), "user_id", "x.paper_id", F.col("x.concept").alias("a"), F.lit("").alias("b"), "x.weight")
+    edges = parsed.select("user_id", F.explode("j.edges").alias("x")).select(F.lit("edge").alias("kind"), "user_id", "x.paper_id", F.col("x.source_concept").alias("a"), F.col("x.target_concept").alias("b"), "x.weight")
+    return concepts.union(edges)
+
+
 AS_OF = dt.datetime(2024, 1, 1)
 
 
