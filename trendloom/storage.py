@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """`spark.checkpoint.dir` of the session, with its file system's scheme.
 
-    Only where the session has none (tests, one machine) a new folder under /tmp is set.
+    Only a session on one machine (a local master, as in tests) may have none: it gets a new folder under /tmp.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
         there = context._jsc.sc().getCheckpointDir()
         if there.isDefined():
             found = there.get()
+        elif not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="trendloom-")
             context.setCheckpointDir(found)
@@ -26,8 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/trendloom/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/trendloom/{name}-{uuid.uuid4().hex}"
+    """A path for an intermediate, in a folder of this application."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Deletes all intermediates of this application; for a job's end, when no DataFrame of the library is read any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
