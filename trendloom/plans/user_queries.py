@@ -82,7 +82,7 @@ def user_neighbours(spark, d):
 
 @query(f"""WITH {_SUMMABLE}, {_NODES}, t AS (SELECT user_id, count(DISTINCT paper_id) AS total FROM concepts GROUP BY 1),
 r AS (SELECT user_id, concept, CAST(raw AS DOUBLE) AS weight, papers / CAST(total AS DOUBLE) AS coverage, CAST(round(raw * 1000, 1) AS DOUBLE) AS velocity FROM placed JOIN t USING (user_id) WHERE n <= 200)
-SELECT user_id, concept, weight, coverage, velocity, round(coverage * 50, 1) AS acceleration, CAST(round(CAST(velocity * coverage AS DECIMAL(30, 12)), 2) AS DOUBLE) AS composite,
+SELECT user_id, concept, weight, coverage, velocity, round(coverage * 50, 1) AS acceleration, CAST(round(CAST(CAST(velocity * coverage AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS composite,
        CASE WHEN coverage >= 0.8 THEN 'stable' WHEN coverage >= 0.4 OR weight > 0.01 THEN 'accelerating' ELSE 'decelerating' END AS trend FROM r""")
 def user_prominence(spark, d):
     found = personal.prominence(summable(user_concepts(spark, d)))
