@@ -144,7 +144,7 @@ def related_concepts(signals: DataFrame, k: int = 8, hot: int = HOT_TOKEN) -> Da
         dealt = dealt.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n")
     names = materialize(dealt.select(F.col("h").alias("h2"), F.col("concept_name").alias("related")), "first-names")
     kinds = names.select(F.col("h2").alias("h")).distinct()
-    near = kinds.join(names, F.arrays_overlap("h", "h2")).withColumn("shared", F.size(F.array_intersect("h", "h2")).cast("long"))
+    near = kinds.select("h", F.explode("h").alias("token")).join(names.select("related", F.explode("h2").alias("token")), "token").groupBy("h", "related").agg(F.count("*").alias("shared"))
     best = Window.partitionBy("h").orderBy(F.desc("shared"), "related")
     filling = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).select("h", "related", "shared", F.explode(F.array(*[F.lit(x).cast("long") for x in range(SALTS)])).alias("salt"))
     filled = sets.select("h", "concept_name", salt).join(filling, ["h", "salt"]).where("concept_name <> related").select("concept_name", "related", "shared")
