@@ -22,8 +22,8 @@ PASSAGE_WORDS = 50
 #: Odd multipliers of the rolling hashes of bytes and of words; grams of lines have keys apart from those of words.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 LINES = np.uint64(0x5851F42D4C957F2D)
-#: Bytes hashed at once.
-BLOCK = 1 << 19
+#: Bytes hashed, and windows compared, at once.
+BLOCK, CHUNK = 1 << 19, 1 << 15
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -132,7 +132,9 @@ def select_words(words: Words, gram: int = WORD_GRAM, passage: int = PASSAGE_WOR
     at = np.arange(n - gram + 1)
     keys = words.keys(at, at + gram)
     first = np.flatnonzero(words.owner[: n - passage + 1] == words.owner[passage - 1 :])  # windows inside of one text
-    at = first + sliding_window_view(keys, passage - gram + 1)[first].argmin(axis=1)
+    windows = sliding_window_view(keys, passage - gram + 1)
+    least = np.concatenate([windows[k : k + CHUNK].argmin(axis=1) for k in range(0, len(windows), CHUNK)])  # argmin copies what it looks at
+    at = first + least[first]
     at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
     return keys[at], at, np.full(len(at), gram)
 
