@@ -176,7 +176,8 @@ def _with_components(docs: DataFrame) -> DataFrame:
     """`doc_id, mark` (the text's hash), `fp, root` of every row; root is a fingerprint of its component."""
     marks = materialize(fingerprints(docs), "fingerprints")
     classes = materialize(marks.select("fp").distinct(), "classes")
-    roots = components(links(classes, layout(classes.count())))
+    # written, so that in the join the rows of one large group of copies can be split
+    roots = materialize(components(links(classes, layout(classes.count()))), "roots")
     return marks.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "mark", "fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -189,7 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Copies share a fingerprint, so links are sought between distinct fingerprints only.
     """
     rooted = materialize(_with_components(docs), "rooted")
-    named = rooted.groupBy(F.col("root").alias("name_root")).agg(F.min("doc_id").alias("component_id"))
+    named = materialize(rooted.groupBy(F.col("root").alias("name_root")).agg(F.min("doc_id").alias("component_id")), "named")
     return rooted.join(named, F.col("root") == F.col("name_root")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
