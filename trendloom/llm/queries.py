@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import embedding_lsh, html_text, language_id, line_dedup, media, mixing, quality, simhash, suffix_pieces, token_counts
+from trendloom.llm import embedding_lsh, html_text, language_id, line_dedup, lookup_clusters, media, mixing, projected_neighbours, quality, simhash, suffix_pieces, token_counts, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lookup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that fits no long is null; the operator's own column holds it."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", out["deviation"].try_cast("long"))
+
+
+def op13_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected_neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_text, op2_language_id, op3_media_columns, op4_sentencepiece, op5_token_counts,
-    op6_quality, op7_line_dedup, op8_mixing, op9_embedding_lsh, op10_simhash)}
+    op6_quality, op7_line_dedup, op8_mixing, op9_embedding_lsh, op10_simhash,
+    op11_lookup_clusters, op12_whitening, op13_projected_neighbours)}
 ORACLES = {"op8_mixing": mixing.MIX_SQL}
