@@ -164,7 +164,7 @@ class Part:
 
 
 def classes(embeddings: DataFrame, k: int, every: int) -> DataFrame:
-    """`cid, ids, asks, vector`: one row per distinct usable vector with the ids of its k rows of smallest id (cid the first), and whether a row of it asks.
+    """`cid, ids, asks, vector`: one row per distinct usable vector with a number, the ids of its k rows of smallest id, and whether a row of it asks.
 
     The windows keep k rows a task already, so a vector of very many rows meets few of them.
     """
@@ -172,7 +172,7 @@ def classes(embeddings: DataFrame, k: int, every: int) -> DataFrame:
     order = Window.partitionBy("vector", "ask").orderBy("vec_id")
     few = rows.withColumn("ask", F.col("vec_id") % every == 0).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
     ids = F.slice(F.sort_array(F.collect_list("vec_id")), 1, k)
-    return few.groupBy("vector").agg(ids.alias("ids"), F.bool_or("ask").alias("asks")).select(F.col("ids")[0].alias("cid"), "ids", "asks", "vector")
+    return few.groupBy("vector").agg(ids.alias("ids"), F.bool_or("ask").alias("asks")).select(F.monotonically_increasing_id().alias("cid"), "ids", "asks", "vector")
 
 
 def _projected(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +183,7 @@ def _projected(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sampled(found: DataFrame, n: int, size: int) -> np.ndarray:
     """Projections of about `size` of n classes, those of small hash."""
-    kept = found.where(F.pmod(F.xxhash64("cid", F.lit(SEED)), F.lit(n)) < size).select("vector")
+    kept = found.where(F.pmod(F.xxhash64("vector", F.lit(SEED)), F.lit(n)) < size).select("vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, BLOCK):
@@ -325,7 +325,7 @@ def nearest(embeddings: DataFrame, top: int = TOP, every: int = EVERY, cell_size
     no rows. Other columns are ignored.
     """
     k = top + 1  # the query's own row is among its class's
-    found = materialize(classes(embeddings, k, every), "classes")
+    found = materialize(classes(embeddings, k, every), "classes")  # which fixes the numbers
     n = found.count()
     levels = max(0, min(math.ceil(math.log2(max(n, 1) / cell_size)), int(math.log2(max(sample // 32, 1)))))
     tree = upper_tree(sampled(found, max(n, 1), sample), levels)
@@ -334,7 +334,7 @@ def nearest(embeddings: DataFrame, top: int = TOP, every: int = EVERY, cell_size
     if not len(around.cell):
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     counts = embeddings.sparkSession.createDataFrame([(int(c), int(p)) for c, p in zip(around.cell, around.parts, strict=True)], "cell int, parts int")
-    index = materialize(index.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).drop("parts"), "index")
+    index = materialize(index.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int")).drop("parts"), "index")
     tasks = max(int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * int(around.parts.sum()), MOST_TASKS))
     asked = found.where("asks").select("cid", "vector")
     near = materialize(_answers(index, _routed(asked, tree, around, k, True), k, queries, tasks), "near")
