@@ -73,7 +73,9 @@ def test_gradient_leads_to_the_likelihood_maximum():
 
 @pytest.mark.parametrize("page", [
     "".join(f"<div class='k{j}'>w{j} " for j in range(20_000)), "<b>x " * 20_000 + "</i></p>" * 20_000, '<a title="x ' * 20_000, '<a title="x ' * 20_000 + ">", '<a "x>"' * 20_000,
-    "<" * 200_000 + ">", "<!-- " * 50_000, "<p>" + "word " * 400_000, "<span>" * 20_000 + "end"])
+    "<" * 200_000 + ">", "<!-- " * 50_000, "<p>" + "word " * 400_000, "<span>" * 20_000 + "end",
+    "<script>" + "</script" * 200_000, "<p>x</p><textarea>" + "</textarea" * 200_000, "<script>" + "</scripts " * 200_000 + ">", "<style></style" * 100_000, "<title>a</title " * 100_000 + ">",
+    "<!" * 500_000, "</p" * 300_000, "<p" * 300_000])
 def test_odd_pages_take_linear_time(page):
     began = time.process_time()
     html_text.model()

@@ -93,6 +93,25 @@ def test_language_ties_repeated_rows_and_clashing_names(spark):
     assert kept.columns == df.columns and {r.lang_pred for r in kept.collect()} == {"x"} and {r.lang for r in kept.collect()} == {"aa"}
 
 
+def test_marks_belong_to_words(spark):
+    """Vowel signs, points and decomposed accents; letters are counted without them."""
+    split = language_id.words_of
+    assert split("हिन्दी भाषा में, 12") == ["हिन्दी", "भाषा", "में"]
+    assert split("தமிழ் மொழி") == ["தமிழ்", "மொழி"]
+    assert split("שָׁלוֹם עוֹלָם") == ["שָׁלוֹם", "עוֹלָם"]
+    assert split("cafe\u0301 o\u0308l 3a_b") == ["cafe\u0301", "o\u0308l", "a", "b"]
+    assert split("می\u200cخواهم") == ["می\u200cخواهم"] and split("Straße, l'été!") == ["straße", "l", "été"]
+    assert split("\u0301 ॥ 12 \u200d") == []
+    assert language_id.letters_of(["cafe\u0301", "ab", "हिन्दी"]).tolist() == [4, 2, 3]
+    texts = {"hi": "हिन्दी भाषा में लिखा हुआ पाठ है और यह सरल है", "ta": "தமிழ் மொழியில் எழுதப்பட்ட எளிய உரை இது", "he": "שָׁלוֹם עוֹלָם זֶה טֶקְסְט קָצָר", "fr": "l'e\u0301te\u0301 de\u0301ja\u0300 passe\u0301 a\u0300 la fene\u0302tre"}
+    rows = [(k, t, lang) for lang, t in texts.items() for k in range(40)]
+    df = spark.createDataFrame([(i, t, lang) for i, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = language_id.predict(df).collect()
+    assert all(r.lang_pred == rows[r.doc_id][2] and r.score == 1.0 and len(r.spans) == 1 for r in got)
+    none = language_id.predict(df.union(spark.createDataFrame([(999, "\u0301\u0302 12", "fr")], df.schema))).where("doc_id = 999").first()
+    assert none.lang_pred == "und" and none.score == 0
+
+
 def test_viterbi_in_step_equals_one_by_one(prose):
     draw = np.random.default_rng(1)
     model = language_id.Model(["a", "b", "c"], draw.normal(-8, 2, (language_id.BUCKETS, 3)).astype(np.float32), np.ones((len(language_id.SCRIPTS) + 1, 3), bool))

@@ -3,6 +3,7 @@ import re
 from functools import cache
 
 import numpy as np
+import pytest
 
 from trendloom.llm import line_dedup, passages
 
@@ -51,17 +52,19 @@ def brute(rows):
     out = {}
     for i, t in texts.items():
         gone, merged = set(), []
-        for at, until, j, o in sorted((at, at + n, *first[kind, k]) for kind, k, at, n in chosen[i] if first[kind, k] != (i, at)):
+        for at, j, o, until in sorted((at, *first[kind, k], at + n) for kind, k, at, n in chosen[i] if first[kind, k] != (i, at)):
+            size = until - at
             if merged and at <= merged[-1][1]:
-                merged[-1][1:] = max((merged[-1][1], merged[-1][3]), (until, (j, o + until - at)))[0], merged[-1][2], max((merged[-1][1], merged[-1][3]), (until, (j, o + until - at)))[1]
+                merged[-1][1:4] = max((merged[-1][1], merged[-1][3]), (until, (j, o + until - at)))[0], merged[-1][2], max((merged[-1][1], merged[-1][3]), (until, (j, o + until - at)))[1]
             else:
-                merged.append([at, until, (j, o), (j, o + until - at)])
-        for a, b, (j, o), (m, q) in merged:
+                merged.append([at, until, (j, o), (j, o + until - at), max(0, o + size - at) if j == i else 0])
+        for a, b, (j, o), (m, q), lead in merged:
             lowest, highest = a - line_dedup.REACH, b + line_dedup.REACH
             while a > max(lowest, 0) and o > 0 and words[i][a - 1] == words[j][o - 1]:
                 a, o = a - 1, o - 1
             while b < min(highest, len(words[i])) and q < len(words[m]) and words[i][b] == words[m][q]:
                 b, q = b + 1, q + 1
+            a += lead
             if b - a >= passages.PASSAGE_WORDS:
                 gone |= set(range(a, b))
             else:
@@ -99,6 +102,20 @@ def test_against_brute_force(docs):
     assert sum(x.n_removed for x in got.values()) > 100 and sum(map(len, want.values())) > 1000
 
 
+@pytest.mark.parametrize("period", [1, 2, 7, 24, 25, 40, 60])
+@pytest.mark.parametrize("lines", [False, True])
+def test_texts_that_repeat_themselves_keep_a_first_occurrence(docs, prose, period, lines):
+    """p words over and over keep the first p, or a gram where that is more; on lines of p words, the lines of the first gram."""
+    words = [f"w{k}" for k in range(period)]
+    turns = 400 // period
+    text = ("\n" if lines else " ").join([" ".join(words)] * turns)
+    [got] = line_dedup.dedup_lines(docs([(1, text)])).collect()
+    kept = max(period, passages.LINE_GRAM + -passages.LINE_GRAM % period) if lines else max(period, passages.WORD_GRAM)
+    assert WORD.findall(got.new_text) == (words * turns)[:kept] or lines and WORD.findall(got.new_text) == (words * turns)[: max(period, passages.WORD_GRAM)]
+    other = line_dedup.dedup_lines(docs([(1, text), (2, prose("en", 30) + "\n" + text)])).where("row.doc_id = 2").collect()[0]
+    assert WORD.findall(other.new_text) == WORD.findall(other.new_text)[:30]  # a later document keeps none of it
+
+
 def test_found_by_fingerprints_alone(docs, prose, monkeypatch):
     """A short repeated line counts only where its window selects it, and without fingerprints nothing is found."""
     line = "this line of nine words stands in many texts"

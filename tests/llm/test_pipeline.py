@@ -66,6 +66,31 @@ def test_small_tables(spark, docs, rows, tmp_path):
     assert [r.doc_id for r in out] == [i for i, t in rows if t]
 
 
+CLASHES = ["_", "_id", "_mark", "_none", "_own_id", "_own_none", "_own_mark", "row", "fp", "id", "mark", "none", "n", "k", "key", "root", "node", "lead", "runs", "copies", "Text", "odd name.x"]
+
+
+def test_stages_keep_columns_of_any_name(spark, prose):
+    """Columns named as those that stages use inside keep their values."""
+    rows = [(k, prose("en", 60), "en", "s", 9) + tuple(f"{c}{k}" for c in CLASHES[:-1]) + (k,) for k in range(8)]
+    rows += [rows[3], (9, rows[2][1], *rows[2][2:])]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+    df = spark.createDataFrame(rows, names)
+    texts = {r[0]: r[5:] for r in rows}
+    case = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")  # for text beside Text
+    try:
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, "")
+            assert out.columns == names, name
+            got = out.collect()
+            assert got and all(tuple(r)[5:] == texts[r[0]] for r in got), name
+            if name == "SimHash near-dedup":
+                assert sorted(r[0] for r in got) == list(range(8))
+        assert corpus_pipeline.encode(spark, df, "").count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", case)
+
+
 def test_stages_and_names():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

@@ -30,6 +30,8 @@ RATE, DECAY = 0.1, 1e-4
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp noembed noframes iframe".split())
+#: The tag that ends a raw element; it is looked for before the page's last ">" only, so that unended ones are passed once.
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 DROPPED = set("head noscript template object svg math canvas audio video select button datalist map".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 P_SCOPE = set("td th caption table html body template object marquee applet button".split())
@@ -204,7 +206,7 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             if tag in ("textarea", "iframe"):
                 close_block()
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = RAW_END[tag].search(page, at, ends)
             at = end.end() if end else len(page)
             continue
         if tag not in INLINE:

@@ -17,6 +17,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,9 @@ SCRIPTS = {
     "kana": ((0x3040, 0x30FF),), "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)), "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
 }
 WORDS = re.compile(r"[^\W\d_]+")
+#: Combining marks belong to the word of the letter before them: vowel signs, points, decomposed accents. Joiners inside of words, too.
+MARKED = regex.compile(r"\p{L}(?:[\p{L}\p{M}]|[\u200c\u200d](?=[\p{L}\p{M}]))*|[^\W\d_\p{M}\p{Cf}]")
+FIRST_MARK = re.compile("[\u0300-\U0010ffff]")
 NGRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 17
 #: At most so many labelled documents are learned from, those of least hash.
@@ -46,6 +50,21 @@ REMEMBERED = 200_000
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, in lower case."""
+    text = text.lower()
+    return MARKED.findall(text) if FIRST_MARK.search(text) else WORDS.findall(text)
+
+
+def letters_of(words: list[str]) -> np.ndarray:
+    """The number of letters of each word, its marks not counted."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    odd = [k for k, w in enumerate(words) if not w.isalpha()]
+    for k in odd:
+        sizes[k] = max(1, sum(map(str.isalpha, words[k])))
+    return sizes
+
+
 def _script_table() -> np.ndarray:
     table = np.zeros(0x10000, np.int8)  # 0: none of them
     for k, ranges in enumerate(SCRIPTS.values(), 1):
@@ -101,7 +120,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column(0).to_pylist()
-            words = [WORDS.findall(t.lower()) for t in batch.column(1).to_pylist()]
+            words = list(map(words_of, batch.column(1).to_pylist()))
             for lang in sorted(set(labels)):
                 own = list(chain.from_iterable(w for w, x in zip(words, labels, strict=True) if x == lang))
                 n, used = np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPTS) + 1, np.int64)
@@ -145,12 +164,12 @@ class Labeller:
         got = np.stack([np.bincount(owner, self.model.weights[buckets, k], len(words)) for k in range(len(self.model.langs))], axis=1)
         may = self.model.uses[scripts]
         got[~may & may.any(axis=1)[:, None]] -= 1000.0
-        got[~np.fromiter(map(str.isalpha, words), bool, len(words))] = 0  # numbers in letter-like signs
+        got[~np.fromiter((w[0].isalpha() for w in words), bool, len(words))] = 0  # numbers in letter-like signs
         return got.astype(np.float32)
 
     def label(self, texts: list[str]) -> tuple[list[list[str]], list[np.ndarray]]:
         """Words of each text and the language (its place in `langs`) of each word: Viterbi over all texts in step."""
-        words = [WORDS.findall(t.lower()) for t in texts]
+        words = list(map(words_of, texts))
         rows = self.rows(words)
         n = np.fromiter(map(len, words), np.int64, len(words))
         begin = np.cumsum(n) - n
@@ -221,7 +240,7 @@ def labelled(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[
                 if not len(w) or not any(map(str.isalpha, w)) and not any(c.isalpha() for t in w for c in t):
                     found.append((UNKNOWN, 0.0, none, none))
                 else:
-                    letters = np.fromiter(map(len, w), np.int64, len(w))
+                    letters = letters_of(w)
                     share = np.bincount(x, letters, len(langs)) / letters.sum()
                     found.append((langs[int(share.argmax())], min(1.0, float(share.max())), x, letters))
             yield part, found
@@ -247,7 +266,8 @@ def keep_identified(docs: DataFrame, train_docs: int = TRAIN_DOCS, languages: Co
     model = fit(docs, train_docs)
     shipped, asked = docs.sparkSession.sparkContext.broadcast(model), None if languages is None else set(languages)
     # texts pass through Python once, and rejected rows end there
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "lang")], F.lit(0).alias("_")).alias("row"), F.col("text").cast("string").alias("text"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "lang")]
+    rows = docs.select((F.struct(*rest) if rest else F.lit(0)).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in labelled(batches, shipped.value):

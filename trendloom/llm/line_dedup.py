@@ -68,14 +68,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _runs(found: DataFrame) -> DataFrame:
     """`doc_id, mark, first, last, head, tail`: stretches of words (last excluded) that matched grams cover without a gap.
 
-    `head` and `tail` are the first occurrences (document, text hash, place) of the words at the stretch's two ends.
+    `head` and `tail` are the first occurrences (document, text hash, place) of the words at the stretch's two ends; head has the
+    number of words of the gram that found it, too.
     """
     origins = found.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "at")).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
     origins = materialize(origins, "origins")  # so that a common key's rows can be split in the join
     later = found.join(origins, "key").where(F.struct("doc_id", "mark", "at") > F.col("o"))
     until = F.col("at") + F.col("size")
     later = later.select(
-        "doc_id", "mark", "at", until.alias("until"), F.struct("o.doc_id", "o.mark", F.col("o.at").alias("place")).alias("head"),
+        "doc_id", "mark", "at", until.alias("until"), F.struct("o.doc_id", "o.mark", F.col("o.at").alias("place"), "size").alias("head"),
         F.struct("o.doc_id", "o.mark", (F.col("o.at") + F.col("size")).alias("place")).alias("tail"))
     places = Window.partitionBy("doc_id", "mark").orderBy("at")
     before = F.max("until").over(places.rowsBetween(Window.unboundedPreceding, -1))
@@ -110,12 +111,15 @@ def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """`doc_id, mark, runs`: per document its repeated runs of words (first, last; last excluded), extended both ways."""
-    runs = materialize(_runs(materialize(fingerprints(docs), "fingerprints")), "runs")
+    runs = _runs(materialize(fingerprints(docs), "fingerprints"))
+    # of a text that repeats itself at a distance of less than a gram, so many of the run's first words are the first occurrence's
+    own = (F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.mark") == F.col("mark"))
+    runs = materialize(runs.withColumn("lead", F.when(own, F.greatest(F.lit(0), F.col("head.size") + F.col("head.place") - F.col("first"))).otherwise(0)).withColumn("head", F.col("head").dropFields("size")), "runs")
     # an ask is a place between words, times two; plus one for what follows it
     end = F.explode(F.array(
         F.struct((F.col("first") * 2).alias("ask"), F.col("head").alias("o")), F.struct((F.col("last") * 2 + 1).alias("ask"), F.col("tail").alias("o")))).alias("end")
-    ends = runs.select("doc_id", "mark", "first", "last", end).select(
-        "doc_id", "mark", "first", "last", "end.ask", F.col("end.o.doc_id").alias("o_doc"), F.col("end.o.mark").alias("o_mark"),
+    ends = runs.select("doc_id", "mark", "first", "last", "lead", end).select(
+        "doc_id", "mark", "first", "last", "lead", "end.ask", F.col("end.o.doc_id").alias("o_doc"), F.col("end.o.mark").alias("o_mark"),
         (F.col("end.o.place") * 2 + F.col("end.ask") % 2).alias("o_ask"))
     found = materialize(_contexts(docs, ends), "contexts")
     mine = found.select("c_doc", "c_mark", "c_ask", F.col("around").alias("own"))
@@ -123,9 +127,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     ends = ends.join(found, (F.col("o_doc") == F.col("c_doc")) & (F.col("o_mark") == F.col("c_mark")) & (F.col("o_ask") == F.col("c_ask")))
     unlike = F.array_position(F.zip_with("own", "around", lambda x, y: x.eqNullSafe(y)), False).cast("int")
     more = F.when(unlike == 0, F.size("own")).otherwise(unlike - 1)
-    whole = ends.groupBy("doc_id", "mark", "first", "last").agg(
+    whole = ends.groupBy("doc_id", "mark", "first", "last", "lead").agg(
         F.max(F.when(F.col("ask") % 2 == 0, more)).alias("ahead"), F.max(F.when(F.col("ask") % 2 == 1, more)).alias("behind"))
-    run = F.struct((F.col("first") - F.col("ahead")).alias("first"), (F.col("last") + F.col("behind")).alias("last"))
+    run = F.struct((F.col("first") - F.col("ahead") + F.col("lead")).alias("first"), (F.col("last") + F.col("behind")).alias("last"))
+    whole = whole.where(run["first"] < run["last"])
     return whole.groupBy("doc_id", "mark").agg(F.collect_set(run).alias("runs"))
 
 
@@ -181,7 +186,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     ones if a window selects them), and whatever words of a run of PASSAGE_WORDS, which may begin and end inside a
     line; of such a line the other words stay, and it isn't counted in `n_removed`. A run is a stretch of words that repeated grams
     cover without a gap, and what extends it: the words at its ends that equal those around the first occurrence of
-    its first, or last, gram; words that equal only a later occurrence's stay. Lines compare by their words; a blank
+    its first, or last, gram; words that equal only a later occurrence's stay. A text that repeats itself every p words keeps the first p of them, or the first gram's
+    words if those are more (WORD_GRAM, or those of its lines), since a repeat's words never count as its own first occurrence's. Lines compare by their words; a blank
     line goes if the nearest lines with words on both sides go. Runs of fewer than LINE_GRAM words stay. A null text stays
     null with 0 lines; a text may become empty. Rows that repeat a doc_id and a text are one document and change
     alike; a null doc_id counts as the least long, so such a document comes first. No rows give no rows.

@@ -198,14 +198,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each group of near-duplicates: that of smallest doc_id (null last), then of smallest text hash.
 
-    A document is known by its doc_id and its text. Rows that repeat both are copies, and one of them stays; unlike texts
-    under one doc_id are unlike documents.
+    A document is known by its doc_id and its text. Rows that repeat both are copies, and one of them stays (that whose columns
+    come first as JSON); unlike texts under one doc_id are unlike documents. Texts are only grouped where rows repeat.
     """
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    kept = _with_components(docs).groupBy("root").agg(F.min(first).alias("kept"))
-    kept = kept.select(F.coalesce("kept.doc_id", F.lit(0)).alias("_id"), F.col("kept.doc_id").isNull().alias("_none"), F.col("kept.mark").alias("_mark"))
-    kept = materialize(kept, "kept")
-    own = docs.withColumns({"_own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_own_none": F.col("doc_id").isNull(), "_own_mark": F.xxhash64("text")})
-    same = (F.col("_own_id") == F.col("_id")) & (F.col("_own_none") == F.col("_none")) & (F.col("_own_mark") == F.col("_mark"))
-    one = own.join(kept, same, "left_semi").dropDuplicates(["_own_id", "_own_none", "_own_mark"])
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = _with_components(docs).groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark", "n")
+    kept = materialize(same.groupBy("root").agg(F.min(first).alias("k")).select("k.*"), "kept")
+    # the caller's columns in one struct, whatever their names are
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("none"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("mark"))
+    key = ["none", "id", "mark"]
+    out = rows.join(kept.where("n = 1"), key, "left_semi").select("row")
+    repeated = kept.where("n > 1")
+    if not repeated.isEmpty():
+        out = out.union(rows.join(repeated, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
