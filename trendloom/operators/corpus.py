@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.sources.papers import by_month, in_months
+
 
 def list_papers(papers: DataFrame, category: str, days_back: int, limit: int, as_of: dt.datetime) -> DataFrame:
     """The newest papers of a category in the last days."""
@@ -35,7 +37,8 @@ def unprocessed(papers: DataFrame, stamp_col: str, limit: int | None = None) ->
 
 
 def published_between(papers: DataFrame, from_: dt.datetime, to: dt.datetime) -> DataFrame:
-    return papers.where((F.col("published_at") >= F.lit(from_)) & (F.col("published_at") < F.lit(to)))
+    """Papers of [from_, to). Of papers laid out by month (see `sources.papers.write_by_month`), only months in it are read."""
+    return in_months(papers, from_, to).where((F.col("published_at") >= F.lit(from_)) & (F.col("published_at") < F.lit(to)))
 
 
 def graph_stats(papers: DataFrame, vertices: DataFrame, edges: DataFrame, reports: DataFrame) -> DataFrame:
@@ -68,6 +71,11 @@ def month_windows(spark: SparkSession, start: dt.datetime, end: dt.datetime) ->
 
 
 def papers_by_month(papers: DataFrame, windows: DataFrame) -> DataFrame:
-    """`month, n`: papers in each window, its end included only at the range's end."""
-    kept = papers.select("published_at", F.date_trunc("month", "published_at").alias("month")).join(windows, "month")
-    return kept.where("published_at >= window_start AND published_at <= window_end").groupBy("month").agg(F.count("*").alias("n"))
+    """`month, n`: papers in each window, its end included only at the range's end.
+
+    Of papers laid out by month, the windows name the folders that are read: Spark prunes them while the query runs.
+    """
+    own = papers if "month" in papers.columns else by_month(papers)
+    named = windows.select(F.col("month").alias("window_month"), F.to_date("month").alias("month"), "window_start", "window_end")
+    kept = own.select("published_at", "month").join(F.broadcast(named), "month")  # a row a month of the asked range
+    return kept.where("published_at >= window_start AND published_at <= window_end").groupBy(F.col("window_month").alias("month")).agg(F.count("*").alias("n"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendloom.sources import merge
@@ -59,10 +61,41 @@ def cooccurrence(found: DataFrame, only_papers: DataFrame | None = None) -> Data
     return left.select("src", F.explode("c").alias("dst")).where("src <> dst").distinct().select("src", F.lit("CO_OCCURS_WITH").alias("rel"), "dst")
 
 
-def add_cooccurrence(target: DataFrame, found: DataFrame, papers: DataFrame) -> DataFrame:
-    """The target edges with those of papers whose cooccurrence_processed_at is null."""
+#: Hash buckets, by source concept, that stored co-occurrence edges lie in.
+EDGE_BUCKETS = 256
+EDGES = "src string, rel string, dst string, bucket int"
+
+
+def _stamped(papers: DataFrame, as_of: dt.datetime) -> DataFrame:
+    now = F.coalesce("cooccurrence_processed_at", F.lit(as_of).cast("timestamp"))
+    return papers.withColumn("cooccurrence_processed_at", now)
+
+
+def add_cooccurrence(target: DataFrame, found: DataFrame, papers: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """The target edges with those of papers whose cooccurrence_processed_at is null, and the papers with that stamp set."""
+    fresh = papers.where(F.col("cooccurrence_processed_at").isNull())
+    return merge.insert_ignore(target, cooccurrence(found, fresh), ["src", "rel", "dst"]), _stamped(papers, as_of)
+
+
+def extend_cooccurrence(spark: SparkSession, path: str, found: DataFrame, papers: DataFrame, as_of: dt.datetime, buckets: int = EDGE_BUCKETS) -> DataFrame:
+    """Adds the co-occurrence edges of papers without a stamp to the table at `path`, and gives the papers with their stamp.
+
+    Only pairs of unstamped papers are made. Edges are laid out by a hash of their source concept, so the pairs meet the edges of
+    the buckets that they fall into, and what is new is appended there; no edge is written again. Papers are to be saved
+    with their stamps after this; if that is lost, the next run makes the same pairs again and finds them all there.
+    """
     fresh = papers.where(F.col("cooccurrence_processed_at").isNull())
-    return merge.insert_ignore(target, cooccurrence(found, fresh), ["src", "rel", "dst"])
+    pairs = materialize(merge.with_bucket(cooccurrence(found, fresh), ["src"], buckets), "pairs")
+    touched = sorted(r.bucket for r in pairs.select("bucket").distinct().collect())
+    if touched:
+        known = merge.read_partitions(spark, path, EDGES, "bucket", touched)
+        new = materialize(pairs.join(known, ["bucket", "src", "rel", "dst"], "left_anti").select("src", "rel", "dst", "bucket"), "new-edges")
+        new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    return _stamped(papers, as_of)
+
+
+def stored_cooccurrence(spark: SparkSession, path: str) -> DataFrame:
+    return merge.read_partitions(spark, path, EDGES, "bucket").select("src", "rel", "dst")
 
 
 def concept_subgraph(nodes: DataFrame, links: DataFrame) -> DataFrame:

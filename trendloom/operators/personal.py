@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.functions import text
+from trendloom.operators.placing import numbered, top_rows
 from trendloom.sources import merge
 from trendloom.storage import materialize
 
@@ -24,9 +25,10 @@ def concept_edges(concepts: DataFrame, top: int = 20, key: str = "paper_id") ->
 def nodes(user_concepts: DataFrame, limit: int = 200) -> DataFrame:
     """`user_id, concept, weight, mentions, total_concepts`: each user's heaviest concepts."""
     grouped = user_concepts.groupBy("user_id", "concept").agg(F.sum("weight").alias("raw"), F.count("*").alias("mentions"))
-    user = Window.partitionBy("user_id")
-    placed = grouped.withColumns({"_n": F.row_number().over(user.orderBy(F.desc("raw"), "concept")), "total_concepts": F.count("*").over(user)})
-    return placed.where(F.col("_n") <= limit).select("user_id", "concept", F.round("raw", 6).alias("weight"), "mentions", "total_concepts")
+    grouped = materialize(grouped, "user-concepts")
+    totals = grouped.groupBy(F.col("user_id").alias("owner")).agg(F.count("*").alias("total_concepts"))
+    best = top_rows(grouped, ["user_id"], [F.desc("raw"), "concept"], limit)
+    return best.join(totals, F.col("user_id").eqNullSafe(F.col("owner"))).select("user_id", "concept", F.round("raw", 6).alias("weight"), "mentions", "total_concepts")
 
 
 def edges(kept: DataFrame, user_edges: DataFrame) -> DataFrame:
@@ -44,16 +46,14 @@ def neighbours(kept: DataFrame, links: DataFrame, k: int = 8) -> DataFrame:
     there = links.select("user_id", F.col("source_concept").alias("concept"), F.col("target_concept").alias("neighbour"), "weight")
     back = links.select("user_id", F.col("target_concept").alias("concept"), F.col("source_concept").alias("neighbour"), "weight")
     both = there.union(back).join(kept.select("user_id", F.col("concept").alias("neighbour")), ["user_id", "neighbour"], "left_semi")
-    order = Window.partitionBy("user_id", "concept").orderBy(F.desc("weight"), "neighbour")
-    return both.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("user_id", "concept", "neighbour", "weight")
+    return top_rows(both, ["user_id", "concept"], [F.desc("weight"), "neighbour"], k).select("user_id", "concept", "neighbour", "weight")
 
 
 def prominence(user_concepts: DataFrame, limit: int = 200) -> DataFrame:
     """`user_id, concept, weight, coverage, velocity, acceleration, composite, trend` of each user's heaviest concepts."""
     grouped = user_concepts.groupBy("user_id", "concept").agg(F.sum("weight").alias("weight"), F.countDistinct("paper_id").alias("papers"))
     totals = user_concepts.groupBy("user_id").agg(F.countDistinct("paper_id").alias("total"))
-    order = Window.partitionBy("user_id").orderBy(F.desc("weight"), "concept")
-    best = grouped.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).join(totals, "user_id")
+    best = top_rows(grouped, ["user_id"], [F.desc("weight"), "concept"], limit).join(totals, "user_id")
     coverage = best.withColumn("coverage", F.col("papers") / F.col("total")).withColumn("velocity", F.round(F.col("weight") * 1000, 1))
     trend = F.when(F.col("coverage") >= 0.8, "stable").when((F.col("coverage") >= 0.4) | (F.col("weight") > 0.01), "accelerating").otherwise("decelerating")
     return coverage.select(
@@ -64,15 +64,13 @@ def prominence(user_concepts: DataFrame, limit: int = 200) -> DataFrame:
 def top_pairs(user_edges: DataFrame, k: int = 15) -> DataFrame:
     """`user_id, concept_a, concept_b, weight`: heaviest unordered pairs, all their edges summed, 5 digits."""
     pairs = user_edges.groupBy("user_id", F.least("source_concept", "target_concept").alias("concept_a"), F.greatest("source_concept", "target_concept").alias("concept_b")).agg(F.sum("weight").alias("raw"))
-    order = Window.partitionBy("user_id").orderBy(F.desc("raw"), "concept_a", "concept_b")
-    return pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("user_id", "concept_a", "concept_b", F.round("raw", 5).alias("weight"))
+    return top_rows(pairs, ["user_id"], [F.desc("raw"), "concept_a", "concept_b"], k).select("user_id", "concept_a", "concept_b", F.round("raw", 5).alias("weight"))
 
 
 def top_concepts(user_concepts: DataFrame, k: int = 20) -> DataFrame:
     """`user_id, concept, weight`: heaviest concepts, 4 digits."""
     sums = user_concepts.groupBy("user_id", "concept").agg(F.sum("weight").alias("raw"))
-    order = Window.partitionBy("user_id").orderBy(F.desc("raw"), "concept")
-    return sums.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("user_id", "concept", F.round("raw", 4).alias("weight"))
+    return top_rows(sums, ["user_id"], [F.desc("raw"), "concept"], k).select("user_id", "concept", F.round("raw", 4).alias("weight"))
 
 
 def list_uploads(user_papers: DataFrame, user_id: int) -> DataFrame:
@@ -89,8 +87,8 @@ def export_json(concepts: DataFrame, links: DataFrame) -> DataFrame:
     Parts follow the order of paper_id; rows without an id are in part 0. A paper's concepts and edges are bounded, so no row grows with the table.
     """
     papers = concepts.select("user_id", "paper_id").union(links.select("user_id", "paper_id")).distinct()
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("paper_id"))
-    parts = materialize(papers.withColumn("part", F.floor((place - 1) / EXPORT_PAPERS).cast("int")), "parts")
+    placed = numbered(papers, ["user_id"], ["paper_id"], "place")
+    parts = materialize(placed.select("user_id", "paper_id", F.floor(F.col("place") / EXPORT_PAPERS).cast("int").alias("part")), "parts")
     key = ["user_id", "part"]
     c = concepts.join(parts, ["user_id", "paper_id"], "left").withColumn("part", F.coalesce("part", F.lit(0))).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("paper_id", "concept", "weight"))).alias("concepts"))
     e = links.join(parts, ["user_id", "paper_id"], "left").withColumn("part", F.coalesce("part", F.lit(0))).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("paper_id", "source_concept", "target_concept", "weight"))).alias("edges"))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.operators import corpus
+from trendloom.operators.placing import top_rows
+from trendloom.sources.papers import in_months
+
 CENTRALITY_SHARE, VELOCITY_SHARE = 0.6, 0.4
 TRENDS = ("accelerating", "decelerating", "stable")
 
@@ -64,9 +68,13 @@ def filter_trend(df: DataFrame, trend: str = "all") -> DataFrame:
 
 
 def mention_counts(papers: DataFrame, mentions: DataFrame, from_: dt.datetime, to: dt.datetime) -> DataFrame:
-    """`concept_name, mentions` over papers published in [from_, to), from `mentions(arxiv_id, concept_name)`."""
-    inside = papers.where((F.col("published_at") >= F.lit(from_)) & (F.col("published_at") < F.lit(to))).select("arxiv_id")
-    return mentions.join(inside, "arxiv_id", "left_semi").groupBy("concept_name").agg(F.count("*").alias("mentions"))
+    """`concept_name, mentions` over papers published in [from_, to), from `mentions(arxiv_id, concept_name)`.
+
+    Of papers laid out by month, and of mentions with their paper's month, only months in the range are read, and a mention meets the papers of its month.
+    """
+    key = ["arxiv_id", "month"] if "month" in papers.columns and "month" in mentions.columns else ["arxiv_id"]
+    inside = corpus.published_between(papers, from_, to).select(*key)
+    return in_months(mentions, from_, to).join(inside, key, "left_semi").groupBy("concept_name").agg(F.count("*").alias("mentions"))
 
 
 def for_date_range(papers: DataFrame, mentions: DataFrame, velocity: DataFrame, from_: dt.datetime, to: dt.datetime, top_n: int) -> DataFrame:
@@ -96,8 +104,7 @@ def top(df: DataFrame, by: str, n: int, per: str | None = None, tie: str = "conc
     """The n rows with the highest `by`, of the whole table or of each `per`."""
     if per is None:
         return df.orderBy(F.desc(by), tie).limit(n)
-    order = Window.partitionBy(per).orderBy(F.desc(by), tie)
-    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    return top_rows(df, [per], [F.desc(by), tie], n)
 
 
 def sort_by(df: DataFrame, column: str, ascending: bool = False, limit: int | None = None, tie: str = "concept_name") -> DataFrame:

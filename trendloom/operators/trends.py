@@ -64,14 +64,29 @@ def summary(scores: DataFrame, kc: DataFrame, category: str, limit: int = 10, la
         F.coalesce("total_count", F.lit(0)).alias("total_count"), F.coalesce(F.col("_s._c"), F.array().cast("array<bigint>")).alias("daily_counts"))
 
 
+def _prefix(keyword: str = "keyword") -> F.Column:
+    """The group of a keyword: its first four characters, or itself if it is shorter."""
+    return F.when(F.length(keyword) >= 4, F.concat(F.lit("4:"), F.substring(keyword, 1, 4))).otherwise(F.concat(F.lit("s:"), F.col(keyword)))
+
+
+def prefix_members(keywords: DataFrame) -> DataFrame:
+    """`label, pos, keyword`: one row per member of each cluster of `keywords(pos, keyword)`, so that no row grows with a cluster.
+
+    Keywords that share their first four characters are a cluster, whose label is its earliest member (by pos, then keyword). A shorter keyword
+    is a cluster of its own with its first row alone. Labels are found by pre-aggregated minima and joined to the rows.
+    """
+    placed = keywords.select("pos", "keyword", _prefix().alias("prefix"))
+    first = placed.groupBy(F.col("prefix").alias("of")).agg(F.min(F.struct("pos", "keyword")).alias("first"))
+    long = placed.where(F.length("keyword") >= 4).join(first, F.col("prefix") == F.col("of")).select(F.col("first.keyword").alias("label"), "pos", "keyword")
+    short = first.where(F.col("of").startswith("s:")).select(F.col("first.keyword").alias("label"), "first.pos", "first.keyword")
+    return long.union(short)
+
+
 def prefix_clusters(keywords: DataFrame) -> DataFrame:
     """`label, members` of `keywords(pos, keyword)`: keywords that share their first four characters.
 
     The label is the earliest member; members keep input order. A shorter keyword is a cluster of its own,
-    once however often it comes.
+    once however often it comes. A row holds a whole cluster; `prefix_members` has a row per member instead.
     """
-    long = F.length("keyword") >= 4
-    group = F.when(long, F.concat(F.lit("4:"), F.substring("keyword", 1, 4))).otherwise(F.concat(F.lit("s:"), F.col("keyword")))
-    grouped = keywords.groupBy(group.alias("_g")).agg(F.sort_array(F.collect_list(F.struct("pos", "keyword"))).alias("_m"))
-    members = F.when(F.col("_g").startswith("4:"), F.col("_m.keyword")).otherwise(F.slice(F.col("_m.keyword"), 1, 1))
-    return grouped.select(F.col("_m")[0]["keyword"].alias("label"), members.alias("members"))
+    grouped = prefix_members(keywords).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "keyword"))).alias("m"))
+    return grouped.select("label", F.col("m.keyword").alias("members"))

@@ -11,6 +11,7 @@ from trendloom.functions import text
 from trendloom.operators import centrality, corpus, graph, signals, similarity
 from trendloom.plans import views as v
 from trendloom.plans.define import Book
+from trendloom.sources import papers as sources
 
 book = Book()
 query = book.query
@@ -82,6 +83,44 @@ def graph_cooccurrence_pending(spark, d):
     return graph.cooccurrence(graph.mentions(extractions(spark, d)), pending)
 
 
+def _steps(spark, d):
+    """Mentions, and the papers of two runs: first those that have been processed, of which two in three are known; then all."""
+    p = v.papers(spark, d).select("id", "arxiv_id", "graph_processed_at").withColumn("cooccurrence_processed_at", F.lit(None).cast("timestamp"))
+    return graph.mentions(extractions(spark, d)), p.where("graph_processed_at IS NOT NULL"), p.where("graph_processed_at IS NULL")
+
+
+RUNS = dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 2)
+
+
+@query(f"WITH {_GRAPH} SELECT src, 'CO_OCCURS_WITH' AS rel, dst FROM pairs")
+def graph_cooccurrence_twice(spark, d):
+    """Edges of two runs, of which the second sees all papers and makes pairs of the new ones only: those of the full build."""
+    found, first, later = _steps(spark, d)
+    none = spark.createDataFrame([], "src string, rel string, dst string")
+    known, stamped = graph.add_cooccurrence(none, found, first, RUNS[0])
+    known = storage.materialize(known, "known-edges")
+    return graph.add_cooccurrence(known, found, stamped.union(later), RUNS[1])[0]
+
+
+def _stored_steps(spark, d):
+    found, first, later = _steps(spark, d)
+    path = storage.fresh_path(spark, "edges")
+    stamped = graph.extend_cooccurrence(spark, path, found, first, RUNS[0])
+    return path, graph.extend_cooccurrence(spark, path, found, stamped.union(later), RUNS[1])
+
+
+@query(f"WITH {_GRAPH} SELECT src, 'CO_OCCURS_WITH' AS rel, dst FROM pairs")
+def graph_cooccurrence_stored(spark, d):
+    """The same by the stored table, whose buckets two runs append to."""
+    return graph.stored_cooccurrence(spark, _stored_steps(spark, d)[0])
+
+
+@query(f"WITH {v.PAPERS} SELECT arxiv_id, CASE WHEN graph_processed_at IS NULL THEN TIMESTAMP '2025-01-02' ELSE TIMESTAMP '2025-01-01' END AS cooccurrence_processed_at FROM papers")
+def graph_cooccurrence_stamps(spark, d):
+    """The run that took each paper in."""
+    return _stored_steps(spark, d)[1].select("arxiv_id", "cooccurrence_processed_at")
+
+
 @query(f"""WITH {_GRAPH} SELECT (SELECT count(DISTINCT src) FROM pairs) AS graph_node_count, (SELECT count(*) FROM pairs) AS graph_edge_count""")
 def graph_concept_subgraph(spark, d):
     return graph.subgraph_size(graph_concept_pairs(spark, d))
@@ -221,6 +260,13 @@ def signals_filter_trend(spark, d):
     return signals.filter_trend(all_signals(spark, d), "decelerating").select("concept_name", "trend", "velocity")
 
 
+def papers_by_month(spark, d):
+    """The papers as a table laid out by month of publication."""
+    path = storage.fresh_path(spark, "papers-by-month")
+    sources.write_by_month(v.papers(spark, d), path)
+    return spark.read.schema(sources.by_month(v.papers(spark, d)).schema).parquet(path)
+
+
 _MENTIONED = f"""{_GRAPH}, m AS (
   SELECT concept_name, count(*) AS mentions FROM mentions JOIN papers USING (arxiv_id) WHERE published_at >= TIMESTAMP '2022-01-01' AND published_at < TIMESTAMP '2024-01-01' GROUP BY 1)"""
 
@@ -230,6 +276,17 @@ def mention_counts(spark, d):
     return signals.mention_counts(v.papers(spark, d), graph.mentions(extractions(spark, d)), dt.datetime(2022, 1, 1), dt.datetime(2024, 1, 1))
 
 
+@query(f"WITH {_MENTIONED} SELECT * FROM m")
+def mention_counts_by_month(spark, d):
+    """The same from tables laid out by month, of which only the range's months are read."""
+    by_month = papers_by_month(spark, d)
+    path = storage.fresh_path(spark, "mentions-by-month")
+    mentions = graph.mentions(extractions(spark, d)).join(by_month.select("arxiv_id", "month"), "arxiv_id")
+    mentions.hint("rebalance", "month").write.partitionBy("month").parquet(path)
+    stored = spark.read.schema(mentions.schema).parquet(path)
+    return signals.mention_counts(by_month, stored, dt.datetime(2022, 1, 1), dt.datetime(2024, 1, 1))
+
+
 @query(f"""WITH {_MENTIONED},
 vel AS (SELECT token AS concept_name, CAST(sum(n) - 3 * count(*) AS DOUBLE) AS velocity, CAST(max(n) - min(n) AS DOUBLE) AS acceleration,
   CASE WHEN sum(n) % 3 = 0 THEN 'stable' WHEN sum(n) % 3 = 1 THEN 'accelerating' ELSE 'decelerating' END AS trend FROM kw_ranked WHERE rank BETWEEN 2 AND 10 GROUP BY token),
@@ -284,20 +341,11 @@ def token_overlap_edges(spark, d):
     return graph.token_overlap_edges(phrases(spark, d))
 
 
-@query(f"""WITH {_PHRASES}, t AS (SELECT DISTINCT concept_name, token FROM tok WHERE length(token) > 3 AND token <> 'model'),
-s AS (SELECT a.concept_name, b.concept_name AS related, count(*) AS shared FROM t a JOIN t b USING (token) WHERE a.concept_name <> b.concept_name GROUP BY ALL)
-SELECT concept_name, related, shared FROM (SELECT *, row_number() OVER (PARTITION BY concept_name ORDER BY shared DESC, related) AS n FROM s) WHERE n <= 8""")
-def related_concepts(spark, d):
-    named = phrases(spark, d).withColumn("_short", F.regexp_replace("concept_name", " model$", ""))
-    found = graph.related_concepts(named.select(F.col("_short").alias("concept_name")))
-    return found.select(F.concat("concept_name", F.lit(" model")).alias("concept_name"), F.concat("related", F.lit(" model")).alias("related"), "shared")
-
-
 @query(f"""WITH {_PHRASES}, t AS (SELECT DISTINCT concept_name, token FROM tok WHERE length(token) > 3),
 s AS (SELECT a.concept_name, b.concept_name AS related, count(*) AS shared FROM t a JOIN t b USING (token) WHERE a.concept_name <> b.concept_name GROUP BY ALL)
 SELECT concept_name, related, shared FROM (SELECT *, row_number() OVER (PARTITION BY concept_name ORDER BY shared DESC, related) AS n FROM s) WHERE n <= 8""")
-def related_concepts_whole(spark, d):
-    """The names as they are, with the token that all share; the statement of related_concepts leaves that out."""
+def related_concepts(spark, d):
+    """Of whole names, with the token that all of them share."""
     return graph.related_concepts(phrases(spark, d).select("concept_name"))
 
 
@@ -332,9 +380,9 @@ blocks AS (SELECT query_id, string_agg('[' || i || '] ' || title || ' (' || strf
 
 
 def stored_vectors(spark, d):
-    """Stands for a caller's embedding of a direction: the stored vector of its row; every fourth has none."""
+    """Stands for a caller's embedding of a direction: the stored vector of its row; every eighth has none."""
     emb = v.embeddings(spark, d)
-    return emb.where("paper_id % 100 = 0").select(F.col("paper_id").alias("query_id"), F.when(F.col("paper_id") % 400 != 0, F.col("embedding")).alias("embedding"))
+    return emb.where("paper_id % 50 = 0").select(F.col("paper_id").alias("query_id"), F.when(F.col("paper_id") % 400 != 0, F.col("embedding")).alias("embedding"))
 
 
 @query(f"WITH {_DIRECTIONS} SELECT query_id, topic || ': ' || direction AS query, coalesce(block, '') AS block FROM q LEFT JOIN blocks USING (query_id)")
@@ -363,14 +411,24 @@ def similarity_unembedded(spark, d):
 
 
 def stub_embedding(texts: list[str]) -> list[list[float] | None]:
-    """Stands for a caller's model: three simple numbers of a text; none for texts with an x."""
+    """Stands for a caller's model: three simple numbers of a text; none for texts with an x, and a failure of the whole call where one has a q and a z."""
+    if any("q" in t and "z" in t for t in texts):
+        raise ValueError("a text that the model can't take")
     return [None if "x" in t else [float(len(t)), float(t.count("a")), float(t.count(" "))] for t in texts]
 
 
-@query(f"""WITH {v.PAPERS}, p AS (SELECT id, title || ' ' || abstract AS t FROM papers WHERE id NOT IN (SELECT vec_id FROM embeddings))
-SELECT id AS paper_id, CASE WHEN NOT contains(t, 'x') THEN [CAST(length(t) AS DOUBLE), length(t) - length(replace(t, 'a', '')), length(t) - length(replace(t, ' ', ''))] ELSE [] END AS embedding FROM p""")
+@query(f"""WITH {v.PAPERS}, p AS (SELECT id, abstract AS t FROM papers WHERE id NOT IN (SELECT vec_id FROM embeddings))
+SELECT id AS paper_id, CASE WHEN NOT contains(t, 'x') AND NOT (contains(t, 'q') AND contains(t, 'z')) THEN [CAST(length(t) AS DOUBLE), length(t) - length(replace(t, 'a', '')), length(t) - length(replace(t, ' ', ''))] ELSE [] END AS embedding FROM p""")
 def similarity_embed_pending(spark, d):
-    return similarity.embed_pending(v.papers(spark, d), v.embeddings(spark, d), stub_embedding).select("paper_id", F.coalesce(F.col("embedding").cast("array<double>"), F.array().cast("array<double>")).alias("embedding"))
+    found = similarity.embed_pending(v.papers(spark, d), v.embeddings(spark, d), stub_embedding)
+    return found.select("paper_id", F.coalesce(F.col("embedding").cast("array<double>"), F.array().cast("array<double>")).alias("embedding"))
+
+
+@query(f"""WITH {v.PAPERS}, p AS (SELECT id, abstract AS t FROM papers WHERE id NOT IN (SELECT vec_id FROM embeddings)),
+c AS (SELECT contains(t, 'x') OR (contains(t, 'q') AND contains(t, 'z')) AS bad FROM p)
+SELECT count(*) FILTER (NOT bad) AS embedded, count(*) FILTER (bad) AS skipped FROM c""")
+def similarity_embed_counts(spark, d):
+    return similarity.embed_counts(similarity.embed_pending(v.papers(spark, d), v.embeddings(spark, d), stub_embedding))
 
 
 @query(f"""WITH {_SIGNALS}, best AS (SELECT * FROM signals ORDER BY composite_score DESC, concept_name LIMIT 20)

@@ -7,11 +7,12 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trendloom import storage
 from trendloom.functions import text
 from trendloom.operators import corpus, counts, signals, trends, velocity
 from trendloom.plans import views as v
 from trendloom.plans.define import Book
-from trendloom.sources import merge
+from trendloom.sources import merge, papers
 
 book = Book()
 query = book.query
@@ -110,6 +111,13 @@ def prefix_clusters(spark, d):
     return trends.prefix_clusters(kw.select("pos", "keyword"))
 
 
+@query(f"""WITH {v.KEYWORDS}, words AS (SELECT token AS keyword, min(arxiv_id || '/' || printf('%02d', rank)) AS pos FROM kw_ranked WHERE rank <= 10 GROUP BY token)
+SELECT CASE WHEN length(keyword) >= 4 THEN first_value(keyword) OVER (PARTITION BY length(keyword) >= 4, substr(keyword, 1, 4) ORDER BY pos, keyword) ELSE keyword END AS label, pos, keyword FROM words""")
+def prefix_members(spark, d):
+    kw = paper_keywords(spark, d).groupBy("keyword").agg(F.min(F.format_string("%s/%02d", "arxiv_id", "rank")).alias("pos"))
+    return trends.prefix_members(kw.select("pos", "keyword"))
+
+
 _CONCEPT_NAMES = """names AS (
   SELECT DISTINCT a.keyword || ' of ' || b.keyword AS concept_name
   FROM (SELECT DISTINCT event_type AS keyword FROM events) a, (SELECT DISTINCT event_type AS keyword FROM events) b)"""
@@ -170,6 +178,29 @@ def published_between(spark, d):
     return corpus.published_between(v.papers(spark, d), dt.datetime(2023, 1, 1), dt.datetime(2023, 7, 1)).select("id", "arxiv_id", "published_at")
 
 
+@query(f"WITH {v.PAPERS} SELECT id, arxiv_id, published_at FROM papers WHERE published_at >= TIMESTAMP '2023-01-01' AND published_at < TIMESTAMP '2023-07-01'")
+def published_between_by_month(spark, d):
+    """The same from papers laid out by month, of which only six months are read."""
+    return corpus.published_between(_by_month(spark, d), dt.datetime(2023, 1, 1), dt.datetime(2023, 7, 1)).select("id", "arxiv_id", "published_at")
+
+
+def _by_month(spark, d):
+    path = storage.fresh_path(spark, "papers-by-month")
+    papers.write_by_month(v.papers(spark, d), path)
+    return spark.read.schema(papers.by_month(v.papers(spark, d)).schema).parquet(path)
+
+
+_WINDOWS = f"""WITH {v.PAPERS}, w AS (
+  SELECT m AS month, greatest(m, TIMESTAMP '2022-03-10') AS window_start, least(m + INTERVAL 1 MONTH, TIMESTAMP '2022-11-20') AS window_end
+  FROM (SELECT unnest(generate_series(TIMESTAMP '2022-03-01', TIMESTAMP '2022-11-20', INTERVAL 1 MONTH)) AS m))"""
+
+
+@query(f"{_WINDOWS} SELECT month, count(*) AS n FROM papers JOIN w ON date_trunc('month', published_at) = month AND published_at BETWEEN window_start AND window_end GROUP BY ALL")
+def month_windows_by_month(spark, d):
+    """Counts from papers laid out by month: the windows name the folders that are read."""
+    return corpus.papers_by_month(_by_month(spark, d), corpus.month_windows(spark, dt.datetime(2022, 3, 10), dt.datetime(2022, 11, 20)))
+
+
 @query(f"""WITH {v.PAPERS}, w AS (
   SELECT m AS month, greatest(m, TIMESTAMP '2022-03-10') AS window_start, least(m + INTERVAL 1 MONTH, TIMESTAMP '2022-11-20') AS window_end
   FROM (SELECT unnest(generate_series(TIMESTAMP '2022-03-01', TIMESTAMP '2022-11-20', INTERVAL 1 MONTH)) AS m))
@@ -222,6 +253,56 @@ def update_columns(spark, d):
     return merge.update_columns(p, p.where("id % 4 = 0").select("arxiv_id", F.expr("timestamp'2025-01-01'").alias("graph_processed_at")), ["arxiv_id"])
 
 
+_KEY = ["keyword", "category", "window_date"]
+
+
+@query(f"""WITH {v.DENSE} SELECT keyword, category, window_date, CASE WHEN window_date >= TIMESTAMP '2024-01-15' THEN count + 3 ELSE count END AS count FROM kc""")
+def replace_repeated(spark, d):
+    """A batch that repeats its keys: of four writes of a key the last one stays."""
+    kc = v.dense_counts(spark, d)
+    writes = kc.where("window_date >= timestamp'2024-01-15'").withColumn("written", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return merge.replace(kc, writes.withColumn("count", F.col("count") + F.col("written")), _KEY, ["written"])
+
+
+@query(f"""WITH {v.PAPERS} SELECT id, arxiv_id, CASE WHEN id % 4 = 0 THEN TIMESTAMP '2025-01-03' ELSE graph_processed_at END AS graph_processed_at,
+  CASE WHEN id % 4 = 0 THEN TIMESTAMP '2025-01-02' END AS cooccurrence_processed_at FROM papers""")
+def update_repeated(spark, d):
+    """Updates that repeat their keys act one after the other; a null leaves what the one before has set."""
+    p = v.papers(spark, d).select("id", "arxiv_id", "graph_processed_at").withColumn("cooccurrence_processed_at", F.lit(None).cast("timestamp"))
+    writes = p.where("id % 4 = 0").select("arxiv_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("written"))
+    day = F.expr("timestamp'2025-01-01' + make_interval(0, 0, 0, written - 1)")
+    writes = writes.select("arxiv_id", "written", day.alias("graph_processed_at"), F.when(F.col("written") < 3, day).alias("cooccurrence_processed_at"))
+    return merge.update_columns(p, writes, ["arxiv_id"], ["written"])
+
+
+@query(f"""WITH {v.DENSE} SELECT keyword, category, window_date, CASE WHEN window_date >= TIMESTAMP '2024-01-25' THEN -count WHEN window_date >= TIMESTAMP '2024-01-15' THEN 2 * count ELSE count END AS count FROM kc""")
+def merge_stored(spark, d):
+    """Counts stored by day: the first two weeks are written, then all but these twice over, of which the last days are replaced; a merge touches its days alone."""
+    kc, path, late = v.dense_counts(spark, d).withColumn("day", F.to_date("window_date")), storage.fresh_path(spark, "counts"), "window_date >= timestamp'2024-01-15'"
+
+    def added(target, batch):
+        return merge.accumulate(target, batch, [*_KEY, "day"], ["count"])
+
+    merge.merge_into(spark, path, kc.where(f"NOT {late}"), "day", added)
+    for _ in range(2):
+        merge.merge_into(spark, path, kc.where(late), "day", added)
+    last = kc.where("window_date >= timestamp'2024-01-25'").withColumn("count", -F.col("count"))
+    merge.merge_into(spark, path, last.union(last.withColumn("count", F.col("count") - 1)), "day", lambda t, b: merge.replace(t, b, _KEY))
+    return merge.read_partitions(spark, path, kc.schema, "day").drop("day")
+
+
+@query(f"WITH {v.PAPERS} SELECT id, arxiv_id, CASE WHEN id % 7 = 0 THEN TIMESTAMP '2025-01-01' ELSE graph_processed_at END AS graph_processed_at FROM papers")
+def update_stored(spark, d):
+    """Papers stored in hash buckets of their key; stamps reach them by the same hash."""
+    path = storage.fresh_path(spark, "papers")
+    p = merge.with_bucket(v.papers(spark, d).select("id", "arxiv_id", "graph_processed_at"), ["arxiv_id"], 16)
+    merge.merge_into(spark, path, p, "bucket", lambda t, b: merge.insert_ignore(t, b, ["arxiv_id"]))
+    stamps = p.where("id % 7 = 0").select("arxiv_id", F.expr("timestamp'2025-01-01'").alias("graph_processed_at"))
+    stamps = merge.with_bucket(stamps.union(stamps), ["arxiv_id"], 16)
+    merge.merge_into(spark, path, stamps, "bucket", lambda t, b: merge.update_columns(t, b, ["arxiv_id", "bucket"]), p.schema)
+    return merge.read_partitions(spark, path, p.schema, "bucket").drop("bucket")
+
+
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
 def first_seen(spark, d):
     orders = v.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import text
 from trendloom.operators import consensus, reports
+from trendloom.operators.placing import numbered
 from trendloom.plans import graph_queries as gq
 from trendloom.plans import views as v
 from trendloom.plans.define import Book
@@ -118,8 +118,8 @@ PART = 1000
 
 def simulation_results(spark, d):
     """Opinions of a user group's events packed as archived JSON, in numbered parts of each direction and round: `result_id(direction, part), results`."""
-    order = Window.partitionBy("direction", "round").orderBy("opinion_id")
-    o = v.opinions(spark, d).withColumn("part", F.floor((F.row_number().over(order) - 1) / PART).cast("int"))
+    placed = numbered(v.opinions(spark, d), ["direction", "round"], ["opinion_id"], "place")
+    o = placed.withColumn("part", F.floor(F.col("place") / PART).cast("int"))
     said = F.struct("opinion_id", F.struct("persona", "adoption_likelihood").alias("o"))
     parts = o.groupBy("direction", "round", "part").agg(F.sort_array(F.collect_list(said)).alias("l"))
     rounds = F.array(F.struct(F.col("round").alias("round_number"), F.col("l.o").alias("opinions"))).alias("rounds")

@@ -28,9 +28,11 @@ def user_edges(spark, d):
 
 _EDGES = f"""{v.CONCEPTS.replace("concepts AS (", "concepts AS MATERIALIZED (")},
 heads AS MATERIALIZED (SELECT * FROM concepts WHERE rank <= 20),
+lists AS (SELECT paper_id, user_id, list({{'rank': rank, 'concept': concept, 'weight': weight}} ORDER BY rank) AS c FROM heads GROUP BY ALL),
+firsts AS (SELECT paper_id, user_id, c, unnest(c) AS a FROM lists),
+spread AS (SELECT paper_id, user_id, a, unnest(c[a.rank + 1 :]) AS b FROM firsts),
 edges AS (
-  SELECT a.paper_id, a.user_id, a.concept AS source_concept, b.concept AS target_concept, round(a.weight * b.weight, 6) AS weight
-  FROM heads a JOIN heads b ON a.paper_id = b.paper_id AND a.rank < b.rank)"""
+  SELECT paper_id, user_id, a.concept AS source_concept, b.concept AS target_concept, round(a.weight * b.weight, 6) AS weight FROM spread)"""
 _NODES = """sums AS (SELECT user_id, concept, sum(weight) AS raw, count(*) AS mentions, count(DISTINCT paper_id) AS papers FROM concepts GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(raw, 12) DESC, concept) AS n, count(*) OVER (PARTITION BY user_id) AS total_concepts FROM sums)"""
 

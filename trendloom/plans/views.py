@@ -140,14 +140,14 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directions of a topic that ask for context: `query_id, topic, direction`, one per hundredth embedding."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+    """Directions of a topic that ask for context: `query_id, topic, direction`, one per fiftieth embedding."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
     return e.select(F.col("vec_id").alias("query_id"), F.format_string("topic %d", F.col("vec_id") % 7).alias("topic"), F.format_string("direction %d", "vec_id").alias("direction"))
 
 
 TOPICS = """directions AS (
   SELECT vec_id AS query_id, 'topic ' || CAST(vec_id % 7 AS VARCHAR) AS topic, 'direction ' || CAST(vec_id AS VARCHAR) AS direction,
-         CASE WHEN vec_id % 400 <> 0 THEN embedding END AS embedding FROM embeddings WHERE vec_id % 100 = 0)"""
+         CASE WHEN vec_id % 400 <> 0 THEN embedding END AS embedding FROM embeddings WHERE vec_id % 50 = 0)"""
 
 
 #: The ranking's inputs from documents: concepts by how many papers mention them, velocity from their weights.

@@ -35,9 +35,27 @@ def read_atom_feed(spark: SparkSession, path: str) -> DataFrame:
     return papers.where("arxiv_id <> '' AND published_at IS NOT NULL")
 
 
+def by_month(papers: DataFrame) -> DataFrame:
+    """Papers with `month`, the first day of their month of publication (null without a date), by which they are laid out."""
+    return papers.withColumn("month", F.trunc("published_at", "month"))
+
+
+def write_by_month(papers: DataFrame, path: str) -> None:
+    """Adds papers to the table at `path`, one folder a month; rows of a month are spread over tasks where they are many."""
+    laid = by_month(papers)
+    laid.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
+
+
+def in_months(df: DataFrame, since: dt.datetime, until: dt.datetime) -> DataFrame:
+    """`df` without the months that lie outside of the range, if it is laid out by month: only folders of the others are listed and read."""
+    if "month" not in df.columns:
+        return df
+    return df.where((F.col("month") >= F.lit(since.date().replace(day=1))) & (F.col("month") <= F.lit(until.date().replace(day=1))))
+
+
 def filter_published(df: DataFrame, since: dt.datetime, until: dt.datetime | None = None) -> DataFrame:
-    """Both ends belong to the range."""
-    kept = df.where(F.col("published_at") >= F.lit(since))
+    """Both ends belong to the range. Of papers laid out by month, only months in it are read."""
+    kept = in_months(df, since, until or dt.datetime(9999, 1, 1)).where(F.col("published_at") >= F.lit(since))
     return kept if until is None else kept.where(F.col("published_at") <= F.lit(until))
 
 

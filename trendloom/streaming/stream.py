@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trendloom import schemas
 from trendloom.functions import text
 from trendloom.operators import counts
-from trendloom.sources import merge
 
 #: Papers as a feed gives them.
 FEED = """arxiv_id string, title string, abstract string, authors array<string>, categories array<string>,
@@ -17,66 +20,106 @@ published_at timestamp, updated_at timestamp, pdf_url string, abs_url string"""
 KEY = ["keyword", "category", "window_date"]
 
 
+#: Which of a key's rows in one batch is the first.
+ORDER = ["published_at", "title", "abstract", "updated_at", "pdf_url", "abs_url"]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _whole(spark: SparkSession, path: str, kind: str) -> list[int]:
-    """Numbers of the folders path/<kind>=<number> that were written to their end."""
+    """Numbers of the folders path/<kind>=<number> that were written to their end, by one listing."""
     files = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = files.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    return sorted(int(n[len(kind) + 1 :]) for n in names if n.startswith(f"{kind}=") and fs.exists(files.Path(f"{path}/{n}/_SUCCESS")))
+    ended = fs.globStatus(files.Path(folder, f"{kind}=*/_SUCCESS"))
+    return sorted(int(s.getPath().getParent().getName()[len(kind) + 1 :]) for s in ended or [])
 
 
 def _read(spark: SparkSession, folders: list[str], schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def read_papers(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The papers of all whole batches (older than batch `before`)."""
-    batches = [n for n in _whole(spark, path, "batch") if before is None or n < before]
-    return _read(spark, [f"{path}/batch={n}" for n in batches], FEED)
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """The newest folder of compacted batches and those of the whole batches after it."""
+    upto = max(_whole(spark, path, "upto"), default=-1)
+    return [f"{path}/batch={n}" for n in _whole(spark, path, "batch") if n > upto] + ([f"{path}/upto={upto}"] if upto >= 0 else [])
 
 
-def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The counts of all whole batches: the newest sum of `compact_counts` and the batches after it."""
-    upto = max(_whole(spark, path, "upto"), default=None)
-    folders = [f"{path}/batch={n}" for n in _whole(spark, path, "batch") if upto is None or n > upto]
-    parts = _read(spark, folders + ([] if upto is None else [f"{path}/upto={upto}"]), schemas.KEYWORD_COUNTS)
+def read_papers(spark: SparkSession, path: str) -> DataFrame:
+    """The papers of all whole batches."""
+    return _read(spark, _folders(spark, path), FEED)
+
+
+def _summed(parts: DataFrame) -> DataFrame:
     return parts.groupBy(*KEY).agg(F.sum("count").alias("count"))
 
 
-def compact_counts(spark: SparkSession, path: str) -> None:
-    """Sums all batches but the newest, which may run again, into one folder; call it now and then between runs.
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of all whole batches."""
+    return _summed(_read(spark, _folders(spark, path), schemas.KEYWORD_COUNTS))
 
-    Summed batches are read no more; what removes old files may remove them.
-    """
+
+def _compact(spark: SparkSession, path: str, schema: str, joined: Callable[[DataFrame], DataFrame]) -> None:
     older = _whole(spark, path, "batch")[:-1]
     done = max(_whole(spark, path, "upto"), default=-1)
     fresh = [n for n in older if n > done]
     if fresh:
         folders = [f"{path}/batch={n}" for n in fresh] + ([f"{path}/upto={done}"] if done >= 0 else [])
-        summed = _read(spark, folders, schemas.KEYWORD_COUNTS).groupBy(*KEY).agg(F.sum("count").alias("count"))
-        summed.write.mode("overwrite").parquet(f"{path}/upto={fresh[-1]}")
+        joined(_read(spark, folders, schema)).write.mode("overwrite").parquet(f"{path}/upto={fresh[-1]}")
+
+
+def compact_counts(spark: SparkSession, path: str) -> None:
+    """Sums all batches but the newest, which may run again, into one folder; call it now and then between runs.
+
+    Batches taken in are read no more; what removes old files may remove them.
+    """
+    _compact(spark, path, schemas.KEYWORD_COUNTS, _summed)
+
+
+def compact_papers(spark: SparkSession, path: str) -> None:
+    """Puts the papers of all batches but the newest into files of even size in one folder; as `compact_counts`."""
+    _compact(spark, path, FEED, lambda df: df.hint("rebalance"))
+
+
+def first_of_key(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first row in ORDER of a key that was never seen before, and none of one that was; the state is that the key was seen."""
+    if state.exists:
+        return
+    best, least = None, None
+    for part in parts:
+        for i, row in enumerate(part[ORDER].itertuples(index=False)):
+            place = tuple((not missing, None if missing else x) for x, missing in ((x, pd.isna(x)) for x in row))
+            if least is None or place < least:
+                best, least = part.iloc[[i]], place
+    state.update((True,))
+    if best is not None:
+        yield best
 
 
 def ingest_papers(stream: DataFrame, papers_path: str, counts_path: str, checkpoint: str) -> StreamingQuery:
     """New papers once each, and the keyword counts of new papers only, from a stream of papers (FEED columns).
 
-    A batch writes its own rows alone, under batch=<number> of both tables, and knows of older batches only, so one that
-    runs again overwrites itself with the same rows. Stops when all there is has been read.
+    Which papers were seen is the stream's own state, keyed by arxiv_id in RocksDB stores under the checkpoint: a batch reads its own rows and
+    the states of its own keys, and no older paper, however long the stream has run. Of several rows of a key in a batch the first
+    in ORDER counts; rows without an arxiv_id count as one key. A batch writes its rows alone, under batch=<number> of both tables; one that
+    runs again finds the states as they were before it and overwrites itself with the same rows. Stops when all there is has been read.
     """
-    order = ["published_at", "title", "abstract", "updated_at", "pdf_url", "abs_url"]
-
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = read_papers(spark, papers_path, batch_id).select("arxiv_id")
-        rows = batch.select(*spark.createDataFrame([], FEED).columns)
-        fresh = merge.new_rows(known, merge.first_seen(rows, ["arxiv_id"], order), ["arxiv_id"])
-        fresh.write.mode("overwrite").parquet(f"{papers_path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{papers_path}/batch={batch_id}")
         written = _read(spark, [f"{papers_path}/batch={batch_id}"], FEED)
         added = counts.keyword_counts(text.keywords(written), written)
         added.write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark = stream.sparkSession
+    columns = spark.createDataFrame([], FEED).schema
+    fresh = stream.select(*columns.names).groupBy("arxiv_id").applyInPandasWithState(first_of_key, columns, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    option = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(option, None)
+    spark.conf.set(option, ROCKSDB)  # which the query takes with it when it starts
+    try:
+        return fresh.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(option) if before is None else spark.conf.set(option, before)
 
 
 def windowed_counts(stream: DataFrame, size: str = "7 days", delay: str = "7 days") -> DataFrame:
