@@ -115,3 +115,45 @@ def test_token_overlap(spark):
     df = spark.createDataFrame([("deep deep nets", 0.9), ("deep graphs", 0.5), ("old nets", 0.1)], "concept_name string, composite_score double")
     got = {(r.source, r.target, r.weight) for r in graph.token_overlap_edges(df).collect()}
     assert got == {("deep deep nets", "deep graphs", 2), ("deep deep nets", "old nets", 1)}
+
+
+def brandes(pairs, sources):
+    """Dependency sums of all nodes from some sources, one source and node at a time."""
+    ahead = {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+    total = dict.fromkeys({x for p in pairs for x in p}, 0.0)
+    for s in sources:
+        dist, sigma, order = {s: 0}, {s: 1.0}, [s]
+        for a in order:
+            for b in ahead.get(a, ()):
+                if b not in dist:
+                    dist[b], sigma[b] = dist[a] + 1, 0.0
+                    order.append(b)
+                if dist[b] == dist[a] + 1:
+                    sigma[b] += sigma[a]
+        dep = dict.fromkeys(order, 0.0)
+        for a in reversed(order):
+            dep[a] = sum(sigma[a] / sigma[b] * (1 + dep[b]) for b in ahead.get(a, ()) if dist[b] == dist[a] + 1)
+            if a != s:
+                total[a] += dep[a]
+    return total
+
+
+@pytest.mark.parametrize("sizes", [{}, {"lanes": 7, "bucket_nodes": 5}, {"lanes": 1, "bucket_nodes": 9}])
+def test_pivots_in_lanes_equal_brandes(spark, sizes, monkeypatch):
+    """Many or few pivots at a time, nodes in one bucket or many, a hub whose edges are cut into parts, loops, repeats, unreachable nodes."""
+    import random
+
+    monkeypatch.setattr(centrality, "PART", 16)
+    monkeypatch.setattr(centrality, "CHUNK", 8)
+    r = random.Random(9)
+    pairs = {(f"n{r.randint(0, 39)}", f"n{r.randint(0, 39)}") for _ in range(90)} | {("hub", f"n{k}") for k in range(40)} | {("n3", "hub"), ("x", "y"), ("n0", "n0")}
+    df = edges(spark, [*pairs, ("x", "y"), (None, "x"), ("x", None)])
+    pairs = {p for p in pairs if p[0] != p[1]}
+    nodes = sorted({x for p in pairs for x in p})
+    k = 2 if sizes.get("lanes") == 1 else 20
+    chosen = [x.node for x in centrality.pivots(spark.createDataFrame([(x,) for x in nodes], "node string"), k, 42).collect()]
+    want = brandes(pairs, chosen)
+    got = scores(centrality.betweenness(df, k_samples=k, top_n=None, **sizes))
+    assert got == pytest.approx({x: t / ((k - (x in chosen)) * (len(nodes) - 2)) for x, t in want.items()})
