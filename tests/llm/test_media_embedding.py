@@ -1,11 +1,12 @@
 import hashlib
+import math
 import tarfile
 import zlib
 
 import numpy as np
 import pytest
 
-from trendloom.llm import embedding_lsh, media
+from trendloom.llm import embedding_lsh, media, vectors
 
 
 def test_png_round_trip():
@@ -86,7 +87,8 @@ def brute(vectors, cosine=0.9):
 
 @pytest.mark.parametrize("block", [1024, 7])
 def test_embeddings_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(embedding_lsh, "BLOCK", block)
+    for name in ("BLOCK", "FILL", "ROWS"):
+        monkeypatch.setattr(embedding_lsh, name, block)
     draw = np.random.default_rng(7)
     base = draw.normal(size=(25, 32))
     rows = [(k, (base[k % 25] + draw.normal(size=32) * 0.12 * (k >= 25)).astype(np.float32).tolist()) for k in range(160)]
@@ -107,10 +109,10 @@ def test_plan_follows_the_number_of_vectors():
     for n in (10**3, 10**6, 10**9):
         form = embedding_lsh.plan(n)
         assert 1 - (1 - embedding_lsh.meets(0.9) ** form.projections) ** form.tables >= embedding_lsh.RECALL
-        assert n * embedding_lsh.meets(0.0) ** form.projections <= embedding_lsh.BLOCK
+        assert n * embedding_lsh.meets(0.0) ** form.projections <= embedding_lsh.FILL
     draw = np.random.default_rng(1)
-    x = embedding_lsh._unit(draw.normal(size=(4000, 64)))
-    y = embedding_lsh._unit(0.9 * x + np.sqrt(1 - 0.81) * embedding_lsh._unit(draw.normal(size=(4000, 64))))
+    x = vectors.unit(draw.normal(size=(4000, 64)))
+    y = vectors.unit(0.9 * x + np.sqrt(1 - 0.81) * vectors.unit(draw.normal(size=(4000, 64))))
     at = (x * y).sum(axis=1)
     form = embedding_lsh.Form(30, 1)
     same = (embedding_lsh.bucket_keys(x, form) == embedding_lsh.bucket_keys(y, form)).mean()
@@ -133,6 +135,33 @@ def test_recall_of_pairs_at_the_threshold(spark, form):
     assert linked >= 0.95 * 600 and sum(r.n_links for r in found) == 2 * linked
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.05])
+def test_crowds_are_counted_and_not_copied(spark, monkeypatch, spread):
+    """A crowd of close vectors, in part a ball, beside another one near by, and vectors between: all links, and few rows in cells."""
+    monkeypatch.setattr(embedding_lsh, "BLOCK", 64)
+    monkeypatch.setattr(embedding_lsh, "FILL", 64)
+    draw = np.random.default_rng(11)
+    base = draw.normal(size=32)
+    base /= np.linalg.norm(base)
+    other = draw.normal(size=32)
+    other -= (other @ base) * base
+    other = 0.93 * base + math.sqrt(1 - 0.93**2) * other / np.linalg.norm(other)
+    near = lambda centre, n: centre + spread * draw.normal(size=(n, 32))
+    rows = np.concatenate([near(base, 900), near(other, 300), near((base + other) / 2, 20), draw.normal(size=(300, 32))])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    counted, cells = [], embedding_lsh._cells
+    monkeypatch.setattr(embedding_lsh, "_cells", lambda *a: counted.append(cells(*a)) or counted[0])
+    got = {r.vec_id: r for r in embedding_lsh.near_duplicates(df, form=embedding_lsh.Form(25, 10)).collect()}
+    found = np.array([got[k].n_links for k in range(len(rows))])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum()
+    assert {got[k].component_id for k in range(1220)} == {0}
+    if spread == 0.02:  # two balls: in every table the larger meets blocks of the smaller at most
+        pairs_of_blocks = 25 * 900 * (900 / 64)
+        assert counted[0].count() < 0.5 * pairs_of_blocks
+
+
 def test_embeddings_null_ids_and_no_rows(spark):
     df = spark.createDataFrame([(None, [1.0, 2.0]), (5, [1.0, 2.0]), (6, [1.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted(((r.vec_id or 0), r.n_links, r.component_id or 0) for r in embedding_lsh.near_duplicates(df).collect())

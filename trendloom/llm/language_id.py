@@ -59,9 +59,9 @@ def words_of(text: str) -> list[str]:
 def letters_of(words: list[str]) -> np.ndarray:
     """The number of letters of each word, its marks not counted."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    odd = [k for k, w in enumerate(words) if not w.isalpha()]
-    for k in odd:
-        sizes[k] = max(1, sum(map(str.isalpha, words[k])))
+    if not all(map(str.isalpha, words)):
+        for k in np.flatnonzero(~np.fromiter(map(str.isalpha, words), bool, len(words))).tolist():
+            sizes[k] = max(1, sum(map(str.isalpha, words[k])))
     return sizes
 
 
