@@ -185,9 +185,9 @@ def betweenness(spark, d):
     return centrality.betweenness(pairs, k_samples=6, top_n=None).withColumn("centrality_score", F.round("centrality_score", 9))
 
 
-@query()
+@query(_betweenness_sql(200, 9))
 def betweenness_default(spark, d):
-    """Every concept's centrality from the operator's default number of pivots, which no SQL statement can pay."""
+    """Every concept's centrality from the operator's default number of pivots."""
     pairs = graph.cooccurrence(graph.mentions(extractions(spark, d))).select("src", "dst")
     return centrality.betweenness(pairs, top_n=None).withColumn("centrality_score", F.round("centrality_score", 9))
 
