@@ -35,7 +35,8 @@ SCRIPTS = {
 WORDS = re.compile(r"[^\W\d_]+")
 #: Combining marks belong to the word of the letter before them: vowel signs, points, decomposed accents. Joiners inside of words, too.
 MARKED = regex.compile(r"\p{L}(?:[\p{L}\p{M}]|[\u200c\u200d](?=[\p{L}\p{M}]))*|[^\W\d_\p{M}\p{Cf}]")
-FIRST_MARK = re.compile("[\u0300-\U0010ffff]")
+#: Texts without any of these have no marks: where scripts with marks, joiners and marks of others stand.
+FIRST_MARK = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u1dff\u200c\u200d\u20d0-\u20ff\u2cef-\u2dff\u302a-\u302f\u3099\u309a\ua66f-\uabff\ufb1e\ufe00-\ufe2f\U00010000-\U0010ffff]")
 NGRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 17
 #: At most so many labelled documents are learned from, those of least hash.
