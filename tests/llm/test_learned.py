@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from trendloom.llm import html_text, html_training, language_id, quality
 
 
@@ -156,6 +158,15 @@ def test_quality_with_one_class_or_no_labels(judged):
     assert quality.predict(docs.limit(0), labels).count() == 0
 
 
+def test_quality_of_a_doc_id_that_rows_repeat(spark, judged):
+    """However often a doc_id comes, one of its texts is learned from, the same on every run."""
+    docs, labels = judged
+    one = docs.where("doc_id = 0").select(*docs.columns)
+    many = docs.union(one.withColumn("text", F.lit("zzz " * 50)).crossJoin(spark.range(300)).drop("id")).repartition(7)
+    a, b = ({(r.doc_id, r.score) for r in quality.predict(many, labels).collect()} for _ in range(2))
+    assert a == b and len({i for i, _ in a}) == docs.select("doc_id").distinct().count()
+
+
 def test_quality_features_and_ratios_against_brute_force(prose):
     """Which texts share a feature, by their n-grams of words and of shapes; ratios from counts of documents."""
     r = np.random.default_rng(4)

@@ -61,6 +61,19 @@ def test_counts_equal_the_library(docs, texts):
     assert token_counts.token_counts(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("signs", ["abcdefghij", "中文字符漢字测试", "äöüé日x\U0001f600b\u0301", "0123456789", "\n\t\0a▁", "ab "])
+def test_long_stretches_are_cut_without_changing_counts(signs, monkeypatch):
+    monkeypatch.setattr(token_counts, "STRETCH", 64)
+    sp, counter, r = processor(MODEL), token_counts.Counter(MODEL), random.Random(3)
+    for n in (63, 64, 65, 66, 128, 129, 1000):
+        text = "".join(r.choice(signs) for _ in range(n))
+        for t in (text, " " + text, f"word {text} {text[:70]} end", text + " "):
+            assert counter.count([t]) == [len(sp.encode(t))]
+    parts = token_counts.stretches(" " + "漢字" * 300, counter.vocab.bigrams)
+    assert len(parts) > 1 and parts[0] + "".join(p[1:] for p in parts[1:]) == " " + "漢字" * 300
+    assert token_counts.stretches(" " + "a" * 300, counter.vocab.bigrams) == [" " + "a" * 300]  # any two neighbours are in some piece: nowhere to cut
+
+
 def test_batches_are_balanced_by_bytes():
     assert list(token_counts.slices(np.array([5, 5, 20, 1, 1]), 10)) == [(0, 2), (2, 3), (3, 5)]
     assert list(token_counts.slices(np.array([], int), 10)) == []

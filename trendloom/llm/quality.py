@@ -194,13 +194,14 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> Model:
 
     Of each class the `each` documents of least hash are read, as long as those before have fewer than TRAIN_FEATURES features
     together; these features come to the driver. Without both classes every text scores the share of label 1 (0.5
-    without labels). A doc_id with contrary labels counts as 0; labels without a doc_id or of another value count nothing.
+    without labels). Of rows that repeat a doc_id the one whose text has the least hash is read. A doc_id with contrary labels counts as 0; labels without a doc_id or of another value count nothing.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marked = marked.where(F.col("quality").isin(0, 1) & (remainder(4) != 2)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     chosen = [marked.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for k in (0, 1)]
-    rows = only_columns(docs, {"doc_id": "long", "text": "string"}).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "quality", "text")
+    rows = only_columns(docs, {"doc_id": "long", "text": "string"}).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # 2 * each rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
