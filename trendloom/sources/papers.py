@@ -87,9 +87,10 @@ def citation_rows(parsed: DataFrame) -> DataFrame:
 
 
 def author_rows(parsed: DataFrame) -> DataFrame:
-    """`paper_id, author_id, author_name`, one per paper and author."""
+    """`paper_id, author_id, author_name`, one per paper and author; of several names the first by code points, empty ones last."""
     spread = parsed.select(F.col("arxiv_id").alias("paper_id"), F.explode("authors").alias("a"))
-    return spread.select("paper_id", "a.author_id", "a.author_name").dropDuplicates(["paper_id", "author_id"])
+    return spread.select("paper_id", "a.author_id", "a.author_name").groupBy("paper_id", "author_id").agg(
+        F.coalesce(F.min(F.when(F.col("author_name") != "", F.col("author_name"))), F.lit("")).alias("author_name"))
 
 
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
