@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trendloom.storage import spread
+
 # Words that are never keywords.
 STOPWORDS = """a an the and or but in on at to for of with by from is are was were be been being have has had do does
 did will would could should may might shall can that this all you these those it its we our they their which who what
@@ -52,7 +54,7 @@ def _ranked(rows: DataFrame, key: str, text: Column, stopwords: list[str], top_n
 
     read = rows.select(key, text.alias("_text"))
     kind = T.StructType([read.schema[0], *(T.StructField(n, k()) for n, k in zip(NAMES, (T.IntegerType, T.StringType, T.LongType, T.LongType), strict=True))])
-    return read.mapInArrow(run, kind)
+    return spread(read).mapInArrow(run, kind)
 
 
 def keywords(papers: DataFrame, top_n: int = 10, key: str = "arxiv_id") -> DataFrame:

@@ -50,3 +50,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of input a core up to which rows are dealt anew, if they lie in fewer files than there are cores.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt to all cores where it is a small table in few files, which one core or a few would read.
+
+    For functions that take long a row. A table of more than SPREAD_BYTES a core is left alone, since its files give tasks enough; so
+    what is shuffled here never grows with the data.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SPREAD_BYTES:
+        return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
