@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.storage import fresh_path, materialize
+from trendloom.storage import fresh_path, materialize, spread
 
-__all__ = ["components", "fresh_path", "materialize", "only_columns"]
+__all__ = ["components", "fresh_path", "materialize", "only_columns", "spread"]
 
 
 def only_columns(df: DataFrame, required: dict[str, str]) -> DataFrame:

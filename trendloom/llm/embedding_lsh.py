@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import components, materialize
+from trendloom.llm.common import components, materialize, spread
 from trendloom.llm.vectors import has_direction, matrices, rows_of, unit
 
 STEP = 2.2
@@ -105,7 +105,7 @@ def _keyed(found: DataFrame, form: Form) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.tile(np.arange(form.tables, dtype=np.int32), len(own))), pa.array(keys.ravel()), pa.array(np.repeat(own, form.tables))], ["t", "key", "cid"])
 
-    return found.select("cid", "vector").mapInArrow(run, "t int, key long, cid long")
+    return spread(found.select("cid", "vector")).mapInArrow(run, "t int, key long, cid long")
 
 
 def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -171,8 +171,8 @@ def balls(found: DataFrame, keyed: DataFrame, crowded: DataFrame, cosine: float)
     return materialize(members.join(named, ["t", "key"]).select("cid", "ball", (F.col("size") - F.col("copies")).alias("others")), "balls")
 
 
-def _cells(keyed: DataFrame, sizes: DataFrame, near: DataFrame) -> DataFrame:
-    """`CELL, side, ball, cid`: which vectors are compared where.
+def _cells(keyed: DataFrame, sizes: DataFrame, near: DataFrame, most: int) -> DataFrame:
+    """`CELL, side, ball, cid`: which vectors are compared where; `most` is the size of the largest bucket.
 
     A bucket of up to BLOCK vectors is one block. A larger one has blocks of each ball with half a block of it, and blocks of all else;
     pairs of blocks are cells, but those within a ball.
@@ -180,6 +180,8 @@ def _cells(keyed: DataFrame, sizes: DataFrame, near: DataFrame) -> DataFrame:
     ball = F.coalesce("ball", F.lit(-1)).alias("ball")
     rows = keyed.join(sizes, ["t", "key"]).join(near.select("cid", "ball"), "cid", "left").select("t", "key", "cid", "n", ball)
     small = rows.where(F.col("n") <= BLOCK).select("t", "key", *[F.lit(-1).cast("long").alias(c) if c.endswith("group") else F.lit(0).alias(c) for c in CELL[2:]], F.lit(0).alias("side"), "ball", "cid")
+    if most <= BLOCK:
+        return small.select(*CELL, "side", "ball", "cid")
     large = rows.where(F.col("n") > BLOCK)
     held = large.where("ball >= 0").groupBy("t", "key", F.col("ball").alias("group")).agg(F.count("*").alias("m")).where(F.col("m") >= BLOCK // 2)
     large = large.join(held.select("t", "key", F.col("group").alias("ball"), F.col("group")), ["t", "key", "ball"], "left").withColumn("group", F.coalesce("group", F.lit(-1).cast("long")))
@@ -276,8 +278,10 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, form: Form |
     keyed = materialize(_keyed(found, form), "keys")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes, "sizes")
-    near = balls(found, keyed, sizes.where(F.col("n") > FILL), cosine)
-    cells = _cells(keyed, sizes, near).join(found, "cid").repartition(*CELL).sortWithinPartitions(*CELL, "cid")
+    most = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+    none = embeddings.sparkSession.createDataFrame([], "cid long, ball long, others long")
+    near = balls(found, keyed, sizes.where(F.col("n") > FILL), cosine) if most > FILL else none
+    cells = _cells(keyed, sizes, near, most).join(found, "cid").repartition(*CELL).sortWithinPartitions(*CELL, "cid")
     linked = materialize(_linked(cells, form, cosine).union(near.select("cid", F.col("ball").alias("root"), F.col("others").alias("links"))), "linked")
     roots = components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm import html_training
+from trendloom.llm.common import spread
 
 DIMENSIONS = 1 << 13
 EPOCHS = 150
@@ -377,4 +378,4 @@ def extract(pages: DataFrame, trained: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return spread(rows).mapInArrow(run, "page_id long, url string, text string, n_chars long")

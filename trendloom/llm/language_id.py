@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trendloom.llm.common import spread
 from trendloom.llm.token_counts import slices
 
 #: First and last code points of the scripts that are told apart.
@@ -225,7 +226,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), spans], ["doc_id", "lang_pred", "score", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang string, n_words int, n_letters int>>")
+    return spread(rows).mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang string, n_words int, n_letters int>>")
 
 
 def labelled(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, float, np.ndarray, np.ndarray]]]]:

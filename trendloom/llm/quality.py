@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import only_columns
+from trendloom.llm.common import only_columns, spread
 from trendloom.llm.token_counts import slices
 
 BUCKETS = 1 << 18
@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 found = shipped.value.scores([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found)], ["doc_id", "score"])
 
-    return only_columns(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, score double")
+    return spread(only_columns(docs, {"doc_id": "long", "text": "string"})).mapInArrow(run, "doc_id long, score double")
 
 
 def predict(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import only_columns
+from trendloom.llm.common import only_columns, spread
 from trendloom.llm.pieces import MODEL, SPACE, processor, units, vocabulary
 
 BATCH_BYTES = 4 << 20
@@ -104,5 +104,5 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, model: str = MODEL) -> Dat
                 counts += counter.count([t or "" for t in batch.column(1).slice(start, end - start).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    counted = only_columns(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = spread(only_columns(docs, {"doc_id": "long", "text": "string"})).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
