@@ -76,6 +76,6 @@ def papers_by_month(papers: DataFrame, windows: DataFrame) -> DataFrame:
     Of papers laid out by month, the windows name the folders that are read: Spark prunes them while the query runs.
     """
     own = papers if "month" in papers.columns else by_month(papers)
-    named = windows.select(F.col("month").alias("window_month"), F.to_date("month").alias("month"), "window_start", "window_end")
+    named = windows.select(F.col("month").alias("window_month"), F.to_date("month").alias("month"), "window_start", "window_end").where("window_start <= window_end")
     kept = own.select("published_at", "month").join(F.broadcast(named), "month")  # a row a month of the asked range
     return kept.where("published_at >= window_start AND published_at <= window_end").groupBy(F.col("window_month").alias("month")).agg(F.count("*").alias("n"))
