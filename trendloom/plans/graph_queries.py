@@ -105,8 +105,8 @@ def graph_cooccurrence_twice(spark, d):
 def _stored_steps(spark, d):
     found, first, later = _steps(spark, d)
     path = storage.fresh_path(spark, "edges")
-    stamped = graph.extend_cooccurrence(spark, path, found, first, RUNS[0])
-    return path, graph.extend_cooccurrence(spark, path, found, stamped.union(later), RUNS[1])
+    stamped = graph.extend_cooccurrence(spark, path, found, first, RUNS[0], 32)
+    return path, graph.extend_cooccurrence(spark, path, found, stamped.union(later), RUNS[1], 32)
 
 
 @query(f"WITH {_GRAPH} SELECT src, 'CO_OCCURS_WITH' AS rel, dst FROM pairs")
