@@ -55,9 +55,12 @@ def last_written(batch: DataFrame, keys: list[str], order: list[str] | None = No
 
 
 def replace(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """The batch's rows instead of those of the same key; others stay. Of several rows of a key the one written last wins (see `last_written`)."""
+    """The batch's rows instead of those of the same key; others stay. Of several rows of a key the one written last wins (see `last_written`).
+
+    A column of the batch that the target lacks becomes a column of the result, unless it only gives the `order`.
+    """
     kept = target.alias("t").join(batch.select(*keys).alias("b"), _same(keys), "left_anti")
-    return kept.unionByName(last_written(batch, keys, order).select(*[c for c in batch.columns if c in target.columns]), allowMissingColumns=True)
+    return kept.unionByName(last_written(batch, keys, order).select(*[c for c in batch.columns if c in target.columns or c not in (order or ())]), allowMissingColumns=True)
 
 
 def update_columns(target: DataFrame, updates: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
