@@ -190,9 +190,11 @@ def test_rows_that_repeat_an_id_and_few_candidates(table):
     assert projected_neighbours.nearest(table([(1, [1, 2]), (2, [1, 3])])).count() == 0
 
 
-@pytest.mark.parametrize(("spread", "sizes"), [(0.3, {}), (3.0, {}), (0.5, {"cell_size": 100, "sample": 1 << 10, "queries": 7})])
+@pytest.mark.parametrize(("spread", "sizes"), [
+    (0.3, {}), (3.0, {}), (0.5, {"cell_size": 100, "sample": 1 << 10, "queries": 7}),
+    (0.5, {"cell_size": 40, "sample": 128}), (0.5, {"cell_size": 40, "sample": 128, "most_cells": 6})])
 def test_recall_over_cells_and_parts(table, spread, sizes):
-    """Clustered and unstructured vectors, in one cell and in many small ones of which some are cut into parts."""
+    """Clustered and unstructured vectors, in one cell and in many small ones, below trees of their own or cut into parts."""
     rows = [(i, v.tolist()) for i, v in enumerate(vectors(3000, 32, groups=40, spread=spread))]
     got, want = scored(projected_neighbours.nearest(table(rows), **sizes)), brute_neighbours(rows)
     assert len(got) == len(want)
@@ -200,6 +202,46 @@ def test_recall_over_cells_and_parts(table, spread, sizes):
     assert sum((q, j) in found for q, _, j, _ in want) >= 0.95 * len(want)
 
 
+def test_a_dense_region_gets_cells_of_its_own(table):
+    rng = np.random.default_rng(6)
+    close = rng.standard_normal(24) + 0.02 * rng.standard_normal((1200, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((close, rng.standard_normal((400, 24)))))]
+    found = projected_neighbours.classes(table(rows), 6, 50).cache()
+    tree = projected_neighbours.fitted(projected_neighbours.sampled(found, 1600, 128), 2)
+    index = projected_neighbours.indexed(found, tree)
+    sizes = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}
+    levels = projected_neighbours.lower_levels(sizes, 100, 512, 64)
+    grown = tree.grown(projected_neighbours.lower_trees(index, sizes, levels))
+    around = projected_neighbours.boxes(projected_neighbours.indexed(found, grown), 100)
+    assert max(sizes.values()) > 300 and len(around.cell) > 8 and around.parts.max() <= 3
+    got, want = scored(projected_neighbours.nearest(table(rows), cell_size=100, sample=128)), brute_neighbours(rows)
+    assert len(got) == len(want)
+    known = {(q, j) for q, _, j, _ in got}
+    assert sum((q, j) in known for q, _, j, _ in want) >= 0.95 * len(want)
+
+
+def test_levels_below_leaves_are_bounded():
+    sizes = {3: 4096, 4: 4097, 5: 1 << 20, 6: 1 << 30}
+    assert projected_neighbours.lower_levels(sizes, 4096, 1 << 16, 1 << 16) == {4: 1, 5: 8, 6: 11}
+    assert projected_neighbours.lower_levels(sizes, 4096, 1 << 16, 300) == {4: 1, 5: 7, 6: 7}
+    assert projected_neighbours.lower_levels(sizes, 4096, 1 << 16, 1) == {} and projected_neighbours.lower_levels({}, 4096, 1 << 16, 9) == {}
+
+
+def test_trees_in_the_places_of_leaves():
+    points = np.random.default_rng(5).standard_normal((500, projected_neighbours.PROJECTIONS))
+    upper = projected_neighbours.fitted(points, 2)
+    own = upper.cells(points)
+    assert sorted(set(own.tolist())) == [3, 4, 5, 6] and np.bincount(own)[3:].min() >= 120
+    below = {leaf: projected_neighbours.fitted(points[own == leaf], levels) for leaf, levels in ((3, 3), (5, 1))}
+    grown = upper.grown(below)
+    cells = grown.cells(points)
+    assert (grown.below[np.unique(cells)] == -1).all() and len(np.unique(cells)) == 8 + 2 + 2
+    assert (cells[own == 4] == 4).all() and (cells[own == 6] == 6).all()
+    for leaf, tree in below.items():
+        inside = tree.cells(points[own == leaf])
+        assert len({(a, b) for a, b in zip(inside.tolist(), cells[own == leaf].tolist(), strict=True)}) == len(np.unique(inside))
+
+
 def test_quantile_and_projected_distances():
     assert projected_neighbours.quantile(0.95, 12) == pytest.approx(21.026069817483066, abs=1e-9)
     a = np.random.default_rng(0).standard_normal((4000, 16))

@@ -5,9 +5,11 @@ distance over d^2 follows a chi-square law with PROJECTIONS degrees of freedom.
 near to far, and when the next one lies beyond d * sqrt(q), with d the distance of the k-th best verified so far and q the
 law's CONFIDENCE quantile, a vector nearer than d is missed with a probability of 1 - CONFIDENCE at most: the search stops.
 
-The upper levels of the kd-tree are fitted on a sample of about SAMPLE vectors; its leaves are cells, and every vector is
-indexed in its cell. Cells of more than CELL vectors (a dense region) are cut into parts by hash. The lower levels are built in the
-task that holds a part, down to buckets of BUCKET vectors, which a query visits in the order of their distance from it. Queries
+The upper levels of the kd-tree are fitted on a sample of about SAMPLE vectors. Where more than CELL vectors lie in one of their
+leaves (a dense region, or a large table), tasks fit levels below it on a sample of its own vectors, so that a query needn't visit all
+of it. What is a leaf then is a cell, and every vector is indexed in its cell. Cells that are too large even so (MOST_CELLS are reached,
+or projections are equal) are cut into parts by hash. The lowest levels are built in the task that holds a part, down to
+buckets of BUCKET vectors, which a query visits in the order of their distance from it. Queries
 go to their own cell first; the k-th best there bounds the distance, and so the cells that the stopping test leaves to visit in a second
 step. A part's vectors are held in memory (CELL at most) while its queries stream past; those of a part with very many queries
 are dealt over copies of it.
@@ -35,14 +37,21 @@ CONFIDENCE = 0.95
 TOP = 5
 #: A row asks if its vec_id is divisible by this.
 EVERY = 50
-#: The upper tree is fitted on about so many vectors, and has one cell for 32 of them at most.
+#: The upper tree, and the tree below each of its leaves, is fitted on about so many vectors at most, EACH for a leaf.
 SAMPLE = 1 << 16
+EACH = 32
 CELL = 4096
+#: Cells that trees below leaves give in all; their boxes, 200 bytes a cell, go to every task that deals queries.
+MOST_CELLS = 1 << 16
+#: Coordinates of queries and boxes that are compared at once when queries are dealt to cells.
+COMPARED = 1 << 21
 BUCKET = 128
 #: Queries of a part of a cell that one task answers.
 QUERIES = 8192
 BLOCK = 2048
 SEED = 41
+#: Rows that a task of dealt queries passes on at a time.
+ROUTED = 1 << 14
 #: Tasks of a step at most, however many parts there are.
 MOST_TASKS = 20_000
 #: Rounding that squared distances may differ by.
@@ -72,32 +81,47 @@ def directions(dim: int) -> np.ndarray:
 
 
 class Tree(NamedTuple):
-    """The upper levels: for each inner node (heap order) the projection it cuts and where."""
+    """Of each node: the projection it cuts and where, and the place of its first half, which the second follows; -1 for a leaf. A leaf's place is its cell's number."""
 
     along: np.ndarray
     cut: np.ndarray
-    levels: int
+    below: np.ndarray
 
     def cells(self, projected: np.ndarray) -> np.ndarray:
-        node, row = np.zeros(len(projected), np.int64), np.arange(len(projected))
-        for _ in range(self.levels):
-            node = 2 * node + 1 + (projected[row, self.along[node]] > self.cut[node])
-        return node - len(self.cut)
-
-
-def upper_tree(sample: np.ndarray, levels: int) -> Tree:
+        node = np.zeros(len(projected), np.int64)
+        while len(rows := np.flatnonzero(self.below[node] >= 0)):
+            at = node[rows]
+            node[rows] = self.below[at] + (projected[rows, self.along[at]] > self.cut[at])
+        return node
+
+    def grown(self, trees: dict[int, Tree]) -> Tree:
+        """With a tree in the place of each of these leaves."""
+        along, cut, below = [self.along.copy()], [self.cut.copy()], [self.below.copy()]
+        end = len(self.below)
+        for leaf, tree in sorted(trees.items()):
+            moved = np.where(tree.below >= 0, tree.below + end - 1, -1)
+            along[0][leaf], cut[0][leaf], below[0][leaf] = tree.along[0], tree.cut[0], moved[0]
+            along.append(tree.along[1:])
+            cut.append(tree.cut[1:])
+            below.append(moved[1:])
+            end += len(tree.below) - 1
+        return Tree(np.concatenate(along), np.concatenate(cut), np.concatenate(below))
+
+
+def fitted(sample: np.ndarray, levels: int) -> Tree:
     """Cuts the sample at the median of its widest projection, level by level."""
-    along, cut, parts = [], [], [sample]
-    for _ in range(levels):
-        halves = []
-        for part in parts:
-            axis = int(np.ptp(part, axis=0).argmax()) if len(part) else 0
-            at = float(np.median(part[:, axis])) if len(part) else 0.0
-            along.append(axis)
-            cut.append(at)
-            halves += [part[part[:, axis] <= at], part[part[:, axis] > at]]
-        parts = halves
-    return Tree(np.array(along, np.int64), np.array(cut), levels)
+    inner = (1 << levels) - 1
+    along, cut, parts = np.zeros(2 * inner + 1, np.int64), np.zeros(2 * inner + 1), [sample]
+    for node in range(inner):
+        part = parts[node]
+        if len(part):
+            along[node] = np.ptp(part, axis=0).argmax()
+            cut[node] = np.median(part[:, along[node]])
+        low = part[:, along[node]] <= cut[node]
+        parts += [part[low], part[~low]]
+        parts[node] = None
+    node = np.arange(2 * inner + 1)
+    return Tree(along, cut, np.where(node < inner, 2 * node + 1, -1))
 
 
 def gap(low: np.ndarray, high: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -206,6 +230,36 @@ def indexed(found: DataFrame, tree: Tree) -> DataFrame:
     return found.mapInArrow(run, f"cell int, cid long, ids array<long>, asks boolean, vector {dict(found.dtypes)['vector']}")
 
 
+def lower_levels(sizes: dict[int, int], cell_size: int, sample: int, most: int) -> dict[int, int]:
+    """How many levels each leaf of more than `cell_size` vectors needs below it, as far as `most` cells in all and `sample` vectors a leaf go."""
+    levels = {leaf: min(math.ceil(math.log2(n / cell_size)), int(math.log2(max(sample // EACH, 1)))) for leaf, n in sizes.items() if n > cell_size}
+    while sum(1 << v for v in levels.values()) > most and max(levels.values()) > 0:
+        top = max(levels.values())
+        levels = {leaf: v - (v == top) for leaf, v in levels.items()}
+    return {leaf: v for leaf, v in levels.items() if v > 0}
+
+
+def lower_trees(index: DataFrame, sizes: dict[int, int], levels: dict[int, int]) -> dict[int, Tree]:
+    """The trees below these leaves, each fitted in a task of its own on about EACH of the leaf's vectors, by hash, for each of its leaves."""
+    whole = 1 << 30
+    shares = [(leaf, v, min(whole, math.ceil(whole * (EACH << v) / sizes[leaf]))) for leaf, v in levels.items()]
+    wanted = F.broadcast(index.sparkSession.createDataFrame(shares, "cell int, levels int, share long"))  # leaves of the upper tree at most
+    kept = index.join(wanted, "cell").where(F.pmod(F.xxhash64("vector", F.lit(SEED + 1)), F.lit(whole)) < F.col("share")).select("cell", "levels", "vector")
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, BLOCK):
+            rows, projected = _projected(part.column(2))
+            own = part.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists(projected)], ["cell", "levels", "p"])
+
+    def fit(part: pa.Table) -> pa.Table:
+        tree = fitted(np.concatenate([p for _, p in matrices(part.column("p").combine_chunks())]), part.column("levels")[0].as_py())
+        return pa.table({"cell": part.column("cell")[:1], "along": lists(tree.along.astype(np.int32)[None]), "cut": lists(tree.cut[None]), "below": lists(tree.below.astype(np.int32)[None])})
+
+    found = kept.mapInArrow(project, "cell int, levels int, p array<double>").groupBy("cell").applyInArrow(fit, "cell int, along array<int>, cut array<double>, below array<int>")
+    return {r.cell: Tree(np.array(r.along, np.int64), np.array(r.cut), np.array(r.below, np.int64)) for r in found.collect()}
+
+
 class Boxes(NamedTuple):
     """Of each cell that holds vectors: its number, how many parts it has, and the box around its projections."""
 
@@ -297,26 +351,34 @@ def _routed(df: DataFrame, tree: Tree, around: Boxes, k: int, first: bool) -> Da
             rows, projected = _projected(part.column(1))
             own = tree.cells(projected)
             if first:
-                which, cells, cut, bounds = np.arange(len(rows)), own, np.zeros(len(rows), np.int64), np.full(len(rows), np.inf)
-            else:
-                scores = [part.column(2)[i].as_py() for i in rows.tolist()]
-                limit = np.array([max(0.0, 2 - 2 * s[k - 1]["score"]) + SLACK if len(s) >= k else np.inf for s in scores])
-                reached = gap(around.low, around.high, projected) <= (limit * REACH + SLACK)[:, None]
+                which = np.arange(len(rows))
+                yield routed(part, rows, which, own, np.zeros(len(rows), np.int64), np.full(len(rows), np.inf))
+                continue
+            scores = [part.column(2)[i].as_py() for i in rows.tolist()]
+            limit = np.array([max(0.0, 2 - 2 * s[k - 1]["score"]) + SLACK if len(s) >= k else np.inf for s in scores])
+            step = max(1, COMPARED // around.low.size)
+            for at in range(0, len(rows), step):
+                some = slice(at, at + step)
+                reached = gap(around.low, around.high, projected[some]) <= (limit[some] * REACH + SLACK)[:, None]
                 q, c = np.nonzero(reached)
                 each = around.parts[c]
-                which, cells = np.repeat(q, each), np.repeat(around.cell[c], each)
+                which, cells = np.repeat(q + at, each), np.repeat(around.cell[c], each)
                 cut = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
                 keep = (cells != own[which]) | (cut > 0)
                 which, cells, cut = which[keep], cells[keep], cut[keep]
-                bounds = limit[which]
-            whose = pa.array(rows[which])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(cells.astype(np.int32)), pa.array(cut.astype(np.int32)), part.column(0).take(whose), part.column(1).take(whose), pa.array(bounds)], ["cell", "part", "cid", "vector", "bound"])
+                for low in range(0, len(which), ROUTED):
+                    few = slice(low, low + ROUTED)
+                    yield routed(part, rows, which[few], cells[few], cut[few], limit[which[few]])
+
+    def routed(part: pa.RecordBatch, rows: np.ndarray, which: np.ndarray, cells: np.ndarray, cut: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        whose = pa.array(rows[which])
+        return pa.RecordBatch.from_arrays([
+            pa.array(cells.astype(np.int32)), pa.array(cut.astype(np.int32)), part.column(0).take(whose), part.column(1).take(whose), pa.array(bounds)], ["cell", "part", "cid", "vector", "bound"])
 
     return df.mapInArrow(run, f"cell int, part int, cid long, vector {dict(df.dtypes)['vector']}, bound double")
 
 
-def nearest(embeddings: DataFrame, top: int = TOP, every: int = EVERY, cell_size: int = CELL, sample: int = SAMPLE, queries: int = QUERIES) -> DataFrame:
+def nearest(embeddings: DataFrame, top: int = TOP, every: int = EVERY, cell_size: int = CELL, sample: int = SAMPLE, queries: int = QUERIES, most_cells: int = MOST_CELLS) -> DataFrame:
     """`query_id, rank, vec_id, score`: for each row of `embeddings(vec_id, embedding)` whose id is divisible by `every`, the `top` rows of greatest cosine found.
 
     Candidates are all other rows; ties go to the smaller vec_id. Vectors that are null, empty, zero or hold null or non-finite components,
@@ -327,14 +389,18 @@ def nearest(embeddings: DataFrame, top: int = TOP, every: int = EVERY, cell_size
     k = top + 1  # the query's own row is among its class's
     found = materialize(classes(embeddings, k, every), "classes")  # which fixes the numbers
     n = found.count()
-    levels = max(0, min(math.ceil(math.log2(max(n, 1) / cell_size)), int(math.log2(max(sample // 32, 1)))))
-    tree = upper_tree(sampled(found, max(n, 1), sample), levels)
+    levels = max(0, min(math.ceil(math.log2(max(n, 1) / cell_size)), int(math.log2(max(sample // EACH, 1)))))
+    tree = fitted(sampled(found, max(n, 1), sample), levels)
     index = indexed(found, tree)
+    sizes = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()} if levels else {}
+    if below := lower_levels(sizes, cell_size, sample, most_cells):
+        tree = tree.grown(lower_trees(index, sizes, below))
+    index = materialize(indexed(found, tree), "index")
     around = boxes(index, cell_size)
     if not len(around.cell):
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     counts = embeddings.sparkSession.createDataFrame([(int(c), int(p)) for c, p in zip(around.cell, around.parts, strict=True)], "cell int, parts int")
-    index = materialize(index.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int")).drop("parts"), "index")
+    index = index.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int")).drop("parts")  # a row a cell
     tasks = max(int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * int(around.parts.sum()), MOST_TASKS))
     asked = found.where("asks").select("cid", "vector")
     near = materialize(_answers(index, _routed(asked, tree, around, k, True), k, queries, tasks), "near")
