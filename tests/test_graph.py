@@ -62,9 +62,9 @@ def test_all_pivots_equal_plain_brandes(spark):
 
 
 def test_sanitize(spark):
-    rows = [("it's a test",), ("back\\slash",), ("cost $100",), ("line1\nline2",), ("x" * 300,), (None,)]
+    rows = [("it's a test",), ("back\\slash",), ("cost $100",), ("line1\nline2",), ("x" * 300,), (None,), ("\t a\tb \u00a0",), (" " * 250 + "x",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(graph.sanitize(F.col("t"))).collect()]
-    assert got == ["its a test", "backslash", "cost 100", "line1 line2", "x" * 200, ""]
+    assert got == ["its a test", "backslash", "cost 100", "line1 line2", "x" * 200, "", "a\tb", ""]
 
 
 def test_graph_of_two_papers(spark):

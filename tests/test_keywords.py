@@ -81,9 +81,9 @@ def test_concept_tokens_fall_back_to_the_name(spark):
 
 
 def test_extractions_of_every_form(spark):
-    rows = [("1", '{"concepts": ["A", "", "B"], "methods": []}'), ("2", '```json\n{"concepts": ["A"]}\n```'), ("3", '<THINK>x {</THINK>{"concepts": ["A"]}'), ("4", ""), ("5", "nope {"), ("6", '{"concepts": "A"}'), ("7", None), ("8", "[1]")]
+    rows = [("1", '{"concepts": ["A", "", "B"], "methods": []}'), ("2", '```json\n{"concepts": ["A"]}\n```'), ("3", '<THINK>x {</THINK>{"concepts": ["A"]}'), ("4", ""), ("5", "nope {"), ("6", '{"concepts": "A"}'), ("7", None), ("8", "[1]"), ("9", '<think>\n</think>\n\n{"concepts": ["A"]}\n'), ("10", '\r\n\t```json\n\n{"concepts": ["A"]}\n```\n'), ("11", "\n")]
     got = {r.arxiv_id: r.concepts for r in text.parse_extractions(spark.createDataFrame(rows, "arxiv_id string, raw string")).collect()}
-    assert got == {"1": ["A", "B"], "2": ["A"], "3": ["A"], "4": [], "5": [], "6": [], "7": [], "8": []}
+    assert got == {"1": ["A", "B"], "2": ["A"], "3": ["A"], "4": [], "5": [], "6": [], "7": [], "8": [], "9": ["A"], "10": ["A"], "11": []}
 
 
 def test_backend_failure_gives_empty_lists(spark):
@@ -92,3 +92,24 @@ def test_backend_failure_gives_empty_lists(spark):
 
     df = papers(spark, [("1", "t", "a", [], DAY)])
     assert text.extract_with(df, broken).first().concepts == []
+
+
+def test_a_failing_prompt_costs_no_other_paper_its_concepts(spark):
+    def backend(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no")
+        if any("short" in p for p in prompts):
+            return []
+        return [None if "none" in p else '{"concepts": ["' + p.split("\n")[0].removeprefix("Title: ") + '"]}' for p in prompts]
+
+    names = ["bad" if k % 17 == 3 else "short" if k == 40 else "none" if k == 41 else f"t{k}" for k in range(70)]
+    df = papers(spark, [(str(k), name, "a", [], DAY) for k, name in enumerate(names)]).repartition(2)
+    got = {int(r.arxiv_id): r.concepts for r in text.extract_with(df, backend).collect()}
+    assert got == {k: [name] if name == f"t{k}" else [] for k, name in enumerate(names)}
+    assert text.extract_with(df.where("false"), backend).count() == 0
+
+
+def test_strip_takes_all_white_space(spark):
+    rows = ["", " a b ", "\t\n\x0b\u2003x\u3000", "\u00a0\u2028", "\u200bz", None]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(text.strip(F.col("t"))).collect()]
+    assert got == [r.strip() if r is not None else None for r in rows]

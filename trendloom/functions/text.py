@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendloom.storage import spread
+from trendloom.functions.calls import each_or_none
+from trendloom.storage import materialize, spread
 
 # Words that are never keywords.
 STOPWORDS = """a an the and or but in on at to for of with by from is are was were be been being have has had do does
@@ -26,6 +27,15 @@ WORD = re.compile(TOKEN)
 NAMES = ["rank", "token", "count", "total"]
 
 
+#: White space of any script, as `str.strip` takes it; Spark's `trim` alone takes blanks only.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def strip(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """Runs of three or more ASCII letters of the lower-cased text, in order, without stopwords."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -74,7 +84,7 @@ def join_pages(pages: DataFrame, key: str = "paper_id") -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
     joined = pages.groupBy(key).agg(ordered.alias("_pages")).select(
         key, F.array_join(F.transform("_pages", lambda p: F.coalesce(p["text"], F.lit(""))), " ").alias("text"))
-    return joined.withColumn("status", F.when(F.trim(F.regexp_replace("text", r"\s+", " ")) == "", "failed").otherwise("processed"))
+    return joined.withColumn("status", F.when(strip(F.col("text")) == "", "failed").otherwise("processed"))
 
 
 def extraction_prompt(papers: DataFrame, most: int = 800) -> DataFrame:
@@ -116,8 +126,8 @@ def signal_block(signals: DataFrame, top: int = 20) -> DataFrame:
 
 def json_text(raw: Column) -> Column:
     """Model output without reasoning tags and, if it begins with one, its code fence."""
-    text = F.trim(F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"(?is)<think>.*?</think>", ""))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    text = strip(F.regexp_replace(strip(F.coalesce(raw, F.lit(""))), r"(?is)<think>.*?</think>", ""))
+    bare = strip(F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?", ""), r"```$", ""))
     return F.when(text.startswith("```"), bare).otherwise(text)
 
 
@@ -139,18 +149,15 @@ def parse_extractions(raw: DataFrame) -> DataFrame:
 def extract_with(papers: DataFrame, fn: Callable[[list[str]], list[str | None]], batch: int = 32) -> DataFrame:
     """Runs a caller's batch function (prompts to raw outputs) over all papers and parses what it gives.
 
-    A batch whose call raises gives empty lists for its papers.
+    A batch whose call raises, or gives another number of outputs, is halved until single prompts fail: these papers have empty lists, and no
+    other loses its own. Raw outputs are written down first, so that the function isn't called again by whatever reads the result several times.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             raw: list[str | None] = []
             for at in range(0, len(part), batch):
-                prompts = part["prompt"].iloc[at : at + batch].tolist()
-                try:
-                    raw += fn(prompts)
-                except Exception:  # the backend is the caller's; its failure loses only this batch
-                    raw += [None] * len(prompts)
+                raw += each_or_none(fn, part["prompt"].iloc[at : at + batch].tolist())
             yield pd.DataFrame({"arxiv_id": part["arxiv_id"], "raw": raw})
 
-    return parse_extractions(extraction_prompt(papers).mapInPandas(run, "arxiv_id string, raw string"))
+    return parse_extractions(materialize(extraction_prompt(papers).mapInPandas(run, "arxiv_id string, raw string"), "extractions"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom import schemas
+from trendloom.functions.text import strip
 
 # Likelihoods as numbers.
 LIKELIHOOD = {"high": 1.0, "medium": 0.5, "low": 0.0}
@@ -18,7 +19,7 @@ def _value() -> Column:
 
 def parse_opinions(raw: DataFrame) -> DataFrame:
     """Columns of `raw(..., raw)` but raw, and the opinion's fields: the whole text as JSON, or else its widest braces."""
-    text = F.trim(F.regexp_replace(F.coalesce("raw", F.lit("")), r"(?s)<\|channel>.*?<channel\|>", ""))
+    text = strip(F.regexp_replace(F.coalesce("raw", F.lit("")), r"(?s)<\|channel>.*?<channel\|>", ""))
     chosen = F.when(F.try_parse_json(text).isNotNull() & text.startswith("{") & text.endswith("}"), text).otherwise(F.regexp_extract(text, r"(?s)\{.*\}", 0))
     parsed = raw.withColumn("_o", F.when(F.try_parse_json(chosen).isNotNull(), F.from_json(chosen, schemas.OPINION)))
     return parsed.select(*[c for c in raw.columns if c != "raw"], "_o.*")

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trendloom.functions.text import strip
 from trendloom.sources import merge
 from trendloom.storage import materialize
 
@@ -14,7 +15,7 @@ from trendloom.storage import materialize
 def sanitize(text: Column) -> Column:
     """A label without quotes, backslashes and dollars, on one line, of 200 characters at most."""
     flat = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "'\\$", ""), r"[\r\n]", " ")
-    return F.trim(F.substring(flat, 1, 200))
+    return strip(F.substring(flat, 1, 200))
 
 
 def _labels(extractions: DataFrame, field: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import text
+from trendloom.functions.calls import each_or_none
 from trendloom.storage import materialize
 
 #: Vectors in one side of a tile.
@@ -149,22 +150,6 @@ def unembedded(papers: DataFrame, emb: DataFrame, limit: int | None = None) -> D
     return pending if limit is None else pending.orderBy("id").limit(limit)
 
 
-def _each_or_none(embed_fn: Callable[[list[str]], list[list[float] | None]], texts: list[str]) -> list[list[float] | None]:
-    """The vectors of the texts; a call that raises, or gives another number of vectors, is repeated with either half, so that only texts that fail alone have none."""
-    if not texts:
-        return []
-    try:
-        found = list(embed_fn(texts))
-        if len(found) == len(texts):
-            return found
-    except Exception:  # whatever a caller's model raises
-        pass
-    if len(texts) == 1:
-        return [None]
-    half = len(texts) // 2
-    return _each_or_none(embed_fn, texts[:half]) + _each_or_none(embed_fn, texts[half:])
-
-
 def embed_pending(papers: DataFrame, emb: DataFrame, embed_fn: Callable[[list[str]], list[list[float] | None]], batch: int = 32, limit: int | None = None) -> DataFrame:
     """`paper_id, embedding` of papers without an embedding, by their abstracts; null where the caller's function gave none or failed.
 
@@ -178,7 +163,7 @@ def embed_pending(papers: DataFrame, emb: DataFrame, embed_fn: Callable[[list[st
             rows = np.flatnonzero(asked)
             for at in range(0, len(rows), batch):
                 own = rows[at : at + batch]
-                for row, vector in zip(own.tolist(), _each_or_none(embed_fn, part["abstract"].iloc[own].tolist()), strict=True):
+                for row, vector in zip(own.tolist(), each_or_none(embed_fn, part["abstract"].iloc[own].tolist()), strict=True):
                     vectors[row] = vector
             yield pd.DataFrame({"paper_id": part["id"], "embedding": vectors})
 

@@ -34,7 +34,7 @@ _GRAPH = f"""{v.KEYWORDS}, {v.AUTHORS}, {v.CITATIONS},
 mentions AS (SELECT DISTINCT arxiv_id, token AS concept_name FROM kw_ranked WHERE rank <= 8),
 methods AS (SELECT DISTINCT arxiv_id, token AS name FROM kw_ranked WHERE rank BETWEEN 9 AND 13),
 cited AS (SELECT * FROM citations WHERE citation_type = 'citation'),
-clean AS (SELECT arxiv_id, trim(substr(regexp_replace(translate(coalesce(title, ''), '''\\$', ''), '[\\r\\n]', ' ', 'g'), 1, 200)) AS name, year(published_at) AS year FROM papers),
+clean AS (SELECT arxiv_id, trim(substr(regexp_replace(translate(coalesce(title, ''), '''\\$', ''), '[\\r\\n]', ' ', 'g'), 1, 200), '{text.WHITE}') AS name, year(published_at) AS year FROM papers),
 vertices AS (
   SELECT 'Paper' AS label, key, max(name) AS name, CAST(max(year) AS INTEGER) AS year
   FROM (SELECT arxiv_id AS key, name, year FROM clean UNION ALL SELECT cited_paper_id, NULL, NULL FROM cited) GROUP BY key
@@ -56,7 +56,7 @@ def _edges(spark, d, found=None):
     return graph.edges(found or extractions(spark, d), v.authors(spark, d), v.citations(spark, d))
 
 
-@query(f"WITH {v.PAPERS} SELECT arxiv_id, trim(substr(regexp_replace(translate(title, '''\\$', ''), '[\\r\\n]', ' ', 'g'), 1, 200)) AS label FROM papers")
+@query(f"WITH {v.PAPERS} SELECT arxiv_id, trim(substr(regexp_replace(translate(title, '''\\$', ''), '[\\r\\n]', ' ', 'g'), 1, 200), '{text.WHITE}') AS label FROM papers")
 def graph_sanitize(spark, d):
     return v.papers(spark, d).select("arxiv_id", graph.sanitize(F.col("title")).alias("label"))
 

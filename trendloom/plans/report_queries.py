@@ -24,8 +24,8 @@ def raw_extractions(spark, d):
     """Model output per paper, in turn plain, fenced, behind reasoning, broken, and of the wrong form."""
     body = F.to_json(F.struct(F.array("lang", "source", F.lit("")).alias("concepts"), F.array(F.lit("m")).alias("methods")))
     k = F.col("doc_id") % 5
-    raw = F.when(k == 0, body).when(k == 1, F.concat(F.lit(_FENCE + "json\n"), body, F.lit("\n" + _FENCE))).when(
-        k == 2, F.concat(F.lit("<think>so {it}\n goes</think> "), body)).when(k == 3, F.concat(body, F.lit("oops"))).otherwise(F.lit('{"concepts": "x", "methods": ["a", null, "b"]}'))
+    raw = F.when(k == 0, F.concat(F.lit("\t\n"), body)).when(k == 1, F.concat(F.lit(_FENCE + "json\n"), body, F.lit("\n" + _FENCE))).when(
+        k == 2, F.concat(F.lit("\n<think>so {it}\n goes</think>\n\n"), body, F.lit("\n"))).when(k == 3, F.concat(body, F.lit("oops"))).otherwise(F.lit('{"concepts": "x", "methods": ["a", null, "b"]}'))
     return v.table(spark, d, "documents").select(F.format_string("2401.%07d", "doc_id").alias("arxiv_id"), raw.alias("raw"))
 
 

@@ -109,15 +109,15 @@ def pages(spark, d):
 _PAGES = """joined AS (SELECT conv_id AS paper_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id)"""
 
 
-@query(f"WITH {_PAGES} SELECT paper_id, text, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 'failed' ELSE 'processed' END AS status FROM joined")
+@query(f"WITH {_PAGES} SELECT paper_id, text, CASE WHEN trim(text, '{text.WHITE}') = '' THEN 'failed' ELSE 'processed' END AS status FROM joined")
 def text_join_pages(spark, d):
     return text.join_pages(pages(spark, d))
 
 
 @query(f"""WITH {_PAGES}, {v._ranked("pg", "joined", "paper_id", "text", v.DOCUMENT_STOPWORDS)},
 c AS (SELECT paper_id, least(count(*), 50) AS k FROM pg_cnt GROUP BY 1)
-SELECT paper_id, CASE WHEN trim(text) = '' THEN 'failed' ELSE 'processed' END AS status, coalesce(k, 0) AS concept_count,
-       CASE WHEN trim(text) = '' THEN 'PDF contains no extractable text' END AS error_msg FROM joined LEFT JOIN c USING (paper_id)""")
+SELECT paper_id, CASE WHEN trim(text, '{text.WHITE}') = '' THEN 'failed' ELSE 'processed' END AS status, coalesce(k, 0) AS concept_count,
+       CASE WHEN trim(text, '{text.WHITE}') = '' THEN 'PDF contains no extractable text' END AS error_msg FROM joined LEFT JOIN c USING (paper_id)""")
 def user_process(spark, d):
     return personal.process(pages(spark, d))[0]
 
