@@ -180,7 +180,8 @@ def whiten(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
     Rows whose vector is null or holds null or non-finite entries are dropped. The fit list is each distinct integer vector once; rows that
     repeat an id or a vector, or have no id, are rows of their own. Vectors of each length are fitted apart. Directions that rounding
     can't tell from none have no component, so equal vectors alone, or a single one, give no rows; nor does an empty table.
-    Tied eigenvalues leave the choice of their components open, but it is the same for all rows. Other columns are ignored.
+    Tied eigenvalues leave the choice of their components open, but it is the same for all rows. Other columns are ignored. An entry
+    beyond LARGEST, whose integer no double holds exactly, raises an error.
     """
     rows = materialize(integer_rows(embeddings), "integers")
     fit = materialize(rows.select("x").distinct(), "fit")
