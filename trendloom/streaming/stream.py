@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trendloom import schemas
 from trendloom.functions import text
@@ -20,8 +18,9 @@ published_at timestamp, updated_at timestamp, pdf_url string, abs_url string"""
 KEY = ["keyword", "category", "window_date"]
 
 
-#: Which of a key's rows in one batch is the first.
-ORDER = ["published_at", "title", "abstract", "updated_at", "pdf_url", "abs_url"]
+#: Which of a key's rows in one batch is the first: the least in these columns, of which a missing one is less than any other.
+ROW = ["published_at", "title", "abstract", "updated_at", "pdf_url", "abs_url", "authors", "categories"]
+TIMES = ["published_at", "updated_at"]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -80,19 +79,17 @@ def compact_papers(spark: SparkSession, path: str) -> None:
     _compact(spark, path, FEED, lambda df: df.hint("rebalance"))
 
 
-def first_of_key(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first row in ORDER of a key that was never seen before, and none of one that was; the state is that the key was seen."""
-    if state.exists:
-        return
-    best, least = None, None
-    for part in parts:
-        for i, row in enumerate(part[ORDER].itertuples(index=False)):
-            place = tuple((not missing, None if missing else x) for x, missing in ((x, pd.isna(x)) for x in row))
-            if least is None or place < least:
-                best, least = part.iloc[[i]], place
-    state.update((True,))
-    if best is not None:
-        yield best
+def _rows_and_marks(stream: DataFrame) -> DataFrame:
+    """`arxiv_id, digest, row`: every row of the stream, and one mark (neither digest nor row) for each key that was never seen before.
+
+    The state holds keys, with and without digests of their rows. A row whose key is new always passes; one of a known key has no mark beside it.
+    """
+    exact = F.struct(*[F.unix_micros(c).alias(c) if c in TIMES else F.col(c) for c in ROW])
+    digest = F.sha2(F.to_json(exact, {"ignoreNullFields": "false"}), 256)
+    row = F.struct(*ROW)
+    none = F.struct(F.lit(None).cast("string").alias("digest"), F.when(F.lit(False), row).alias("row"))
+    both = stream.select("arxiv_id", F.explode(F.array(none, F.struct(digest.alias("digest"), row.alias("row")))).alias("x"))
+    return both.select("arxiv_id", "x.digest", "x.row").dropDuplicates(["arxiv_id", "digest"])
 
 
 def ingest_papers(stream: DataFrame, papers_path: str, counts_path: str, checkpoint: str) -> StreamingQuery:
@@ -100,24 +97,26 @@ def ingest_papers(stream: DataFrame, papers_path: str, counts_path: str, checkpo
 
     Which papers were seen is the stream's own state, keyed by arxiv_id in RocksDB stores under the checkpoint: a batch reads its own rows and
     the states of its own keys, and no older paper, however long the stream has run. Of several rows of a key in a batch the first
-    in ORDER counts; rows without an arxiv_id count as one key. A batch writes its rows alone, under batch=<number> of both tables; one that
+    in ROW counts; rows without an arxiv_id count as one key. A batch writes its rows alone, under batch=<number> of both tables; one that
     runs again finds the states as they were before it and overwrites itself with the same rows. Stops when all there is has been read.
+    Built-in functions do it all: a call of Python for each key takes milliseconds. A key has two states (its own and its row's).
     """
+    names = stream.sparkSession.createDataFrame([], FEED).columns
+
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{papers_path}/batch={batch_id}")
+        first = batch.groupBy("arxiv_id").agg(F.min("row").alias("row"), F.bool_or(F.col("digest").isNull()).alias("new")).where("new")
+        first.select("arxiv_id", "row.*").select(*names).write.mode("overwrite").parquet(f"{papers_path}/batch={batch_id}")
         written = _read(spark, [f"{papers_path}/batch={batch_id}"], FEED)
         added = counts.keyword_counts(text.keywords(written), written)
         added.write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
 
     spark = stream.sparkSession
-    columns = spark.createDataFrame([], FEED).schema
-    fresh = stream.select(*columns.names).groupBy("arxiv_id").applyInPandasWithState(first_of_key, columns, "seen boolean", "append", GroupStateTimeout.NoTimeout)
     option = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(option, None)
     spark.conf.set(option, ROCKSDB)  # which the query takes with it when it starts
     try:
-        return fresh.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return _rows_and_marks(stream).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         spark.conf.unset(option) if before is None else spark.conf.set(option, before)
 
